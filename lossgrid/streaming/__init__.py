@@ -1,0 +1 @@
+"""Empty on purpose: the workflow this package covers is batch only, so there is no stream operator to offer."""
