@@ -20,18 +20,18 @@ def quantile_edges(df: DataFrame, columns: Sequence[str], q: int, rows_per_bucke
     return {c: sorted(set(e)) if e else [] for c, e in edges.items()}
 
 
-def bin_number(column: Column | str, edges: Sequence[float]) -> Column:
-    """0-based right-closed bin; the lowest edge belongs to bin 0, a missing value to none."""
-    x = nan_to_null(column)
+def bin_number(column: str, edges: Sequence[float]) -> Column:
+    """0-based right-closed bin of a double column without NaN; the lowest edge is in bin 0, a missing value in none."""
     out = F.lit(0)
     for edge in edges[1:-1]:
-        out = out + (x > F.lit(edge)).cast("int")
-    return F.when(x.isNotNull() & F.lit(len(edges) > 1), out)
+        out = out + (F.col(column) > F.lit(edge)).cast("int")
+    return F.when(F.col(column).isNotNull(), out)
 
 
 def qcut(df: DataFrame, column: str, q: int, out: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Add the equal-frequency bin of `column`: equal values share a bin, repeated edges merge their bins."""
-    return df.withColumn(out, bin_number(column, quantile_edges(df, [column], q, rows_per_bucket)[column]))
+    edges = quantile_edges(df, [column], q, rows_per_bucket)[column]
+    return df.withColumn("_x", nan_to_null(column)).withColumn(out, bin_number("_x", edges)).drop("_x")
 
 
 def sample_order(key: Sequence[str], seed: int = SEED) -> Column:
@@ -115,8 +115,15 @@ def capture_lift(
         elif border:
             partial[p] = (border[score], n - border["n_before"])
         rows.append((p, n, captured))
-    spark = df.sparkSession
-    table = spark.createDataFrame(rows, "top_percent int, observations long, whole_groups long")
+    cells = [
+        F.struct(
+            F.lit(p).alias("top_percent"),
+            F.lit(n).cast("long").alias("observations"),
+            F.lit(captured).cast("long").alias("whole_groups"),
+        )
+        for p, n, captured in rows
+    ]
+    table = df.sparkSession.range(1).select(F.inline(F.array(*cells)))
     if partial:
         x = nan_to_null(score) + 0.0
         cuts = F.array(*[F.when(x == F.lit(s), F.lit(p)) for p, (s, _) in partial.items()])

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lossgrid.fixed import DRIFT_FEATURES, PSI_BINS, PSI_SHARE_FLOOR
+from lossgrid.functions.scalars import nan_to_null
 from lossgrid.operators.binning import bin_number, quantile_edges
 from lossgrid.operators.order import ROWS_PER_BUCKET
 
@@ -28,11 +29,12 @@ def psi_bins(
     edges = quantile_edges(reference, features, bins, rows_per_bucket)
 
     def cells(df: DataFrame, side: int) -> DataFrame:
-        column = {f: bin_number(f, edges[f]) if len(edges[f]) > 1 else F.when(F.col(f).isNotNull(), 0) for f in features}
+        clean = df.select(*[nan_to_null(f).alias(f) for f in features])
         structs = [
-            F.struct(F.lit(f).alias("feature"), F.coalesce(column[f], F.lit(-1)).alias("bin")) for f in features
+            F.struct(F.lit(f).alias("feature"), F.coalesce(bin_number(f, edges[f]), F.lit(-1)).alias("bin"))
+            for f in features
         ]
-        return df.select(F.inline(F.array(*structs)), F.lit(side).alias("side"))
+        return clean.select(F.inline(F.array(*structs)), F.lit(side).alias("side"))
 
     counts = (
         cells(reference, 0)

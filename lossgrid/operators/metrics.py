@@ -10,7 +10,15 @@ from pyspark.sql import functions as F
 
 from lossgrid.fixed import PROBABILITY_FLOOR
 from lossgrid.functions.scalars import clip, nan_to_null
-from lossgrid.operators.order import BUCKET, ROWS_PER_BUCKET, average_rank, fit_cuts, rank_offsets, running_totals
+from lossgrid.operators.order import (
+    BUCKET,
+    MAX_RANK_BUCKETS,
+    ROWS_PER_BUCKET,
+    centred_ranks,
+    fit_cuts,
+    running_totals,
+    with_bucket,
+)
 
 
 def score_groups(
@@ -115,7 +123,9 @@ def roc_points(
         top = (F.col("tp") == F.col("pos")) & (F.col("fp") == F.col("neg"))
         bends = nxt.isNull() | (nxt["pos"] != F.col("pos")) | (nxt["neg"] != F.col("neg"))
         points = points.where(top | bends)
-    start = df.sparkSession.createDataFrame([(0, 0, math.inf)], f"tp long, fp long, {score} double")
+    start = df.sparkSession.range(1).select(
+        F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("fp"), F.lit(math.inf).alias(score)
+    )
     return (
         points.select("tp", "fp", score)
         .unionByName(start)
@@ -138,7 +148,9 @@ def pr_points(df: DataFrame, score: str, label: str, rows_per_bucket: int = ROWS
         (tp / (tp + F.col("neg_before") + F.col("neg"))).alias("precision"),
         F.col(score).alias("threshold"),
     )
-    end = df.sparkSession.createDataFrame([(0.0, 1.0, None)], "recall double, precision double, threshold double")
+    end = df.sparkSession.range(1).select(
+        F.lit(0.0).alias("recall"), F.lit(1.0).alias("precision"), F.lit(None).cast("double").alias("threshold")
+    )
     return points.unionByName(end).withColumn("baseline", F.lit(pos / rows if rows else None).cast("double"))
 
 
@@ -159,86 +171,76 @@ def regression_metrics(df: DataFrame, predicted: str, actual: str, by: Sequence[
     )
 
 
-def _moments(a: Column, b: Column, name: str = "") -> list[Column]:
-    both = a.isNotNull() & b.isNotNull()
-    a, b = F.when(both, a), F.when(both, b)
-    return [
-        F.count(a).alias(f"n{name}"),
-        F.var_pop(a).alias(f"va{name}"),
-        F.var_pop(b).alias(f"vb{name}"),
-        F.covar_pop(a, b).alias(f"cov{name}"),
-    ]
-
-
-def _correlation(name: str = "") -> Column:
+def _correlation() -> Column:
     """Covariance over the deviations; NULL for a constant column."""
-    spread = F.sqrt(F.col(f"va{name}") * F.col(f"vb{name}"))
-    return F.try_divide(F.col(f"cov{name}"), spread)
+    return F.try_divide(F.col("cov"), F.sqrt(F.col("va") * F.col("vb")))
 
 
 def pearson(df: DataFrame, a: str, b: str) -> DataFrame:
     """One row: observations and the linear correlation of the rows where both values are known."""
-    return df.agg(*_moments(nan_to_null(a), nan_to_null(b))).select(
-        F.col("n").alias("observations"), _correlation().alias("correlation")
+    both = df.select(nan_to_null(a).alias("a"), nan_to_null(b).alias("b")).dropna()
+    moments = both.agg(
+        F.count("a").alias("observations"),
+        F.var_pop("a").alias("va"),
+        F.var_pop("b").alias("vb"),
+        F.covar_pop("a", "b").alias("cov"),
     )
+    return moments.select("observations", _correlation().alias("correlation"))
 
 
-def spearman(
-    df: DataFrame, a: str, b: str, key: Sequence[str] = (), rows_per_bucket: int = ROWS_PER_BUCKET
-) -> DataFrame:
+def spearman(df: DataFrame, a: str, b: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """One row: observations and the correlation of average ranks."""
-    return spearman_matrix(df, [a, b], key, rows_per_bucket).select(
-        "observations", F.col("spearman").alias("correlation")
-    )
+    return spearman_matrix(df, [a, b], rows_per_bucket).select("observations", F.col("spearman").alias("correlation"))
 
 
-def spearman_matrix(
-    df: DataFrame, columns: Sequence[str], key: Sequence[str] = (), rows_per_bucket: int = ROWS_PER_BUCKET
-) -> DataFrame:
+def spearman_matrix(df: DataFrame, columns: Sequence[str], rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Rank correlation of each pair of columns over the rows where both are known, as (column_a, column_b, ...).
 
-    A column is ranked once, and once more per partner that has missing values, since those rows leave the pair. Each
-    ranking is one shuffle by value bucket; all pairs come from one final aggregation.
+    Equal pairs of values are combined map-side before anything is ordered, so coded columns shuffle a table of value
+    combinations instead of the rows. All pairs of columns go through the same two rankings.
     """
     columns = list(columns)
-    base = df.select(
-        *[k for k in key if k not in columns], *[nan_to_null(c).alias(c) for c in columns]
-    )
-    key = [k for k in key if k not in columns] or columns
-    cuts = fit_cuts(base.withColumn("_all", F.lit(1.0)), [*columns, "_all"], rows_per_bucket)
-    gaps = {c for c in columns if cuts[c].rows < cuts["_all"].rows}
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    wanted: dict[tuple[str, str | None], str] = {}
-    for a, b in pairs:
-        for c, partner in ((a, b), (b, a)):
-            wanted.setdefault((c, partner if partner in gaps else None), f"_r{len(wanted)}")
-    conditions = {
-        out: (c, F.col(partner).isNotNull() if partner else None) for (c, partner), out in wanted.items()
-    }
-    offsets = rank_offsets(base, conditions, cuts)
-    ranked = base
-    for out, (c, valid) in conditions.items():
-        ranked = average_rank(ranked, c, out, cuts[c], offsets[out], valid, key)
-
-    def rank_of(c: str, partner: str) -> Column:
-        r = F.col(wanted[(c, partner if partner in gaps else None)])
-        return F.when(F.col(partner).isNotNull(), r)
-
-    sums = ranked.agg(
-        *[m for i, (a, b) in enumerate(pairs) for m in _moments(rank_of(a, b), rank_of(b, a), str(i))]
-    )
-    rows = F.array(
+    base = df.select(*[(nan_to_null(c) + 0.0).alias(f"_x{i}") for i, c in enumerate(columns)])
+    cuts = fit_cuts(base, base.columns, rows_per_bucket, MAX_RANK_BUCKETS)
+    wide = base
+    for i, x in enumerate(base.columns):
+        wide = with_bucket(wide, x, cuts[x], f"_b{i}")
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i + 1, len(columns))]
+    cells = F.array(
         *[
             F.struct(
-                F.lit(a).alias("column_a"),
-                F.lit(b).alias("column_b"),
-                F.col(f"n{i}").alias("observations"),
-                _correlation(str(i)).alias("spearman"),
+                F.lit(n).alias("pair"),
+                F.col(f"_x{i}").alias("a"),
+                F.col(f"_b{i}").alias("bucket_a"),
+                F.col(f"_x{j}").alias("b"),
+                F.col(f"_b{j}").alias("bucket_b"),
             )
-            for i, (a, b) in enumerate(pairs)
+            for n, (i, j) in enumerate(pairs)
         ]
     )
-    return sums.select(F.inline(rows))
+    values = (
+        wide.select(F.inline(cells))
+        .where(F.col("a").isNotNull() & F.col("b").isNotNull())
+        .groupBy("pair", "a", "bucket_a", "b", "bucket_b")
+        .agg(F.count(F.lit(1)).alias("weight"))
+    )
+    ranked = centred_ranks(
+        values, "a", "weight", "pair", "ra", {n: cuts[f"_x{i}"] for n, (i, _) in enumerate(pairs)}, "bucket_a", ["b"]
+    )
+    ranked = centred_ranks(
+        ranked, "b", "weight", "pair", "rb", {n: cuts[f"_x{j}"] for n, (_, j) in enumerate(pairs)}, "bucket_b", ["a"]
+    )
+    moments = ranked.groupBy("pair").agg(
+        F.sum("weight").alias("observations"),
+        F.sum(F.col("weight") * F.col("ra") * F.col("ra")).alias("va"),
+        F.sum(F.col("weight") * F.col("rb") * F.col("rb")).alias("vb"),
+        F.sum(F.col("weight") * F.col("ra") * F.col("rb")).alias("cov"),
+    )
+    names = F.array(*[F.struct(F.lit(columns[i]).alias("a"), F.lit(columns[j]).alias("b")) for i, j in pairs])
+    named = names[F.col("pair")]
+    return moments.select(
+        named["a"].alias("column_a"), named["b"].alias("column_b"), "observations", _correlation().alias("spearman")
+    )
 
 
 def two_sided_p_value(r: float | None, n: int) -> float | None:

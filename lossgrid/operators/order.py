@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 
 from lossgrid.functions.scalars import any_of, nan_to_null
 
-ROWS_PER_BUCKET = 100_000
+ROWS_PER_BUCKET = 1_000_000
 MAX_BUCKETS = 8192
+MAX_RANK_BUCKETS = 2048
 SKETCH_SIZE = 16384
 BUCKET = "_bucket"
 
@@ -49,23 +50,23 @@ class Cuts(NamedTuple):
 
 
 def _quantiles_of(spark, sketches: Mapping[str, bytes], buckets: Mapping[str, int]) -> dict[str, list[float]]:
-    """Evenly spaced quantiles of each sketch, read from a one-row frame."""
+    """Evenly spaced quantiles of each sketch; a query on literals, without a job over data."""
     wanted = {c: b for c, b in buckets.items() if b > 1 and sketches[c] is not None}
     if not wanted:
         return {}
     names = list(wanted)
-    one = spark.createDataFrame(
-        [tuple(bytearray(sketches[c]) for c in names)], ", ".join(f"s{i} binary" for i in range(len(names)))
-    )
     exprs = []
     for i, c in enumerate(names):
         ranks = ",".join(f"{j / wanted[c]!r}D" for j in range(1, wanted[c]))
-        exprs.append(F.expr(f"kll_sketch_get_quantile_double(s{i}, array({ranks}))").alias(f"q{i}"))
-    row = one.select(*exprs).first()
+        exprs.append(f"kll_sketch_get_quantile_double(:s{i}, array({ranks})) AS q{i}")
+    sketch_args = {f"s{i}": bytearray(sketches[c]) for i, c in enumerate(names)}
+    row = spark.sql(f"SELECT {', '.join(exprs)}", args=sketch_args).first()
     return {c: list(row[f"q{i}"]) for i, c in enumerate(names)}
 
 
-def fit_cuts(df: DataFrame, columns: Sequence[str], rows_per_bucket: int = ROWS_PER_BUCKET) -> dict[str, Cuts]:
+def fit_cuts(
+    df: DataFrame, columns: Sequence[str], rows_per_bucket: int = ROWS_PER_BUCKET, max_buckets: int = MAX_BUCKETS
+) -> dict[str, Cuts]:
     """Cut points for each numeric column. Runs one aggregation; only the sketches reach the driver."""
     aggs = []
     for i, c in enumerate(columns):
@@ -76,7 +77,7 @@ def fit_cuts(df: DataFrame, columns: Sequence[str], rows_per_bucket: int = ROWS_
         ]
     row = df.agg(*aggs).first()
     counts = {c: row[f"n{i}"] for i, c in enumerate(columns)}
-    buckets = {c: max(1, min(MAX_BUCKETS, math.ceil(n / rows_per_bucket))) for c, n in counts.items()}
+    buckets = {c: max(1, min(max_buckets, math.ceil(n / rows_per_bucket))) for c, n in counts.items()}
     quantiles = _quantiles_of(df.sparkSession, {c: row[f"s{i}"] for i, c in enumerate(columns)}, buckets)
     out = {}
     for c in columns:
@@ -147,75 +148,41 @@ def running_totals(
     )
 
 
-def rank_offsets(
-    df: DataFrame, rankings: Mapping[str, tuple[str, Column | None]], cuts: Mapping[str, Cuts]
-) -> dict[str, DataFrame | None]:
-    """Rows in and before each bucket, for several rankings {name: (column, condition)} of one frame.
-
-    One aggregation counts all of them; at most 2 * MAX_BUCKETS rows per ranking pass through the driver, so that the
-    frame is not computed again for each ranking. None where the rows fit a single bucket.
-    """
-    cut = {name: (c, valid) for name, (c, valid) in rankings.items() if cuts[c].points}
-    out: dict[str, DataFrame | None] = {name: None for name in rankings}
-    if not cut:
-        return out
-    wide = df
-    for i, (name, (c, valid)) in enumerate(cut.items()):
-        x = nan_to_null(c) + 0.0
-        wide = with_bucket(wide.withColumn("_x", x), "_x", cuts[c], f"_b{i}")
-        kept = x.isNotNull() if valid is None else x.isNotNull() & valid
-        wide = wide.withColumn(f"_b{i}", F.when(kept, F.col(f"_b{i}")))
-    cells = F.array(*[F.struct(F.lit(i).alias("ranking"), F.col(f"_b{i}").alias("bucket")) for i in range(len(cut))])
-    counts = (
-        wide.select(F.inline(cells))
-        .where(F.col("bucket").isNotNull())
-        .groupBy("ranking", "bucket")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    upto = Window.partitionBy("ranking").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    rows = counts.withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0))).collect()
-    for i, name in enumerate(cut):
-        mine = [(r["bucket"], r["n"], r["before"]) for r in rows if r["ranking"] == i]
-        out[name] = df.sparkSession.createDataFrame(mine, f"{BUCKET} double, _n long, _offset long")
-    return out
-
-
-def average_rank(
-    df: DataFrame,
-    column: str,
-    out: str,
-    cuts: Cuts,
-    offsets: DataFrame | None,
-    valid: Column | None = None,
-    key: Sequence[str] = (),
+def centred_ranks(
+    df: DataFrame, value: str, weight: str, by: str, out: str, cuts: Mapping[int, Cuts], bucket: str, spread: Sequence[str]
 ) -> DataFrame:
-    """Add the ascending 1-based rank of `column` among the rows where it (and `valid`) holds; ties share their mean rank.
+    """Add the mean rank of `value` inside each group, less the mean of all ranks of the group.
 
-    Rows without a rank, and rows of a heavy value (all of one rank, known from the bucket totals), are spread over
-    salted groups because their order does not matter. `key` names the columns that tell such rows apart (default: all).
+    Rows are distinct and count `weight` times; `bucket` holds the value's bucket by the cuts of its group. Ties share
+    their mean rank, so a constant group is exactly 0. A heavy value has one known rank: its rows are spread over salted
+    groups by the columns `spread`.
     """
-    x = nan_to_null(column) + 0.0
-    if valid is not None:
-        x = F.when(valid, x)
-    keyed = with_bucket(df.withColumn("_x", x), "_x", cuts)
-    keyed = keyed.withColumn(BUCKET, F.when(F.col("_x").isNotNull(), F.col(BUCKET)))
-    loose = F.col("_x").isNull()
-    if cuts.heavy:
-        loose = loose | F.col(BUCKET).isin([float(b) for b in cuts.heavy_buckets])
-    salts = max(cuts.salts, len(cuts.points) + 1)
-    spread = F.pmod(F.xxhash64(*(key or df.columns)), F.lit(salts)).cast("int") if salts > 1 else F.lit(0)
-    keyed = keyed.withColumn("_salt", F.when(loose, spread).otherwise(0))
-    group = Window.partitionBy(BUCKET, "_salt")
-    ranked = keyed.select(
+    heavy = [
+        (F.col(by) == g) & F.col(bucket).isin([float(b) for b in c.heavy_buckets]) for g, c in cuts.items() if c.heavy
+    ]
+    loose = any_of(heavy) if heavy else F.lit(False)
+    salt = F.pmod(F.xxhash64(*spread), F.lit(max(c.salts for c in cuts.values()))).cast("int")
+    group = [by, bucket, "_salt"]
+    upto_peers = Window.partitionBy(*group).orderBy(value).rangeBetween(Window.unboundedPreceding, 0)
+    ranked = df.withColumn("_salt", F.when(loose, salt).otherwise(0)).select(
         "*",
-        F.rank().over(group.orderBy("_x")).alias("_rank"),
-        F.count(F.lit(1)).over(Window.partitionBy(BUCKET, "_salt", "_x")).alias("_ties"),
+        F.sum(weight).over(upto_peers).alias("_upto"),
+        F.sum(weight).over(Window.partitionBy(*group, value)).alias("_ties"),
+    )
+    inside = F.col("_upto") - (F.col("_ties") - 1) / 2
+    before = Window.partitionBy(by).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    totals = df.groupBy(by, bucket).agg(F.sum(weight).alias("_n"))
+    offsets = totals.select(
+        by,
+        bucket,
+        "_n",
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
+        F.sum("_n").over(Window.partitionBy(by)).alias("_all"),
     )
-    rank = F.col("_rank") + (F.col("_ties") - 1) / 2
-    if offsets is not None:
-        ranked = ranked.join(F.broadcast(offsets), BUCKET, "left")  # at most 2 * MAX_BUCKETS rows
-        rank = F.col("_offset") + F.when(loose, (F.col("_n") + 1) / 2).otherwise(rank)
-    return ranked.select(*df.columns, F.when(F.col("_x").isNotNull(), rank).alias(out))
+    # at most 2 * MAX_RANK_BUCKETS rows per group
+    joined = ranked.join(F.broadcast(offsets), [by, bucket])
+    rank = F.col("_before") + F.when(loose, (F.col("_n") + 1) / 2).otherwise(inside) - (F.col("_all") + 1) / 2
+    return joined.select(*df.columns, rank.alias(out))
 
 
 def _interpolate(low: float, high: float, fraction: float) -> float:
@@ -225,6 +192,29 @@ def _interpolate(low: float, high: float, fraction: float) -> float:
     return low + (high - low) * fraction
 
 
+def _long(
+    clean: DataFrame, columns: Sequence[str], borders: Mapping[str, list[float]], keep_value: bool = False
+) -> DataFrame:
+    """(feature number, bucket[, value]) for every known value of the columns."""
+    wide = clean.select(*columns)
+    cells = []
+    for i, c in enumerate(columns):
+        if len(borders[c]) > 2:
+            wide = Bucketizer(splits=borders[c], inputCol=c, outputCol=f"_b{i}", handleInvalid="keep").transform(wide)
+        else:
+            wide = wide.withColumn(f"_b{i}", F.lit(0.0))
+        fields = [F.lit(i).alias("feature"), F.when(F.col(c).isNotNull(), F.col(f"_b{i}")).alias("bucket")]
+        cells.append(F.struct(*fields, *([F.col(c).alias("value")] if keep_value else [])))
+    return wide.select(F.inline(F.array(*cells))).where(F.col("bucket").isNotNull())
+
+
+def _holds(positions: Sequence[int]) -> Column:
+    """Does the run of rows [before, before + n) hold one of the positions?"""
+    return F.exists(
+        F.array(*[F.lit(k) for k in positions]), lambda k: (k >= F.col("before")) & (k < F.col("before") + F.col("n"))
+    )
+
+
 def exact_quantiles(
     df: DataFrame, wanted: Mapping[str, Sequence[float]], rows_per_bucket: int = ROWS_PER_BUCKET
 ) -> dict[str, list[float] | None]:
@@ -233,95 +223,63 @@ def exact_quantiles(
     Selection instead of sorting: bucket counts (combined map-side) tell which buckets hold the wanted order
     statistics, and only the rows of those buckets are collapsed and ordered.
     """
-    columns = list(wanted)
-    cuts = fit_cuts(df, columns, rows_per_bucket)
-    spots: dict[str, list[float]] = {}
-    for c in columns:
-        spots[c] = [(cuts[c].rows - 1) * p for p in wanted[c]] if cuts[c].rows else []
+    names = list(wanted)
+    columns = [f"_x{i}" for i in range(len(names))]
+    clean = df.select(*[(nan_to_null(c) + 0.0).alias(x) for c, x in zip(names, columns)])
+    cuts = fit_cuts(clean, columns, rows_per_bucket)
+    probs = dict(zip(columns, wanted.values()))
+    spots = {c: [(cuts[c].rows - 1) * p for p in probs[c]] if cuts[c].rows else [] for c in columns}
     positions = {c: sorted({k for s in spots[c] for k in (math.floor(s), math.ceil(s))}) for c in columns}
-    values = {c: nan_to_null(c) + 0.0 for c in columns}
 
     # ranges to look into: (column, low, high, rows before)
     targets: list[tuple[str, float, float, int]] = []
-    cut_columns = [c for c in columns if cuts[c].points]
     targets += [(c, -math.inf, math.inf, 0) for c in columns if not cuts[c].points and cuts[c].rows]
+    cut_columns = [c for c in columns if cuts[c].points]
     if cut_columns:
-        wide = df.select(*[values[c].alias(f"_x{i}") for i, c in enumerate(cut_columns)])
-        for i, c in enumerate(cut_columns):
-            wide = with_bucket(wide, f"_x{i}", cuts[c], f"_b{i}")
-        cells = F.array(
-            *[
-                F.when(
-                    F.col(f"_x{i}").isNotNull(),
-                    F.struct(F.lit(i).alias("feature"), F.col(f"_b{i}").alias("bucket")),
-                )
-                for i in range(len(cut_columns))
-            ]
-        )
         counts = (
-            wide.select(F.explode(cells).alias("cell"))
-            .where(F.col("cell").isNotNull())
-            .select("cell.*")
+            _long(clean, cut_columns, {c: cuts[c].splits for c in cut_columns})
             .groupBy("feature", "bucket")
             .agg(F.count(F.lit(1)).alias("n"))
         )
         upto = Window.partitionBy("feature").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
         counts = counts.withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0)))
-        inside = any_of(
-            [
-                (F.col("feature") == i)
-                & F.exists(
-                    F.array(*[F.lit(k) for k in positions[c]]),
-                    lambda k: (k >= F.col("before")) & (k < F.col("before") + F.col("n")),
-                )
-                for i, c in enumerate(cut_columns)
-            ]
-        )
+        inside = any_of([(F.col("feature") == i) & _holds(positions[c]) for i, c in enumerate(cut_columns)])
         for row in counts.where(inside).collect():  # at most two rows per wanted quantile
-            c = cut_columns[row["feature"]]
-            b = int(row["bucket"])
+            c, b = cut_columns[row["feature"]], int(row["bucket"])
             targets.append((c, cuts[c].splits[b], cuts[c].splits[b + 1], row["before"]))
     if not targets:
-        return {c: None for c in columns}
-
-    ranges: dict[str, list[tuple[int, float, float]]] = {}
-    for t, (c, low, high, _) in enumerate(targets):
-        ranges.setdefault(c, []).append((t, low, high))
-
-    def target_of(c: str) -> Column:
-        x, out = values[c], F.lit(None).cast("int")
-        for t, low, high in ranges[c]:
-            test = x.isNotNull()
-            if low > -math.inf:
-                test = test & (x >= low)
-            if high < math.inf:
-                test = test & (x < high)
-            out = F.when(test, t).otherwise(out)
-        return out
-
-    cells = F.array(*[F.struct(target_of(c).alias("target"), values[c].alias("value")) for c in ranges])
-    before = Window.partitionBy("target").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+        return {c: None for c in names}
+
+    found_columns = list(dict.fromkeys(c for c, _, _, _ in targets))
+    borders = {
+        c: sorted({-math.inf, math.inf, *[b for t in targets if t[0] == c for b in t[1:3]]}) for c in found_columns
+    }
+    spot_of = {
+        (found_columns.index(c), float(borders[c].index(low))): t for t, (c, low, _, _) in enumerate(targets)
+    }
+    wanted_buckets = any_of(
+        [
+            (F.col("feature") == i) & F.col("bucket").isin([b for f, b in spot_of if f == i])
+            for i in range(len(found_columns))
+        ]
+    )
+    before = Window.partitionBy("feature", "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
     ties = (
-        df.select(F.inline(cells))
-        .where(F.col("target").isNotNull())
-        .groupBy("target", "value")
+        _long(clean, found_columns, borders, keep_value=True)
+        .where(wanted_buckets)
+        .groupBy("feature", "bucket", "value")
         .agg(F.count(F.lit(1)).alias("n"))
         .withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
     )
     needed = []
-    for t, (c, _, _, skipped) in enumerate(targets):
+    for (f, b), t in spot_of.items():
+        c, _, _, skipped = targets[t]
         local = [k - skipped for k in positions[c] if k >= skipped]
         if local:
-            needed.append(
-                (F.col("target") == t)
-                & F.exists(
-                    F.array(*[F.lit(k) for k in local]),
-                    lambda k: (k >= F.col("before")) & (k < F.col("before") + F.col("n")),
-                )
-            )
+            needed.append((F.col("feature") == f) & (F.col("bucket") == b) & _holds(local))
     found: dict[str, list[tuple[int, int, float]]] = {c: [] for c in columns}
     for row in ties.where(any_of(needed)).collect():  # at most two rows per wanted quantile
-        c, _, _, skipped = targets[row["target"]]
+        c, _, _, skipped = targets[spot_of[(row["feature"], row["bucket"])]]
         start = row["before"] + skipped
         found[c].append((start, start + row["n"], row["value"]))
 
@@ -329,11 +287,11 @@ def exact_quantiles(
         return next(v for start, end, v in found[c] if start <= k < end)
 
     out: dict[str, list[float] | None] = {}
-    for c in columns:
-        if not cuts[c].rows:
-            out[c] = None
-            continue
-        out[c] = [
-            _interpolate(statistic(c, math.floor(s)), statistic(c, math.ceil(s)), s - math.floor(s)) for s in spots[c]
-        ]
+    for name, c in zip(names, columns):
+        out[name] = None
+        if cuts[c].rows:
+            out[name] = [
+                _interpolate(statistic(c, math.floor(s)), statistic(c, math.ceil(s)), s - math.floor(s))
+                for s in spots[c]
+            ]
     return out

@@ -312,7 +312,7 @@ twin(
 )
 twin(
     "realised_severity",
-    """SELECT l_orderkey, l_linenumber, round(delinquent_accrued_interest + zero_balance_removal_upb, 4) AS ead,
+    """SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, round(delinquent_accrued_interest + zero_balance_removal_upb, 4) AS ead,
       round(actual_loss / (delinquent_accrued_interest + zero_balance_removal_upb), 9) AS lgd,
       round(lgd_model, 9) AS lgd_model
     FROM t_severity""",
@@ -408,7 +408,7 @@ for _name, _p in (("capture_lift", "pd_12m"), ("capture_lift_tied", "p_tie")):
         + _TOTALS
         + """) WHERE rn <= size GROUP BY pct""",
         t_ranked=f"""SELECT default_12m, row_number() OVER (ORDER BY {_p} DESC,
-          md5('42:' || l_orderkey || ':' || l_linenumber)) AS rn FROM v_scored""",
+          md5(concat_ws(':', '42', l_orderkey, l_partkey, l_suppkey, l_linenumber))) AS rn FROM v_scored""",
     )
 for _name, _p in (("calibration_table", "pd_12m"), ("calibration_table_tied", "p_tie")):
     twin(
@@ -441,7 +441,7 @@ _CAL = {
         FROM (SELECT *, least(greatest(pd_12m, 1e-15), 1 - 1e-15) AS q FROM v_scored
               WHERE observation_month BETWEEN 200001 AND 200112), (SELECT a, b FROM t_newton WHERE k = 25)""",
 }
-twin("calibrated_scores", "SELECT l_orderkey, l_linenumber, round(pd_12m_cal, 9) AS pd_12m_cal FROM t_calibrated", **_CAL)
+twin("calibrated_scores", "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, round(pd_12m_cal, 9) AS pd_12m_cal FROM t_calibrated", **_CAL)
 twin(
     "calibrated_metrics",
     f"""SELECT 'raw' AS model, {select_metrics()} FROM t_raw
@@ -459,7 +459,7 @@ twin(
 )
 twin(
     "log_odds_round_trip",
-    """SELECT l_orderkey, l_linenumber, round(z, 9) AS z, round(1 / (1 + exp(-z)), 9) AS p FROM (
+    """SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, round(z, 9) AS z, round(1 / (1 + exp(-z)), 9) AS p FROM (
       SELECT *, ln(pd_12m / (1 - pd_12m)) AS z FROM v_scored)""",
 )
 twin(
@@ -523,8 +523,8 @@ twin(
 )
 twin(
     "stratified_sample",
-    """SELECT l_orderkey, l_linenumber, observation_month, default_12m FROM (
-      SELECT *, row_number() OVER (PARTITION BY default_12m ORDER BY md5('42:' || l_orderkey || ':' || l_linenumber)) AS rn
+    """SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, observation_month, default_12m FROM (
+      SELECT *, row_number() OVER (PARTITION BY default_12m ORDER BY md5(concat_ws(':', '42', l_orderkey, l_partkey, l_suppkey, l_linenumber))) AS rn
       FROM v_scored)
     JOIN t_quota USING (default_12m) WHERE rn <= quota""",
     t_quota="""SELECT default_12m, base + CASE WHEN row_number() OVER (ORDER BY remainder DESC, n DESC) <= size - sum(base)

@@ -108,7 +108,7 @@ FROM {{orders}}
 
 # scores with almost no ties (pd_12m) and with many (p_tie)
 SCORED = """
-SELECT l_orderkey, l_linenumber,
+SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber,
   CAST(year(l_shipdate) * 100 + month(l_shipdate) AS INT) AS observation_month,
   CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS default_12m,
   CAST((l_extendedprice + 1) / 2e5 AS DOUBLE) AS pd_12m,
@@ -117,7 +117,7 @@ FROM {lineitem}
 """
 
 SEVERITY = """
-SELECT l_orderkey, l_linenumber,
+SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber,
   CAST(year(l_shipdate) * 100 + month(l_shipdate) AS INT) AS observation_month,
   CASE WHEN l_quantity = 1 THEN NULL ELSE l_extendedprice * l_tax END AS delinquent_accrued_interest,
   l_extendedprice AS zero_balance_removal_upb,

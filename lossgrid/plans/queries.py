@@ -38,7 +38,7 @@ from lossgrid.plans import proxy
 from lossgrid.sources.tables import load_features
 
 LOAN, MONTH = panel.LOAN, panel.MONTH
-KEY = ["l_orderkey", "l_linenumber"]
+KEY = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
 ORDER = [MONTH, "record_id"]
 # the years of the data at hand in the roles of the reference years
 SPLIT = {"train": (None, 1998), "validation": (1999, 1999), "test": (2000, 2001)}
@@ -255,7 +255,7 @@ def pearson_correlation(spark, d):
 
 @query
 def spearman_correlation(spark, d):
-    return rounded(metrics.spearman(severity_frame(spark, d), "lgd_pred", "lgd_model", KEY))
+    return rounded(metrics.spearman(severity_frame(spark, d), "lgd_pred", "lgd_model"))
 
 
 @query
@@ -265,7 +265,7 @@ def spearman_matrix(spark, d):
         clean.clean_sentinels(perf, "lgd").drop("interest_rate"), clean.clean_sentinels(orig, "lgd"), hot
     )
     columns = ["eltv", "ltv", "current_actual_upb", "loan_age", "credit_score", "current_interest_rate"]
-    return rounded(metrics.spearman_matrix(rows, columns, ["record_id"]))
+    return rounded(metrics.spearman_matrix(rows, columns))
 
 
 # ---- classification ----
