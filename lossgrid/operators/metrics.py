@@ -249,6 +249,8 @@ def two_sided_p_value(r: float | None, n: int) -> float | None:
         return None
     if abs(r) >= 1:
         return 0.0
+    if r == 0:
+        return 1.0
     # P(|T| > t) is the regularised incomplete beta function I_x(a, 1/2) at x = 1 - r^2, a = (n - 2) / 2
     a, b, x = (n - 2) / 2, 0.5, 1 - r * r
     front = math.exp(
