@@ -218,18 +218,12 @@ def spearman_matrix(df: DataFrame, columns: Sequence[str], rows_per_bucket: int
             for n, (i, j) in enumerate(pairs)
         ]
     )
-    values = (
-        wide.select(F.inline(cells))
-        .where(F.col("a").isNotNull() & F.col("b").isNotNull())
-        .groupBy("pair", "a", "bucket_a", "b", "bucket_b")
-        .agg(F.count(F.lit(1)).alias("weight"))
-    )
-    ranked = centred_ranks(
-        values, "a", "weight", "pair", "ra", {n: cuts[f"_x{i}"] for n, (i, _) in enumerate(pairs)}, "bucket_a", ["b"]
-    )
-    ranked = centred_ranks(
-        ranked, "b", "weight", "pair", "rb", {n: cuts[f"_x{j}"] for n, (_, j) in enumerate(pairs)}, "bucket_b", ["a"]
-    )
+    rows = wide.select(F.inline(cells)).where(F.col("a").isNotNull() & F.col("b").isNotNull())
+    ranked = rows.groupBy("pair", "a", "bucket_a", "b", "bucket_b").agg(F.count(F.lit(1)).alias("weight"))
+    cuts_a = {n: cuts[f"_x{i}"] for n, (i, _) in enumerate(pairs)}
+    cuts_b = {n: cuts[f"_x{j}"] for n, (_, j) in enumerate(pairs)}
+    ranked = centred_ranks(ranked, "a", "weight", "pair", "ra", cuts_a, "bucket_a", ["b"], rows)
+    ranked = centred_ranks(ranked, "b", "weight", "pair", "rb", cuts_b, "bucket_b", ["a"], rows)
     moments = ranked.groupBy("pair").agg(
         F.sum("weight").alias("observations"),
         F.sum(F.col("weight") * F.col("ra") * F.col("ra")).alias("va"),

@@ -92,9 +92,14 @@ def fit_cuts(
 
 def with_bucket(df: DataFrame, column: str, cuts: Cuts, out: str = BUCKET) -> DataFrame:
     """Bucket number of a non-missing double column; larger values never get a smaller number."""
-    if not cuts.points:
-        return df.withColumn(out, F.lit(0.0))
-    return Bucketizer(splits=cuts.splits, inputCol=column, outputCol=out, handleInvalid="keep").transform(df)
+    return _bucketed(df, column, cuts.splits, out)
+
+
+def _bucketed(df: DataFrame, column: str, splits: list[float], out: str) -> DataFrame:
+    if len(splits) <= 2:
+        return df.withColumn(out, F.lit(0))
+    bucketed = Bucketizer(splits=splits, inputCol=column, outputCol=out, handleInvalid="keep").transform(df)
+    return bucketed.withColumn(out, F.col(out).cast("int"))
 
 
 def running_totals(
@@ -134,7 +139,8 @@ def running_totals(
     if not cuts.points:
         return rows.select(*shown, *by, key, *names, *[f"{n}_before" for n in names])
 
-    totals = ties.groupBy(*by, BUCKET).agg(*[F.sum(n).alias(f"_{n}") for n in names])
+    # from the rows rather than the ties: they combine map-side into the bucket, so only totals are shuffled
+    totals = base.groupBy(*by, BUCKET).agg(*[F.sum(n).alias(f"_{n}") for n in names])
     # at most 2 * MAX_BUCKETS rows in each group
     across = Window.partitionBy(*by).orderBy(ordered(BUCKET)).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
@@ -149,16 +155,24 @@ def running_totals(
 
 
 def centred_ranks(
-    df: DataFrame, value: str, weight: str, by: str, out: str, cuts: Mapping[int, Cuts], bucket: str, spread: Sequence[str]
+    df: DataFrame,
+    value: str,
+    weight: str,
+    by: str,
+    out: str,
+    cuts: Mapping[int, Cuts],
+    bucket: str,
+    spread: Sequence[str],
+    rows: DataFrame,
 ) -> DataFrame:
     """Add the mean rank of `value` inside each group, less the mean of all ranks of the group.
 
-    Rows are distinct and count `weight` times; `bucket` holds the value's bucket by the cuts of its group. Ties share
+    Rows are distinct and count `weight` times; `rows` are the rows they were combined from. `bucket` holds the value's bucket by the cuts of its group. Ties share
     their mean rank, so a constant group is exactly 0. A heavy value has one known rank: its rows are spread over salted
     groups by the columns `spread`.
     """
     heavy = [
-        (F.col(by) == g) & F.col(bucket).isin([float(b) for b in c.heavy_buckets]) for g, c in cuts.items() if c.heavy
+        (F.col(by) == g) & F.col(bucket).isin(c.heavy_buckets) for g, c in cuts.items() if c.heavy
     ]
     loose = any_of(heavy) if heavy else F.lit(False)
     salt = F.pmod(F.xxhash64(*spread), F.lit(max(c.salts for c in cuts.values()))).cast("int")
@@ -171,7 +185,7 @@ def centred_ranks(
     )
     inside = F.col("_upto") - (F.col("_ties") - 1) / 2
     before = Window.partitionBy(by).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    totals = df.groupBy(by, bucket).agg(F.sum(weight).alias("_n"))
+    totals = rows.groupBy(by, bucket).agg(F.count(F.lit(1)).alias("_n"))
     offsets = totals.select(
         by,
         bucket,
@@ -199,10 +213,7 @@ def _long(
     wide = clean.select(*columns)
     cells = []
     for i, c in enumerate(columns):
-        if len(borders[c]) > 2:
-            wide = Bucketizer(splits=borders[c], inputCol=c, outputCol=f"_b{i}", handleInvalid="keep").transform(wide)
-        else:
-            wide = wide.withColumn(f"_b{i}", F.lit(0.0))
+        wide = _bucketed(wide, c, borders[c], f"_b{i}")
         fields = [F.lit(i).alias("feature"), F.when(F.col(c).isNotNull(), F.col(f"_b{i}")).alias("bucket")]
         cells.append(F.struct(*fields, *([F.col(c).alias("value")] if keep_value else [])))
     return wide.select(F.inline(F.array(*cells))).where(F.col("bucket").isNotNull())
@@ -245,7 +256,7 @@ def exact_quantiles(
         counts = counts.withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0)))
         inside = any_of([(F.col("feature") == i) & _holds(positions[c]) for i, c in enumerate(cut_columns)])
         for row in counts.where(inside).collect():  # at most two rows per wanted quantile
-            c, b = cut_columns[row["feature"]], int(row["bucket"])
+            c, b = cut_columns[row["feature"]], row["bucket"]
             targets.append((c, cuts[c].splits[b], cuts[c].splits[b + 1], row["before"]))
     if not targets:
         return {c: None for c in names}
@@ -255,7 +266,7 @@ def exact_quantiles(
         c: sorted({-math.inf, math.inf, *[b for t in targets if t[0] == c for b in t[1:3]]}) for c in found_columns
     }
     spot_of = {
-        (found_columns.index(c), float(borders[c].index(low))): t for t, (c, low, _, _) in enumerate(targets)
+        (found_columns.index(c), borders[c].index(low)): t for t, (c, low, _, _) in enumerate(targets)
     }
     wanted_buckets = any_of(
         [

@@ -81,10 +81,10 @@ def previous_value(
         name = f"_part{i}"
         if i == 0 and len(order) > 1:
             # a whole value of the leading column never shares a bucket with another one, so finer buckets nest in it
-            parts = parts.withColumn(name, F.when(is_hot, F.col(c).cast("double")).otherwise(0.0))
+            parts = parts.withColumn(name, F.when(is_hot, F.col(c).cast("long")).otherwise(0))
         else:
             parts = with_bucket(parts.withColumn("_o", F.col(c).cast("double")), "_o", cuts[c])
-            parts = parts.withColumn(name, F.when(is_hot, F.col(BUCKET)).otherwise(0.0)).drop("_o", BUCKET)
+            parts = parts.withColumn(name, F.when(is_hot, F.col(BUCKET)).otherwise(0)).drop("_o", BUCKET)
         sub.append(name)
         if i == 1:
             break
