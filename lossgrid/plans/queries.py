@@ -40,7 +40,7 @@ from lossgrid.sources.tables import load_features
 LOAN, MONTH = panel.LOAN, panel.MONTH
 KEY = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
 ORDER = [MONTH, "record_id"]
-# the years of the data at hand in the roles of the reference years
+# years of the data at hand for training, validation and test
 SPLIT = {"train": (None, 1998), "validation": (1999, 1999), "test": (2000, 2001)}
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
