@@ -11,6 +11,14 @@ _SHINGLES = """
     WHERE len(w) > 0
 """
 
+# SHA-1 in base32: five hexadecimal digits are four digits of five bits
+_BASE32 = """
+    list_reduce(list_transform(range(0, 8), lambda g: list_reduce(list_transform([32768, 1024, 32, 1], lambda p:
+        substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+               CAST((CAST('0x' || substr(h, CAST(5 * g + 1 AS BIGINT), 5) AS BIGINT) // p) % 32 AS BIGINT) + 1, 1)),
+        lambda a, b: a || b)), lambda a, b: a || b)
+"""
+
 ORACLES = {
     "op4_benchmark_decontamination": f"""
         WITH d AS ({_SHINGLES.format(id="doc_id", table="documents")}),
@@ -29,4 +37,12 @@ ORACLES = {
                    FROM t WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id NULLS LAST))
         SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AND n = top AS kept, text_sha256 FROM g
     """,
+    "op9_warc": f"""
+        WITH t AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+             g AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS top FROM t)
+        SELECT page_id, payload_bytes, {_BASE32} AS payload_digest,
+               CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> top THEN top END AS refers_to
+        FROM g
+    """,
 }

@@ -9,8 +9,22 @@ from pyspark.sql import DataFrame, SparkSession
 from lossgrid.llm.common import read_table
 from lossgrid.llm.decontaminate import contained_items
 from lossgrid.llm.exact_dedup import exact_dedup
-from lossgrid.llm.oracles import ORACLES as ORACLES
+from lossgrid.llm.language import identify
+from lossgrid.llm.packing import pack_documents
+from lossgrid.llm.quality import classify
 from lossgrid.llm.simhash import near_dedup
+from lossgrid.llm.token_counts import lines, section_tokens
+from lossgrid.llm.warc import round_trip
+
+
+def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Per piece of a document its place in sequences of at most 1024 tokens."""
+    return pack_documents(read_table(spark, folder, "documents"))
+
+
+def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Per line of each document the tokens of the whole text that are attributed to it."""
+    return section_tokens(read_table(spark, folder, "documents"), lines())
 
 
 def op4_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
@@ -28,11 +42,31 @@ def op7_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup(read_table(spark, folder, "documents"))
 
 
+def op8_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    """Per document its quality score, learned from the labels outside the held-out fold."""
+    return classify(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
+
+
+def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Per page its record, after all pages were written to archives and read back."""
+    return round_trip(read_table(spark, folder, "pages"))
+
+
+def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Per document the language with the largest estimated proportion."""
+    return identify(read_table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_packing,
+        op3_token_counts,
         op4_benchmark_decontamination,
         op5_exact_dedup,
         op7_simhash_near_dedup,
+        op8_quality_classifier,
+        op9_warc,
+        op10_language_id,
     )
 }
