@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lossgrid.llm.common import text_or_empty
 from lossgrid.llm.subwords import bucket, ngrams, split_words, word_hashes
@@ -147,20 +148,19 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, label: str
     return train(sample["text"].tolist(), sample["label"].tolist())
 
 
-def score(docs: DataFrame, model: Model, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The given columns of every row with `score`, the probability of label 1 for its whole text (null: empty)."""
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """(row, score): every row of `docs` as a struct, and the probability of label 1 for its whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
+            texts = batch.column(1)
             found = [shared.value.scores(texts.slice(a, z - a)) for a, z in passes(texts, PASS_BYTES)]
             values = pa.array(np.concatenate(found) if found else np.zeros(0))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], values], [*columns, "score"])
+            yield pa.record_batch([batch.column(0), values], ["row", "score"])
 
-    rows = docs.select(*columns, text_or_empty("text").alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, f"{schema}, score double")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text_or_empty("text").alias("text"))
+    return rows.mapInArrow(run, StructType([rows.schema["row"]]).add("score", "double"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -171,7 +171,8 @@ def classify(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Dat
     columns other than doc_id and text are not read.
     """
     model = fit(docs, labels, rows)
-    return score(docs, model).select(
+    scored = score(docs.select("doc_id", "text"), model).select("row.doc_id", "score")
+    return scored.select(
         "doc_id",
         F.coalesce(fold() == 1, F.lit(False)).alias("held_out"),
         "score",

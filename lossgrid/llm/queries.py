@@ -10,9 +10,11 @@ from lossgrid.llm.common import read_table
 from lossgrid.llm.decontaminate import contained_items
 from lossgrid.llm.exact_dedup import exact_dedup
 from lossgrid.llm.language import identify
+from lossgrid.llm.line_dedup import remove_repeated_lines
 from lossgrid.llm.packing import pack_documents
 from lossgrid.llm.quality import classify
 from lossgrid.llm.simhash import near_dedup
+from lossgrid.llm.suffix_dedup import remove_repeats
 from lossgrid.llm.token_counts import lines, section_tokens
 from lossgrid.llm.warc import round_trip
 
@@ -22,6 +24,11 @@ def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(read_table(spark, folder, "documents"))
 
 
+def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Per document its text without the chunks of lines that an earlier place has."""
+    return remove_repeated_lines(read_table(spark, folder, "documents")).select("doc_id", "text", "lines_removed")
+
+
 def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Per line of each document the tokens of the whole text that are attributed to it."""
     return section_tokens(read_table(spark, folder, "documents"), lines())
@@ -37,6 +44,11 @@ def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup(read_table(spark, folder, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Per document what is left when repeats of 50 bytes and more of earlier documents are cut out."""
+    return remove_repeats(read_table(spark, folder, "documents"))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Per document its fingerprint and the smallest doc_id that it links to."""
     return near_dedup(read_table(spark, folder, "documents"))
@@ -61,9 +73,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_packing,
+        op2_line_dedup,
         op3_token_counts,
         op4_benchmark_decontamination,
         op5_exact_dedup,
+        op6_suffix_dedup,
         op7_simhash_near_dedup,
         op8_quality_classifier,
         op9_warc,
