@@ -132,18 +132,19 @@ def _with_chunks(rows: DataFrame, lists: DataFrame, how: str) -> DataFrame:
 
 
 def remove_repeated_lines(
-    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", count_column: str = "lines_removed"
 ) -> DataFrame:
-    """`docs` with all their columns, the text without repeated chunks of lines, and `lines_removed` as last column.
+    """`docs` with all their columns, the text without repeated chunks of lines, and `count_column` as last column.
 
     A chunk is removed if an equal one stands in an earlier document or earlier in the same one. Chunks of less than
     LEAST_LINES lines that are not blank or of less than LEAST_CHARACTERS characters stay, and so do one-line texts.
     A null text stays null, an empty one empty. Rows that repeat id and text are one document and are edited alike.
-    An empty table gives an empty result. Other columns are passed through, whatever their names but `lines_removed`.
+    An empty table gives an empty result. Other columns are passed through, whatever
+    their names; one called like `count_column` is replaced.
     """
     gone = repeated_chunks(docs, id_column, text_column)
     rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "lines_removed"]).alias("row"),
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != count_column]).alias("row"),
         F.col(id_column).cast("long").alias("id"),
         text_or_empty(text_column).alias("text"),
     ).withColumn("hash", F.xxhash64("text"))
@@ -163,6 +164,6 @@ def remove_repeated_lines(
     edited = marked.mapInArrow(edit, schema)
     text = F.when(F.col(f"row.`{text_column}`").isNotNull(), F.col("edited"))
     columns = [
-        (text if c == text_column else F.col(f"row.`{c}`")).alias(c) for c in docs.columns if c != "lines_removed"
+        (text if c == text_column else F.col(f"row.`{c}`")).alias(c) for c in docs.columns if c != count_column
     ]
-    return edited.select(*columns, F.col("n").alias("lines_removed"))
+    return edited.select(*columns, F.col("n").alias(count_column))

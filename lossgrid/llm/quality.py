@@ -21,6 +21,7 @@ BITS = 17
 DIMENSIONS = 8
 NGRAMS = (3, 4)
 EPOCHS = 4
+LEAST_STEPS = 100
 RATE = 0.5
 BATCH = 64
 # a document's mean spreads its gradient thinly over thousands of features; this evens the two layers' steps
@@ -107,9 +108,9 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     random = np.random.default_rng(seed)
     vectors = random.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (1 << BITS, DIMENSIONS)).astype(np.float32)
     output, bias = np.zeros((2, DIMENSIONS), np.float32), np.zeros(2, np.float32)
-    steps = EPOCHS * -(-len(y) // BATCH)
-    step = 0
-    for _ in range(EPOCHS):
+    epochs = max(EPOCHS, -(-LEAST_STEPS * BATCH // len(y)))
+    steps, step = epochs * -(-len(y) // BATCH), 0
+    for _ in range(epochs):
         shuffled = random.permutation(len(y))
         for first in range(0, len(y), BATCH):
             rows = shuffled[first : first + BATCH]

@@ -23,6 +23,7 @@ CHUNK = 16 << 10
 MEMBER = b"\x1f\x8b\x08"
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+MANDATORY = {"warc-type", "warc-record-id", "warc-date", "content-length"}
 DATE = "2020-01-01T00:00:00Z"
 
 
@@ -88,7 +89,9 @@ def parse_record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
         if not colon:
             raise ValueError("header line without a colon")
         headers[name.strip().lower()] = value.strip()
-    length = headers.get("content-length", "")
+    if not MANDATORY <= headers.keys():
+        raise ValueError("a mandatory header is missing")
+    length = headers["content-length"]
     if not length.isdecimal():
         raise ValueError("no valid content length")
     start, end = head_end + 4, head_end + 4 + int(length)
