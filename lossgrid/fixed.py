@@ -86,6 +86,21 @@ CORRELATION_COLUMNS = (
 )
 CORRELATION_LAST_MONTH = 202112
 
+# severity: features of the month before default, target columns, static loan attributes
+SEVERITY_FEATURES = (
+    "observation_month", "current_actual_upb", "current_loan_delinquency_status", "loan_age", "current_interest_rate",
+    "eltv", "modification_flag", "payment_deferral_flag",
+)
+SEVERITY_FLAGS = ("modification_flag", "payment_deferral_flag")
+SEVERITY_TARGETS = (
+    "zero_balance_code", "zero_balance_effective_date", "delinquent_accrued_interest", "zero_balance_removal_upb",
+    "actual_loss",
+)
+SEVERITY_LOAN_ATTRIBUTES = (
+    "credit_score", "mortgage_insurance_pct", "number_of_units", "occupancy_status", "cltv", "dti", "upb", "ltv",
+    "interest_rate", "channel", "property_state", "loan_purpose", "loan_term",
+)
+
 # sampling, splits, calibration, ranking
 SEED = 42
 TRAIN_ROWS = 4_000_000

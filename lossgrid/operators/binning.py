@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from lossgrid.fixed import SEED, TOP_PERCENTS
 from lossgrid.functions.scalars import any_of, nan_to_null
-from lossgrid.operators.metrics import class_totals
-from lossgrid.operators.order import ROWS_PER_BUCKET, exact_quantiles, running_totals
+from lossgrid.operators.order import ROWS_PER_BUCKET, exact_quantiles, fit_cuts, running_totals
+from lossgrid.session import setting
 
 
-def quantile_edges(df: DataFrame, columns: Sequence[str], q: int, rows_per_bucket: int = ROWS_PER_BUCKET):
+def quantile_edges(df: DataFrame, columns: Sequence[str], q: int, rows_per_bucket: int | None = None):
     """Distinct edges of q equal-frequency bins per column (an action; q + 1 numbers per column reach the driver)."""
     probs = [i / q for i in range(q + 1)]
     edges = exact_quantiles(df, {c: probs for c in columns}, rows_per_bucket)
@@ -28,7 +28,7 @@ def bin_number(column: str, edges: Sequence[float]) -> Column:
     return F.when(F.col(column).isNotNull(), out)
 
 
-def qcut(df: DataFrame, column: str, q: int, out: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+def qcut(df: DataFrame, column: str, q: int, out: str, rows_per_bucket: int | None = None) -> DataFrame:
     """Add the equal-frequency bin of `column`: equal values share a bin, repeated edges merge their bins."""
     edges = quantile_edges(df, [column], q, rows_per_bucket)[column]
     return df.withColumn("_x", nan_to_null(column)).withColumn(out, bin_number("_x", edges)).drop("_x")
@@ -40,46 +40,68 @@ def sample_order(key: Sequence[str], seed: int = SEED) -> Column:
 
 
 def take_first(
-    df: DataFrame, stratum: str, quotas: dict, order: Column, digits: int = 4
+    df: DataFrame, stratum: str, quotas: dict, order: Column, digits: int = 4, rows_per_bucket: int | None = None
 ) -> DataFrame:
     """Exactly `quotas[s]` rows of each stratum s (all of them if it has fewer), the first in a uniform hex order.
 
-    The leading hex digits are ready-made equal buckets: those before the boundary bucket are taken whole, those after
-    it not at all, and only the rows of the boundary bucket are numbered.
+    Leading hex digits are ready-made equal buckets: those before the boundary bucket are taken whole, those after it
+    not at all. While a boundary bucket holds more than `rows_per_bucket` rows it is split by the next digits; then its
+    rows are numbered. Rows with the same key are told apart by a hash of all their columns.
     """
+    size = rows_per_bucket or setting(df.sparkSession, "rowsPerBucket", ROWS_PER_BUCKET)
     known = [(s, n) for s, n in quotas.items() if n > 0]
     if not known:
         return df.limit(0)
-    cases = F.lit(None).cast("long")
-    for s, n in known:
-        cases = F.when(F.col(stratum) == F.lit(s), F.lit(n).cast("long")).otherwise(cases)
-    keyed = df.withColumn("_quota", cases).where(F.col("_quota").isNotNull()).withColumn("_order", order)
-    keyed = keyed.withColumn("_prefix", F.substring("_order", 1, digits))
-    counts = keyed.groupBy(stratum, "_quota", "_prefix").agg(F.count(F.lit(1)).alias("_n"))
-    # at most 16 ** digits rows in each stratum
-    w = Window.partitionBy(stratum).orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    border = counts.where((F.col("_before") < F.col("_quota")) & (F.col("_before") + F.col("_n") >= F.col("_quota")))
-    # one row per stratum, so it can be read as literals
-    limits = {r[stratum]: (r["_prefix"], r["_quota"] - r["_before"]) for r in border.collect()}
-
-    whole, edge, left = [], [], F.lit(0)
+    keyed = df.withColumn("_order", order).where(F.col(stratum).isin([s for s, _ in known]))
+    same = {s: F.col(stratum) == F.lit(s) for s, _ in known}
+    length = 0
+    # per stratum: the prefix of the boundary bucket, and how many of its rows are taken
+    limits: dict = {s: ("", n) for s, n in known}
+    open_strata = [s for s, _ in known]
+    while open_strata:
+        length += digits
+        left = F.lit(None).cast("long")
+        for s in open_strata:
+            left = F.when(same[s], F.lit(limits[s][1]).cast("long")).otherwise(left)
+        inside = any_of([same[s] & F.col("_order").startswith(limits[s][0]) for s in open_strata])
+        counts = (
+            keyed.where(inside)
+            .withColumn("_left", left)
+            .groupBy(stratum, "_left", F.substring("_order", 1, length).alias("_prefix"))
+            .agg(F.count(F.lit(1)).alias("_n"))
+        )
+        # at most 16 ** digits rows in each stratum
+        w = Window.partitionBy(stratum).orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
+        counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+        border = counts.where((F.col("_before") < F.col("_left")) & (F.col("_before") + F.col("_n") >= F.col("_left")))
+        found = {r[stratum]: r for r in border.collect()}  # one row per stratum
+        following = []
+        for s in open_strata:
+            r = found.get(s)
+            if r is None:  # fewer rows than wanted: all of the stratum
+                limits[s] = None
+                continue
+            limits[s] = (r["_prefix"], r["_left"] - r["_before"])
+            if r["_n"] > size and length < 32:
+                following.append(s)
+        open_strata = following
+
+    whole, edge, remaining = [], [], F.lit(0)
     for s, _ in known:
-        same = F.col(stratum) == F.lit(s)
-        if s not in limits:
-            whole.append(same)
+        if limits[s] is None:
+            whole.append(same[s])
             continue
-        prefix, remaining = limits[s]
-        whole.append(same & (F.col("_prefix") < prefix))
-        edge.append(same & (F.col("_prefix") == prefix))
-        left = F.when(same, F.lit(remaining)).otherwise(left)
+        prefix, n = limits[s]
+        cut = F.substring("_order", 1, len(prefix))
+        whole.append(same[s] & (cut < prefix))
+        edge.append(same[s] & (cut == prefix))
+        remaining = F.when(same[s], F.lit(n)).otherwise(remaining)
     taken = keyed.where(any_of(whole)).select(*df.columns)
     if not edge:
         return taken
-    numbered = keyed.where(any_of(edge)).withColumn(
-        "_at", F.row_number().over(Window.partitionBy(stratum).orderBy("_order"))
-    )
-    return taken.unionByName(numbered.where(F.col("_at") <= left).select(*df.columns))
+    total = Window.partitionBy(stratum).orderBy("_order", F.xxhash64(*df.columns))
+    numbered = keyed.where(any_of(edge)).withColumn("_at", F.row_number().over(total))
+    return taken.unionByName(numbered.where(F.col("_at") <= remaining).select(*df.columns))
 
 
 def capture_lift(
@@ -88,23 +110,25 @@ def capture_lift(
     label: str,
     key: Sequence[str],
     percents: Sequence[int] = TOP_PERCENTS,
-    rows_per_bucket: int = ROWS_PER_BUCKET,
+    rows_per_bucket: int | None = None,
 ) -> DataFrame:
     """Defaults among the top share of rows by score, as a rate of all defaults and as a lift over the average.
 
+    Rows without a score or a label count nowhere. Two passes: one for the cuts and the row count, one for the rest.
     Rows are never numbered: the score groups and their running totals decide all but the last, partly included group
     of each cut; there the first rows in a uniform order of the key count (the order of ties is open in the source).
     """
-    defaults, others = class_totals(df, score, label)
-    total = defaults + others
-    groups = running_totals(
-        df, score, {"n": F.lit(1), "pos": F.col(label)}, descending=True, rows_per_bucket=rows_per_bucket
-    )
+    df = df.where(F.col(label).isNotNull())
+    cuts = fit_cuts(df, [score], rows_per_bucket)[score]
+    total = cuts.rows
+    groups = running_totals(df, score, {"n": F.lit(1), "pos": F.col(label)}, descending=True, cuts=cuts)
     sizes = {p: total * p // 100 for p in percents}
+    # the last score's group tells the total of the defaults
     hit = any_of(
-        [(F.col("n_before") < n) & (F.col("n_before") + F.col("n") >= n) for n in sizes.values()]
+        [(F.col("n_before") < n) & (F.col("n_before") + F.col("n") >= n) for n in [*sizes.values(), total]]
     )
     borders = groups.where(hit).collect()  # at most one score per cut
+    defaults = max((b["pos_before"] + b["pos"] for b in borders), default=0)
 
     rows, partial = [], {}
     for p, n in sizes.items():
@@ -126,9 +150,9 @@ def capture_lift(
     table = df.sparkSession.range(1).select(F.inline(F.array(*cells)))
     if partial:
         x = nan_to_null(score) + 0.0
-        cuts = F.array(*[F.when(x == F.lit(s), F.lit(p)) for p, (s, _) in partial.items()])
+        at_cut = F.array(*[F.when(x == F.lit(s), F.lit(p)) for p, (s, _) in partial.items()])
         tied = (
-            df.select(F.explode(F.array_compact(cuts)).alias("top_percent"), F.col(label).alias("_y"), *key)
+            df.select(F.explode(F.array_compact(at_cut)).alias("top_percent"), F.col(label).alias("_y"), *key)
         )
         extra = (
             take_first(tied, "top_percent", {p: r for p, (_, r) in partial.items()}, sample_order(key))

@@ -30,9 +30,10 @@ def clean_sentinels(df: DataFrame, profile: str = "unified") -> DataFrame:
     return df.withColumns(cleaned)
 
 
-def type_features(panel: DataFrame) -> DataFrame:
-    """The model columns of a labelled panel, with the delinquency code as a number."""
-    keys = [c for c in ("loan_identifier", "observation_month", "default_12m", "copies") if c in panel.columns]
+def type_features(panel: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """The model columns of a labelled panel and further `keys`, with the delinquency code as a number."""
+    known = ("loan_identifier", "observation_month", "default_12m", "copies", *keys)
+    keys = [c for c in known if c in panel.columns]
     typed = panel.withColumn(
         "delinquency_status_numeric", parse_numeric_status("current_loan_delinquency_status")
     )
@@ -40,9 +41,9 @@ def type_features(panel: DataFrame) -> DataFrame:
     return typed.select(*keys, *PD_NUMERIC, *extra, *PD_CATEGORICAL)
 
 
-def model_data(panel: DataFrame, profile: str = "train") -> DataFrame:
+def model_data(panel: DataFrame, profile: str = "train", keys: Sequence[str] = ()) -> DataFrame:
     """Typed and cleaned modelling rows; two projections that the optimizer folds into one."""
-    return clean_sentinels(type_features(panel), profile)
+    return clean_sentinels(type_features(panel, keys), profile)
 
 
 def fill_flags(df: DataFrame, columns: Sequence[str], value: str = "None") -> DataFrame:

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from lossgrid.fixed import DRIFT_FEATURES, PSI_BINS, PSI_SHARE_FLOOR
 from lossgrid.functions.scalars import nan_to_null
 from lossgrid.operators.binning import bin_number, quantile_edges
-from lossgrid.operators.order import ROWS_PER_BUCKET
 
 
 def psi_bins(
@@ -18,7 +17,7 @@ def psi_bins(
     actual: DataFrame,
     features: Sequence[str] = DRIFT_FEATURES,
     bins: int = PSI_BINS,
-    rows_per_bucket: int = ROWS_PER_BUCKET,
+    rows_per_bucket: int | None = None,
 ) -> DataFrame:
     """Row counts and shares per feature and bin; -1 is the bin of missing values.
 
@@ -62,7 +61,7 @@ def psi(
     actual: DataFrame,
     features: Sequence[str] = DRIFT_FEATURES,
     bins: int = PSI_BINS,
-    rows_per_bucket: int = ROWS_PER_BUCKET,
+    rows_per_bucket: int | None = None,
 ) -> DataFrame:
     """Population stability index per feature, most drifted first."""
     a, e = F.col("actual_share"), F.col("reference_share")

@@ -9,25 +9,32 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lossgrid.fixed import PROBABILITY_FLOOR
-from lossgrid.functions.scalars import clip, nan_to_null
+from lossgrid.functions.scalars import all_of, clip, nan_to_null
 from lossgrid.operators.order import (
     BUCKET,
-    MAX_RANK_BUCKETS,
-    ROWS_PER_BUCKET,
     centred_ranks,
     fit_cuts,
     running_totals,
     with_bucket,
 )
+from lossgrid.session import materialise
 
 
 def score_groups(
-    df: DataFrame, score: str, label: str, by: Sequence[str] = (), rows_per_bucket: int = ROWS_PER_BUCKET
+    df: DataFrame,
+    score: str,
+    label: str,
+    by: Sequence[str] = (),
+    rows_per_bucket: int | None = None,
+    weight: str | None = None,
 ) -> DataFrame:
-    """One row per distinct score, best first: positives and negatives on it and ranked above it."""
-    y = F.col(label).cast("long")
+    """One row per distinct score, best first: positives and negatives on it and ranked above it.
+
+    `weight` is a whole number per row, such as the copies of a panel row.
+    """
+    y, n = F.col(label).cast("long"), F.col(weight).cast("long") if weight else F.lit(1).cast("long")
     return running_totals(
-        df, score, {"pos": y, "neg": 1 - y}, by=by, descending=True, rows_per_bucket=rows_per_bucket
+        df, score, {"pos": y * n, "neg": (1 - y) * n}, by=by, descending=True, rows_per_bucket=rows_per_bucket
     )
 
 
@@ -51,13 +58,18 @@ def _area_terms() -> dict[str, Column]:
 
 
 def classification_metrics(
-    df: DataFrame, score: str, label: str, by: Sequence[str] = (), rows_per_bucket: int = ROWS_PER_BUCKET
+    df: DataFrame,
+    score: str,
+    label: str,
+    by: Sequence[str] = (),
+    rows_per_bucket: int | None = None,
+    weight: str | None = None,
 ) -> DataFrame:
     """ROC-AUC, average precision, Brier score, log loss and score summary, over all rows or per group.
 
     One table of distinct scores feeds every measure. The two areas need both classes and are NULL otherwise.
     """
-    groups = score_groups(df, score, label, by, rows_per_bucket)
+    groups = score_groups(df, score, label, by, rows_per_bucket, weight)
     p, pos, neg = F.col(score), F.col("pos"), F.col("neg")
     n = pos + neg
     q = clip(p, PROBABILITY_FLOOR, 1 - PROBABILITY_FLOOR)
@@ -89,16 +101,20 @@ def classification_metrics(
 
 
 def monthly_performance(
-    df: DataFrame, month: str, score: str, label: str, rows_per_bucket: int = ROWS_PER_BUCKET
+    df: DataFrame,
+    month: str,
+    score: str,
+    label: str,
+    rows_per_bucket: int | None = None,
+    weight: str | None = None,
 ) -> DataFrame:
     """Default count and rate, mean score and both areas per month."""
-    return classification_metrics(df, score, label, [month], rows_per_bucket).select(
-        month, "defaults", "observations", "avg_predicted_probability", "actual_default_rate", "roc_auc", "pr_auc"
-    )
+    columns = ["defaults", "observations", "avg_predicted_probability", "actual_default_rate", "roc_auc", "pr_auc"]
+    return classification_metrics(df, score, label, [month], rows_per_bucket, weight).select(month, *columns).orderBy(month)
 
 
 def roc_points(
-    df: DataFrame, score: str, label: str, drop_collinear: bool = True, rows_per_bucket: int = ROWS_PER_BUCKET
+    df: DataFrame, score: str, label: str, drop_collinear: bool = True, rows_per_bucket: int | None = None
 ) -> DataFrame:
     """(fpr, tpr, threshold) for each distinct score, starting at (0, 0) above the best one.
 
@@ -137,7 +153,7 @@ def roc_points(
     )
 
 
-def pr_points(df: DataFrame, score: str, label: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+def pr_points(df: DataFrame, score: str, label: str, rows_per_bucket: int | None = None) -> DataFrame:
     """(recall, precision, threshold, baseline) for each distinct score, ending at recall 0 without a threshold."""
     groups = score_groups(df, score, label, (), rows_per_bucket)
     pos, negatives = class_totals(df, score, label)
@@ -176,8 +192,16 @@ def _correlation() -> Column:
     return F.try_divide(F.col("cov"), F.sqrt(F.col("va") * F.col("vb")))
 
 
+def with_p_value(correlation: DataFrame) -> DataFrame:
+    """The one row of observations and correlation with its two-sided p-value (an action; two numbers)."""
+    n, r = correlation.select("observations", "correlation").first()
+    r = None if r is None else max(-1.0, min(1.0, r))
+    cells = [F.lit(n).cast("long").alias("observations"), F.lit(r).cast("double").alias("correlation")]
+    return correlation.sparkSession.range(1).select(*cells, F.lit(two_sided_p_value(r, n)).cast("double").alias("p_value"))
+
+
 def pearson(df: DataFrame, a: str, b: str) -> DataFrame:
-    """One row: observations and the linear correlation of the rows where both values are known."""
+    """One row: observations, linear correlation and p-value of the rows where both values are known."""
     both = df.select(nan_to_null(a).alias("a"), nan_to_null(b).alias("b")).dropna()
     moments = both.agg(
         F.count("a").alias("observations"),
@@ -185,56 +209,81 @@ def pearson(df: DataFrame, a: str, b: str) -> DataFrame:
         F.var_pop("b").alias("vb"),
         F.covar_pop("a", "b").alias("cov"),
     )
-    return moments.select("observations", _correlation().alias("correlation"))
+    return with_p_value(moments.select("observations", _correlation().alias("correlation")))
 
 
-def spearman(df: DataFrame, a: str, b: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """One row: observations and the correlation of average ranks."""
-    return spearman_matrix(df, [a, b], rows_per_bucket).select("observations", F.col("spearman").alias("correlation"))
+def spearman(df: DataFrame, a: str, b: str, rows_per_bucket: int | None = None) -> DataFrame:
+    """One row: observations, correlation of average ranks and its p-value."""
+    table = spearman_matrix(df, [a, b], rows_per_bucket)
+    return with_p_value(table.select("observations", F.col("spearman").alias("correlation")))
 
 
-def spearman_matrix(df: DataFrame, columns: Sequence[str], rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+def spearman_matrix(df: DataFrame, columns: Sequence[str], rows_per_bucket: int | None = None) -> DataFrame:
     """Rank correlation of each pair of columns over the rows where both are known, as (column_a, column_b, ...).
 
-    Equal pairs of values are combined map-side before anything is ordered, so coded columns shuffle a table of value
-    combinations instead of the rows. All pairs of columns go through the same two rankings.
+    A column is ranked once over its known rows, which serves every partner that is known wherever the column is; only
+    for partners with gaps of their own it is ranked again. So complete columns shuffle rows * columns, not rows * pairs.
     """
     columns = list(columns)
-    base = df.select(*[(nan_to_null(c) + 0.0).alias(f"_x{i}") for i, c in enumerate(columns)])
-    cuts = fit_cuts(base, base.columns, rows_per_bucket, MAX_RANK_BUCKETS)
+    values = [f"_x{i}" for i in range(len(columns))]
+    base = df.select(*[(nan_to_null(c) + 0.0).alias(x) for c, x in zip(columns, values)])
+    # written down, so that a row keeps its number however often it is read
+    base = materialise(base.withColumn("_row", F.monotonically_increasing_id()), "spearman")
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i + 1, len(columns))]
+
+    def known(*numbers: int) -> Column:
+        return F.count_if(all_of([F.col(values[i]).isNotNull() for i in numbers]))
+
+    counts = base.agg(
+        *[known(i).alias(f"n{i}") for i in range(len(columns))], *[known(i, j).alias(f"n{i}_{j}") for i, j in pairs]
+    ).first()
+    # slots: a column's ranks over all its known rows, or over those where a partner is known too
+    slots: list[tuple[int, int | None]] = [(i, None) for i in range(len(columns))]
+    slot_of = {}
+    for i, j in pairs:
+        for own, other in ((i, j), (j, i)):
+            if counts[f"n{own}"] == counts[f"n{i}_{j}"]:
+                slot_of[own, other] = own
+            else:
+                slot_of[own, other] = len(slots)
+                slots.append((own, other))
+
+    cuts = fit_cuts(base, values, rows_per_bucket)
     wide = base
-    for i, x in enumerate(base.columns):
+    for i, x in enumerate(values):
         wide = with_bucket(wide, x, cuts[x], f"_b{i}")
-    pairs = [(i, j) for i in range(len(columns)) for j in range(i + 1, len(columns))]
-    cells = F.array(
-        *[
-            F.struct(
-                F.lit(n).alias("pair"),
-                F.col(f"_x{i}").alias("a"),
-                F.col(f"_b{i}").alias("bucket_a"),
-                F.col(f"_x{j}").alias("b"),
-                F.col(f"_b{j}").alias("bucket_b"),
-            )
-            for n, (i, j) in enumerate(pairs)
-        ]
-    )
-    rows = wide.select(F.inline(cells)).where(F.col("a").isNotNull() & F.col("b").isNotNull())
-    ranked = rows.groupBy("pair", "a", "bucket_a", "b", "bucket_b").agg(F.count(F.lit(1)).alias("weight"))
-    cuts_a = {n: cuts[f"_x{i}"] for n, (i, _) in enumerate(pairs)}
-    cuts_b = {n: cuts[f"_x{j}"] for n, (_, j) in enumerate(pairs)}
-    ranked = centred_ranks(ranked, "a", "weight", "pair", "ra", cuts_a, "bucket_a", ["b"], rows)
-    ranked = centred_ranks(ranked, "b", "weight", "pair", "rb", cuts_b, "bucket_b", ["a"], rows)
-    moments = ranked.groupBy("pair").agg(
-        F.sum("weight").alias("observations"),
-        F.sum(F.col("weight") * F.col("ra") * F.col("ra")).alias("va"),
-        F.sum(F.col("weight") * F.col("rb") * F.col("rb")).alias("vb"),
-        F.sum(F.col("weight") * F.col("ra") * F.col("rb")).alias("cov"),
-    )
-    names = F.array(*[F.struct(F.lit(columns[i]).alias("a"), F.lit(columns[j]).alias("b")) for i, j in pairs])
-    named = names[F.col("pair")]
-    return moments.select(
-        named["a"].alias("column_a"), named["b"].alias("column_b"), "observations", _correlation().alias("spearman")
+    cells = []
+    for n, (i, j) in enumerate(slots):
+        value = F.col(values[i]) if j is None else F.when(F.col(values[j]).isNotNull(), F.col(values[i]))
+        cells.append(F.struct(F.lit(n).alias("slot"), value.alias("value"), F.col(f"_b{i}").alias("bucket")))
+    rows = wide.select("_row", F.inline(F.array(*cells))).where(F.col("value").isNotNull())
+    slot_cuts = {n: cuts[values[i]] for n, (i, _) in enumerate(slots)}
+    weighted = rows.withColumn("weight", F.lit(1).cast("long"))
+    ranked = centred_ranks(weighted, "value", "weight", "slot", "rank", slot_cuts, "bucket", ["_row"], rows)
+    wide = ranked.groupBy("_row").agg(
+        *[F.max(F.when(F.col("slot") == n, F.col("rank"))).alias(f"r{n}") for n in range(len(slots))]
     )
+    sums = []
+    for i, j in pairs:
+        a, b = F.col(f"r{slot_of[i, j]}"), F.col(f"r{slot_of[j, i]}")
+        both = a.isNotNull() & b.isNotNull()
+        name = f"{i}_{j}"
+        sums += [F.count_if(both).alias(f"n{name}"), F.sum(F.when(both, a * a)).alias(f"a{name}")]
+        sums += [F.sum(F.when(both, b * b)).alias(f"b{name}"), F.sum(F.when(both, a * b)).alias(f"c{name}")]
+    moments = wide.agg(*sums)
+    table = [
+        F.struct(
+            F.lit(columns[i]).alias("column_a"),
+            F.lit(columns[j]).alias("column_b"),
+            F.col(f"n{i}_{j}").alias("observations"),
+            F.col(f"a{i}_{j}").alias("va"),
+            F.col(f"b{i}_{j}").alias("vb"),
+            F.col(f"c{i}_{j}").alias("cov"),
+        )
+        for i, j in pairs
+    ]
+    cells = moments.select(F.inline(F.array(*table)))
+    return cells.select("column_a", "column_b", "observations", _correlation().alias("spearman"))
 
 
 def two_sided_p_value(r: float | None, n: int) -> float | None:
@@ -256,7 +305,7 @@ def two_sided_p_value(r: float | None, n: int) -> float | None:
         tiny = 1e-300
         c, d = 1.0, 1 / ((1 - (a + b) * x / (a + 1)) or tiny)
         h = d
-        for m in range(1, 10_000):
+        for m in range(1, 1_000_000):
             for num in (
                 m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
                 -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)),
@@ -265,8 +314,8 @@ def two_sided_p_value(r: float | None, n: int) -> float | None:
                 c = (1 + num / c) or tiny
                 h *= c * d
             if abs(c * d - 1) < 1e-15:
-                break
-        return h
+                return h
+        raise RuntimeError("the continued fraction of the incomplete beta function did not converge")
 
     if x < (a + 1) / (a + b + 2):
         return front * fraction(a, b, x) / a

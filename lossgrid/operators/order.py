@@ -4,8 +4,9 @@ Ranks, running totals and exact quantiles all need a total order over every row.
 send all rows to a single task, so the value range is cut into buckets first:
 
 1. one pass over the column gives its row count and a mergeable quantile sketch (a few kilobytes on the driver);
-2. the sketch yields cut points, as many as the row count asks for. They only steer partitioning: a poor cut makes
-   buckets uneven, never results wrong;
+2. the sketch yields cut points, as many as the row count asks for; beyond what one sketch resolves, buckets that are
+   still too full get sketches of their own until all fit. Cuts only steer partitioning: a poor one makes buckets
+   uneven, never results wrong;
 3. a value so frequent that it fills whole buckets gets a bucket of its own, in which every row has the same rank;
 4. each bucket is ordered by itself, and the totals of the buckets before it are added as an offset.
 
@@ -15,6 +16,7 @@ Cut points travel as literals, so a lost executor recomputes the same buckets.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Mapping, Sequence
 from typing import NamedTuple
 
@@ -23,11 +25,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lossgrid.functions.scalars import any_of, nan_to_null
+from lossgrid.session import setting
 
+# the session setting lossgrid.rowsPerBucket comes before it
 ROWS_PER_BUCKET = 1_000_000
-MAX_BUCKETS = 8192
-MAX_RANK_BUCKETS = 2048
+# cuts that one sketch resolves evenly, and its size; fuller buckets are cut again
+SKETCH_CUTS = 2048
 SKETCH_SIZE = 16384
+# sketches that are queried in one statement
+SKETCHES_AT_ONCE = 64
+# offsets (one row per bucket) are broadcast up to this many
+BROADCAST_BUCKETS = 100_000
 BUCKET = "_bucket"
 
 
@@ -64,10 +72,20 @@ def _quantiles_of(spark, sketches: Mapping[str, bytes], buckets: Mapping[str, in
     return {c: list(row[f"q{i}"]) for i, c in enumerate(names)}
 
 
-def fit_cuts(
-    df: DataFrame, columns: Sequence[str], rows_per_bucket: int = ROWS_PER_BUCKET, max_buckets: int = MAX_BUCKETS
-) -> dict[str, Cuts]:
-    """Cut points for each numeric column. Runs one aggregation; only the sketches reach the driver."""
+def _from_quantiles(values: Sequence[float]) -> tuple[set[float], Counter]:
+    """Cut points, and the values that fill whole buckets with the number of their cuts."""
+    counts = Counter(v + 0.0 for v in values)
+    points = {v for v in counts if math.isfinite(v)}
+    return points, Counter({v: k for v, k in counts.items() if k > 1 and v in points})
+
+
+def fit_cuts(df: DataFrame, columns: Sequence[str], rows_per_bucket: int | None = None) -> dict[str, Cuts]:
+    """Cut points for each numeric column, so that about `rows_per_bucket` rows lie in a bucket at any size.
+
+    One aggregation; only the sketches reach the driver. Where a column needs more than SKETCH_CUTS buckets, the
+    buckets that are too full are cut again, one more aggregation per level.
+    """
+    size = rows_per_bucket or setting(df.sparkSession, "rowsPerBucket", ROWS_PER_BUCKET)
     aggs = []
     for i, c in enumerate(columns):
         x = nan_to_null(c)
@@ -77,19 +95,71 @@ def fit_cuts(
         ]
     row = df.agg(*aggs).first()
     counts = {c: row[f"n{i}"] for i, c in enumerate(columns)}
-    buckets = {c: max(1, min(max_buckets, math.ceil(n / rows_per_bucket))) for c, n in counts.items()}
+    wanted = {c: max(1, math.ceil(n / size)) for c, n in counts.items()}
+    buckets = {c: min(SKETCH_CUTS, n) for c, n in wanted.items()}
     quantiles = _quantiles_of(df.sparkSession, {c: row[f"s{i}"] for i, c in enumerate(columns)}, buckets)
     out = {}
     for c in columns:
-        values = [v + 0.0 for v in quantiles.get(c, [])]
-        repeats = {v: values.count(v) for v in set(values)} if len(set(values)) < len(values) else {}
-        heavy = sorted(v for v, k in repeats.items() if k > 1 and math.isfinite(v))
-        points = sorted({v for v in values if math.isfinite(v)})
-        salts = max((repeats[v] for v in heavy), default=1) + 1 if heavy else 1
-        out[c] = Cuts(counts[c], tuple(points), tuple(heavy), salts)
+        points, heavy = _from_quantiles(quantiles.get(c, []))
+        # a cut stands for more than `size` rows where there are fewer cuts than buckets wanted
+        salts = max(heavy.values(), default=0) * math.ceil(wanted[c] / buckets[c]) + 1
+        out[c] = Cuts(counts[c], tuple(sorted(points)), tuple(sorted(heavy)), salts)
+        if wanted[c] > SKETCH_CUTS:
+            out[c] = _refined(df.select((nan_to_null(c) + 0.0).alias(c)).dropna(), c, out[c], size)
     return out
 
 
+def _refined(df: DataFrame, column: str, cuts: Cuts, size: int) -> Cuts:
+    """Cut every bucket again that holds over twice `size` rows, until none does or no cut is left to make.
+
+    At most rows / size buckets are too full, so as many sketches reach the driver, SKETCHES_AT_ONCE at a time.
+    """
+    while True:
+        whole = cuts.heavy_buckets
+        full = (
+            with_bucket(df, column, cuts)
+            .where(~F.col(BUCKET).isin(whole) if whole else F.lit(True))
+            .groupBy(BUCKET)
+            .agg(
+                F.count(F.lit(1)).alias("n"),
+                F.min(column).alias("low"),
+                F.max(column).alias("high"),
+                F.kll_sketch_agg_double(column, F.lit(SKETCH_SIZE)).alias("sketch"),
+            )
+            .where(F.col("n") > 2 * size)
+            .orderBy(BUCKET)
+        )
+        points, heavy, salts = set(cuts.points), set(cuts.heavy), cuts.salts
+        part: list = []
+
+        def take(part: list) -> int:
+            found, wanted = {}, {}
+            for r in part:
+                name = str(r[BUCKET])
+                if r["low"] == r["high"]:  # one value fills the bucket
+                    heavy.add(r["low"])
+                    points.add(r["low"])
+                    wanted[name] = 0
+                else:
+                    found[name], wanted[name] = r["sketch"], min(SKETCH_CUTS, math.ceil(r["n"] / size))
+            most = max((math.ceil(r["n"] / size) for r in part), default=1)
+            for values in _quantiles_of(df.sparkSession, found, {c: wanted[c] for c in found}).values():
+                new, repeated = _from_quantiles(values)
+                points.update(new)
+                heavy.update(repeated)
+            return most
+
+        for r in full.toLocalIterator():
+            part.append(r)
+            if len(part) == SKETCHES_AT_ONCE:
+                salts, part = max(salts, take(part) + 1), []
+        if part:
+            salts = max(salts, take(part) + 1)
+        if points == set(cuts.points) and heavy == set(cuts.heavy):
+            return cuts
+        cuts = Cuts(cuts.rows, tuple(sorted(points)), tuple(sorted(heavy)), salts)
+
+
 def with_bucket(df: DataFrame, column: str, cuts: Cuts, out: str = BUCKET) -> DataFrame:
     """Bucket number of a non-missing double column; larger values never get a smaller number."""
     return _bucketed(df, column, cuts.splits, out)
@@ -109,7 +179,7 @@ def running_totals(
     by: Sequence[str] = (),
     descending: bool = False,
     cuts: Cuts | None = None,
-    rows_per_bucket: int = ROWS_PER_BUCKET,
+    rows_per_bucket: int | None = None,
     keep_bucket: bool = False,
 ) -> DataFrame:
     """One row per (by, distinct key): the totals of `sums` on that key and, as `<name>_before`, on all keys before it.
@@ -139,15 +209,15 @@ def running_totals(
     if not cuts.points:
         return rows.select(*shown, *by, key, *names, *[f"{n}_before" for n in names])
 
-    # from the rows rather than the ties: they combine map-side into the bucket, so only totals are shuffled
-    totals = base.groupBy(*by, BUCKET).agg(*[F.sum(n).alias(f"_{n}") for n in names])
-    # at most 2 * MAX_BUCKETS rows in each group
+    # from the ties, whose shuffle is computed once for both branches
+    totals = ties.groupBy(*by, BUCKET).agg(*[F.sum(n).alias(f"_{n}") for n in names])
+    # one row per bucket in each group
     across = Window.partitionBy(*by).orderBy(ordered(BUCKET)).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
         *by, BUCKET, *[F.coalesce(F.sum(f"_{n}").over(across), F.lit(0)).alias(f"_{n}_offset") for n in names]
     )
-    if not by:
-        offsets = F.broadcast(offsets)  # at most 2 * MAX_BUCKETS rows in all
+    if not by and len(cuts.splits) <= BROADCAST_BUCKETS:
+        offsets = F.broadcast(offsets)  # one row per bucket
     joined = rows.join(offsets, [*by, BUCKET])
     return joined.select(
         *shown, *by, key, *names, *[(F.col(f"{n}_before") + F.col(f"_{n}_offset")).alias(f"{n}_before") for n in names]
@@ -193,8 +263,8 @@ def centred_ranks(
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
         F.sum("_n").over(Window.partitionBy(by)).alias("_all"),
     )
-    # at most 2 * MAX_RANK_BUCKETS rows per group
-    joined = ranked.join(F.broadcast(offsets), [by, bucket])
+    # one row per group and bucket; broadcast if Spark measures it as small
+    joined = ranked.join(offsets, [by, bucket])
     rank = F.col("_before") + F.when(loose, (F.col("_n") + 1) / 2).otherwise(inside) - (F.col("_all") + 1) / 2
     return joined.select(*df.columns, rank.alias(out))
 
@@ -227,7 +297,7 @@ def _holds(positions: Sequence[int]) -> Column:
 
 
 def exact_quantiles(
-    df: DataFrame, wanted: Mapping[str, Sequence[float]], rows_per_bucket: int = ROWS_PER_BUCKET
+    df: DataFrame, wanted: Mapping[str, Sequence[float]], rows_per_bucket: int | None = None
 ) -> dict[str, list[float] | None]:
     """Linearly interpolated quantiles of several columns, exact at any size; None for a column without values.
 

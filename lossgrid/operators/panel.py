@@ -35,7 +35,7 @@ def observable(perf: DataFrame, cutoff: int = LAST_OBSERVABLE_MONTH) -> DataFram
     return perf.where(F.col(MONTH) <= cutoff)
 
 
-def attach_origination(perf: DataFrame, orig: DataFrame, hot: Sequence = ()) -> DataFrame:
+def attach_origination(perf: DataFrame, orig: DataFrame, hot: DataFrame | None = None) -> DataFrame:
     """Add the static loan attributes (one row per loan) to each performance row."""
     return salted_join(perf, orig, LOAN, "inner", hot)
 
@@ -59,7 +59,7 @@ def label_panel(
     horizon: int = HORIZON_MONTHS,
     cutoff: int | None = LAST_OBSERVABLE_MONTH,
     policy: str = "first",
-    hot: Sequence = (),
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Performance rows still alive, with `observation_month` and `default_12m`.
 
@@ -108,7 +108,7 @@ def pd_panel(
     horizon: int = HORIZON_MONTHS,
     cutoff: int | None = LAST_OBSERVABLE_MONTH,
     policy: str = "first",
-    hot: Sequence = (),
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Events, label and static attributes in one plan: the loan-month modelling panel."""
     labelled = label_panel(perf, default_events(perf), horizon, cutoff, policy, hot)

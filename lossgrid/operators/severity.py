@@ -7,7 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lossgrid.fixed import DEFAULT_CODES
+from lossgrid.fixed import (
+    DEFAULT_CODES,
+    SEVERITY_FEATURES,
+    SEVERITY_FLAGS,
+    SEVERITY_LOAN_ATTRIBUTES,
+    SEVERITY_TARGETS,
+)
 from lossgrid.functions.months import ym_add
 from lossgrid.functions.scalars import as_col, clip, realised_ratio
 from lossgrid.operators.clean import clean_sentinels, fill_flags
@@ -15,21 +21,7 @@ from lossgrid.operators.panel import LOAN, MONTH
 from lossgrid.operators.skew import salted_join
 
 EVENT = [LOAN, "default_month"]
-FEATURES = [
-    "observation_month", "current_actual_upb", "current_loan_delinquency_status", "loan_age", "current_interest_rate",
-    "eltv", "modification_flag", "payment_deferral_flag",
-]
-FLAGS = ["modification_flag", "payment_deferral_flag"]
-TARGETS = [
-    "zero_balance_code", "zero_balance_effective_date", "delinquent_accrued_interest", "zero_balance_removal_upb",
-    "actual_loss",
-]
-HISTORY = [c for c in FEATURES if c != "observation_month"] + TARGETS + ["borrower_assistance_plan"]
-LOAN_ATTRIBUTES = [
-    "credit_score", "mortgage_insurance_pct", "number_of_units", "occupancy_status", "cltv", "dti", "upb", "ltv",
-    "interest_rate", "channel", "property_state", "loan_purpose", "loan_term",
-]
-
+HISTORY = [c for c in SEVERITY_FEATURES if c != "observation_month"] + [*SEVERITY_TARGETS, "borrower_assistance_plan"]
 
 def observation_tag(month: Column | str, default_month: Column | str) -> Column:
     """`default_month`, `1_month_before`, or NULL for any other month."""
@@ -81,33 +73,46 @@ def valid_severity(df: DataFrame) -> DataFrame:
     return df.dropna(subset=["delinquent_accrued_interest", "actual_loss", "zero_balance_removal_upb"])
 
 
-def severity_targets(history: DataFrame) -> DataFrame:
+def severity_targets(history: DataFrame, duplicates: str = "sum") -> DataFrame:
     """Realised exposure and loss per default event.
 
-    A loan-month is one row by contract; where it was reported in parts, the parts add up, so an event has one target
-    and the join back to the features cannot multiply rows.
+    A loan-month is one row by contract. Where it was reported in parts, "sum" adds the parts up, so an event has one
+    target and the join back to the features cannot multiply rows; "repeat" keeps every part as a target of its own, as
+    the source workflow does, and counts equal ones in `parts`.
     """
+    if duplicates not in ("sum", "repeat"):
+        raise ValueError(f"unknown policy for duplicate targets: {duplicates}")
     parts = valid_severity(history.where(F.col("observation_type") == "default_month"))
-    return (
-        parts.groupBy(*EVENT)
-        .agg(
+    amounts = SEVERITY_TARGETS[2:]
+    if duplicates == "sum":
+        table = parts.groupBy(*EVENT).agg(
             F.min("zero_balance_code").alias("zero_balance_code"),
             F.max("zero_balance_effective_date").alias("zero_balance_effective_date"),
-            *[F.sum(F.col(c).cast("double")).alias(c) for c in TARGETS[2:]],
+            *[F.sum(F.col(c).cast("double")).alias(c) for c in amounts],
         )
-        .withColumn("ead", F.col("delinquent_accrued_interest") + F.col("zero_balance_removal_upb"))
-        .withColumn("lgd", realised_ratio("actual_loss", "ead"))
+    else:
+        # each event of the month brings its own copy of a row
+        same = [*EVENT, "zero_balance_code", "zero_balance_effective_date", *amounts]
+        table = parts.groupBy(*same).agg(F.sum("event_records").cast("long").alias("parts"))
+    return table.withColumn("ead", F.col("delinquent_accrued_interest") + F.col("zero_balance_removal_upb")).withColumn(
+        "lgd", realised_ratio("actual_loss", "ead")
     )
 
 
-def severity_dataset(history: DataFrame, orig: DataFrame | None = None, hot: Sequence = ()) -> DataFrame:
+def severity_dataset(
+    history: DataFrame,
+    orig: DataFrame | None = None,
+    hot: DataFrame | None = None,
+    duplicates: str = "sum",
+) -> DataFrame:
     """Features one month before default with realised exposure, loss severity and its model target in [0, 1].
 
-    Events without a row in the month before have no features and drop out, as do events without a valid target.
+    Events without a row in the month before have no features and drop out, as do events without a valid target. With
+    duplicates="repeat" a feature row comes once per distinct target of its event, with `parts` as their number.
     """
-    before = history.where(F.col("observation_type") == "1_month_before").select(*EVENT, *FEATURES, *_extras(history))
-    out = fill_flags(before.join(severity_targets(history), EVENT), FLAGS)
+    before = history.where(F.col("observation_type") == "1_month_before").select(*EVENT, *SEVERITY_FEATURES, *_extras(history))
+    out = fill_flags(before.join(severity_targets(history, duplicates), EVENT), SEVERITY_FLAGS)
     if orig is not None:
-        attributes = clean_sentinels(orig.select(LOAN, *LOAN_ATTRIBUTES), "lgd")
+        attributes = clean_sentinels(orig.select(LOAN, *SEVERITY_LOAN_ATTRIBUTES), "lgd")
         out = salted_join(out, attributes, LOAN, "inner", hot)
     return out.withColumn("lgd_model", clip("lgd", 0.0, 1.0))

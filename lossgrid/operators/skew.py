@@ -8,50 +8,58 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lossgrid.operators.order import BUCKET, fit_cuts, with_bucket
+from lossgrid.session import setting
 
-MAX_HOT_KEYS = 100
-SKETCH_ITEMS = 10_000
-HOT_SHARE = 0.002
-MIN_HOT_ROWS = 200_000
-SALTS = 64
+# rows of one key that a task can take; the session setting lossgrid.rowsPerTask comes before it
+ROWS_PER_TASK = 2_000_000
+# most items that Spark's sketch of frequent items can track
+SKETCH_LIMIT = 1 << 20
+SALTS = "_salts"
 # columns that tell the rows of one loan apart, as far as a table has them
 SPREAD = ("monthly_reporting_period", "observation_month", "default_month", "record_id", "current_actual_upb")
 
 
-def hot_keys(
-    df: DataFrame, key: str, share: float = HOT_SHARE, min_rows: int = MIN_HOT_ROWS
-) -> list:
-    """Keys that hold at least `share` of the rows (and `min_rows` of them), heaviest first.
+def hot_keys(df: DataFrame, key: str, rows_per_task: int | None = None) -> DataFrame | None:
+    """(key, salts) for every key with more rows than a task can take, or None if there cannot be any.
 
-    One pass over the key column with a frequent-items sketch of constant size, no shuffle by key; at most
-    MAX_HOT_KEYS values reach the driver. The list only steers where rows are processed, results do not depend on it.
+    The bound is a number of rows, whatever the table's size. A table with no more rows than that needs no look at its
+    keys. Else one pass with a frequent-items sketch, sized so that its error stays below half the bound: at most
+    8 * rows / rows_per_task items, so no key over the bound is missed; a key over half of it may be listed too. A key's salts
+    follow its estimated rows. The list has at most 2 * rows / rows_per_task entries and only steers where rows are processed.
     """
-    row = df.agg(
-        F.count(key).alias("n"),
-        F.expr(f"approx_top_k({key}, {MAX_HOT_KEYS}, {SKETCH_ITEMS})").alias("top"),
-    ).first()
-    floor = max(share * row["n"], min_rows)
-    return [item["item"] for item in row["top"] or [] if item["item"] is not None and item["count"] >= floor]
+    limit = rows_per_task or setting(df.sparkSession, "rowsPerTask", ROWS_PER_TASK)
+    n = df.count()
+    if n <= limit:
+        return None
+    limit = max(limit, 8 * n // SKETCH_LIMIT)
+    items = min(SKETCH_LIMIT, 1 << (8 * n // limit).bit_length())
+    top = df.agg(F.expr(f"approx_top_k({key}, {min(items, 2 * n // limit + 1)}, {items})").alias("top")).first()["top"]
+    rows = [(r["item"], -(-2 * r["count"] // limit)) for r in top or [] if r["item"] is not None and 2 * r["count"] > limit]
+    if not rows:
+        return None
+    return df.sparkSession.createDataFrame(rows, f"`{key}` {df.schema[key].dataType.simpleString()}, {SALTS} long")
 
 
 def salted_join(
-    left: DataFrame, right: DataFrame, key: str, how: str = "inner", hot: Sequence = (), salts: int = SALTS
+    left: DataFrame, right: DataFrame, key: str, how: str = "inner", hot: DataFrame | None = None
 ) -> DataFrame:
-    """Many-to-one equi join whose hot keys are split over `salts` groups.
+    """Many-to-one equi join whose hot keys are split over as many groups as they have salts.
 
-    Only the right rows of hot keys are repeated (`right` has one row per key, so that is salts * len(hot) rows). The
-    salt hashes a few columns only: the optimizer's work grows quickly with the columns a join key is made of.
+    Only the right rows of hot keys are repeated (`right` has one row per key). The hot table is broadcast: it has one
+    row per few million rows of the data. The salt hashes a few columns only: the optimizer's work grows quickly with
+    the columns a join key is made of.
     """
     if how not in ("inner", "left", "left_semi"):
         raise ValueError(f"cannot salt the right side of a {how} join")
-    if not hot:
+    if hot is None:
         return left.join(right, key, how)
-    is_hot = F.col(key).isin(*hot)
+    salts = F.coalesce(F.col(SALTS), F.lit(1))
     spread_by = [c for c in SPREAD if c in left.columns] or left.columns
-    salt = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
-    spread = left.withColumn("_salt", F.when(is_hot, salt).otherwise(0))
-    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    return spread.join(right.withColumn("_salt", F.explode(copies)), [key, "_salt"], how).drop("_salt")
+    table = F.broadcast(hot.select(key, SALTS))
+    spread = left.join(table, key, "left").withColumn("_salt", F.pmod(F.xxhash64(*spread_by), salts)).drop(SALTS)
+    copies = F.sequence(F.lit(0).cast("long"), salts - 1)
+    repeated = right.join(table, key, "left").withColumn("_salt", F.explode(copies)).drop(SALTS)
+    return spread.join(repeated, [key, "_salt"], how).drop("_salt")
 
 
 def previous_value(
@@ -60,7 +68,7 @@ def previous_value(
     order: Sequence[str],
     columns: Sequence[str],
     prefix: str = "prev_",
-    hot: Sequence = (),
+    hot: DataFrame | None = None,
     rows_per_bucket: int = 100_000,
 ) -> DataFrame:
     """`lag(column) over (partition by key order by order)` for several columns.
@@ -68,13 +76,15 @@ def previous_value(
     A hot key is cut along its order into buckets. Inside a bucket it is a plain lag; the first row of a bucket takes
     the last row of the nearest bucket before it, read from a table with one row per hot key and bucket.
     """
-    if not hot:
+    if hot is None:
         w = Window.partitionBy(key).orderBy(*order)
         return df.select("*", *[F.lag(c).over(w).alias(prefix + c) for c in columns])
 
-    is_hot = F.col(key).isin(*hot)
+    is_hot = F.col("_hot").isNotNull()
+    df = df.join(F.broadcast(hot.select(key, F.lit(True).alias("_hot"))), key, "left").select(*df.columns, "_hot")
     # the order columns are folded bucket by bucket: months first, then the finer columns inside a month
     parts = df
+    rows_per_bucket = rows_per_bucket or setting(df.sparkSession, "rowsPerTask", ROWS_PER_TASK) // 4
     sub: list[str] = []
     cuts = fit_cuts(df.where(is_hot), list(order), rows_per_bucket)
     for i, c in enumerate(order):
@@ -105,7 +115,7 @@ def previous_value(
     )
     joined = inside.join(carried, [key, *sub], "left")
     return joined.select(
-        *df.columns,
+        *[c for c in df.columns if c != "_hot"],
         *[
             F.when((F.col("_at") == 1) & is_hot, F.col(f"_carry.{c}")).otherwise(F.col(prefix + c)).alias(prefix + c)
             for c in columns

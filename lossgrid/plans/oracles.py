@@ -4,7 +4,16 @@ from __future__ import annotations
 
 import re
 
-from lossgrid.fixed import DRIFT_FEATURES, PD_CATEGORICAL, PD_NUMERIC, SENTINELS
+from lossgrid.fixed import (
+    CORRELATION_COLUMNS,
+    CORRELATION_LAST_MONTH,
+    DRIFT_FEATURES,
+    PD_CATEGORICAL,
+    PD_NUMERIC,
+    SENTINELS,
+    TRAIN_ROWS,
+    VALIDATION_ROWS,
+)
 from lossgrid.plans import proxy
 from lossgrid.sources.schemas import ORIGINATION, PERFORMANCE, column_names
 
@@ -31,9 +40,9 @@ def twin(name: str, body: str, **parts: str) -> None:
     ORACLES[name] = f"WITH {recursive}{head}\n{body.strip()}" if needed else body.strip()
 
 
-def cleaned(column: str, profile: str) -> str:
+def cleaned(column: str, profile: str, name: str | None = None) -> str:
     text = column
-    for marker in SENTINELS[profile].get(column, ()):
+    for marker in SENTINELS[profile].get(name or column, ()):
         text = f"NULLIF({text}, {marker!r})"
     return text
 
@@ -304,6 +313,21 @@ twin(
     JOIN t_targets t ON b.loan_identifier = t.loan_identifier AND b.default_month = t.default_month
     JOIN v_orig o ON b.loan_identifier = o.loan_identifier""",
 )
+twin(
+    "severity_dataset_repeated",
+    """SELECT b.loan_identifier, b.default_month, b.record_id, round(ead, 2) AS ead, round(loss / ead, 6) AS lgd,
+      round(least(greatest(loss / ead, 0), 1), 6) AS lgd_model, parts
+    FROM (SELECT DISTINCT loan_identifier, default_month, record_id FROM t_history
+          WHERE observation_type = '1_month_before') b
+    JOIN (SELECT loan_identifier, default_month, delinquent_accrued_interest + zero_balance_removal_upb AS ead,
+            actual_loss AS loss, count(*) AS parts
+          FROM t_history WHERE observation_type = 'default_month' AND delinquent_accrued_interest IS NOT NULL
+            AND actual_loss IS NOT NULL AND zero_balance_removal_upb IS NOT NULL
+          GROUP BY loan_identifier, default_month, zero_balance_code, zero_balance_effective_date,
+            delinquent_accrued_interest, zero_balance_removal_upb, actual_loss) t
+      ON b.loan_identifier = t.loan_identifier AND b.default_month = t.default_month
+    JOIN v_orig o ON b.loan_identifier = o.loan_identifier""",
+)
 twin(
     "severity_keys",
     """SELECT DISTINCT loan_identifier, default_month, record_id FROM t_history
@@ -340,26 +364,68 @@ twin(
     FROM t_severity, t_edges GROUP BY 1""",
     t_edges=edges_sql("t_severity", "lgd_pred", 5),
 )
+# two-sided p-value of a correlation: the regularised incomplete beta function by its continued fraction
+_P_VALUE = {
+    "t_beta": """
+        SELECT n, r, front, below, CASE WHEN below THEN a ELSE 5e-1 END AS aa, CASE WHEN below THEN 5e-1 ELSE a END AS bb,
+          CASE WHEN below THEN x ELSE 1 - x END AS xx
+        FROM (SELECT *, x < (a + 1) / (a + 25e-1) AS below,
+                exp(lgamma(a + 5e-1) - lgamma(a) - lgamma(5e-1) + a * ln(x) + 5e-1 * ln(1 - x)) AS front
+              FROM (SELECT n, r, (n - 2) / 2e0 AS a, 1 - r * r AS x FROM t_correlation))""",
+    "t_fraction": """
+        SELECT 0 AS k, 1e0 AS c, 1 / (1 - (aa + bb) * xx / (aa + 1)) AS d, 1 / (1 - (aa + bb) * xx / (aa + 1)) AS h, aa, bb, xx
+        FROM t_beta
+        UNION ALL SELECT k + 1, 1 + o / c, 1 / (1 + o * d), h * (1 + o / c) / (1 + o * d), aa, bb, xx
+        FROM (SELECT k, aa, bb, xx, 1 + e / c AS c, 1 / (1 + e * d) AS d, h * (1 + e / c) / (1 + e * d) AS h,
+                -(aa + k + 1) * (aa + bb + k + 1) * xx / ((aa + 2 * k + 2) * (aa + 2 * k + 3)) AS o
+              FROM (SELECT *, (k + 1) * (bb - k - 1) * xx / ((aa + 2 * k + 1) * (aa + 2 * k + 2)) AS e FROM t_fraction
+                    WHERE k < 300))""",
+}
+_P_SELECT = """SELECT n AS observations, round(r, 6) AS correlation,
+      round(CASE WHEN below THEN front * h / aa ELSE 1 - front * h / aa END, 6) AS p_value
+    FROM t_beta, (SELECT h FROM t_fraction WHERE k = 300)"""
 twin(
     "pearson_correlation",
-    "SELECT count(*) AS observations, round(corr(lgd_pred, lgd_model), 6) AS correlation FROM t_severity",
+    _P_SELECT,
+    **_P_VALUE,
+    t_correlation="SELECT count(*) AS n, corr(lgd_pred, lgd_model) AS r FROM t_severity",
 )
 _RANKS = "rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2e0"
 twin(
     "spearman_correlation",
-    f"""SELECT count(*) AS observations, round(corr(ra, rb), 6) AS correlation FROM (
+    _P_SELECT,
+    **_P_VALUE,
+    t_correlation=f"""SELECT count(*) AS n, corr(ra, rb) AS r FROM (
       SELECT {_RANKS.format(c="lgd_pred")} AS ra, {_RANKS.format(c="lgd_model")} AS rb FROM t_severity)""",
 )
-_pairs = ["eltv", "ltv", "current_actual_upb", "loan_age", "credit_score", "current_interest_rate"]
-twin(
-    "spearman_matrix",
-    "\nUNION ALL\n".join(
+
+
+def matrix_sql(columns) -> str:
+    return "\nUNION ALL\n".join(
         f"""SELECT '{a}' AS column_a, '{b}' AS column_b, count(*) AS observations, round(corr(ra, rb), 6) AS spearman
         FROM (SELECT {_RANKS.format(c=a)} AS ra, {_RANKS.format(c=b)} AS rb FROM t_attached
               WHERE {a} IS NOT NULL AND {b} IS NOT NULL)"""
-        for i, a in enumerate(_pairs)
-        for b in _pairs[i + 1 :]
-    ),
+        for i, a in enumerate(columns)
+        for b in columns[i + 1 :]
+    )
+
+
+_before = ["eltv", "current_actual_upb", "loan_age", "current_interest_rate"]
+_static = ["ltv", "cltv", "credit_score", "dti", "interest_rate"]
+twin(
+    "spearman_matrix",
+    matrix_sql(CORRELATION_COLUMNS),
+    t_attached=f"""SELECT {", ".join(f"b.{c}" for c in _before)}, {", ".join(f"{cleaned(f'o.{c}', 'lgd', c)} AS {c}" for c in _static)},
+        least(greatest(t.loss / t.ead, 0), 1) AS lgd_model
+      FROM (SELECT DISTINCT loan_identifier, default_month, record_id, {", ".join(f"{cleaned(c, 'lgd')} AS {c}" for c in _before)}
+            FROM t_history WHERE observation_type = '1_month_before' AND default_month <= {CORRELATION_LAST_MONTH}) b
+      JOIN t_targets t ON b.loan_identifier = t.loan_identifier AND b.default_month = t.default_month
+      JOIN v_orig o ON b.loan_identifier = o.loan_identifier""",
+)
+_pairs = ["eltv", "ltv", "current_actual_upb", "loan_age", "credit_score", "current_interest_rate"]
+twin(
+    "spearman_matrix_performance",
+    matrix_sql(_pairs),
     t_attached=f"""SELECT {", ".join(f"{cleaned(c, 'lgd')} AS {c}" for c in _pairs)}
         FROM v_perf p JOIN v_orig o ON p.loan_identifier = o.loan_identifier""",
 )
@@ -373,14 +439,20 @@ twin(
     f"SELECT observation_month, {select_metrics(MONTHLY)} FROM t_groups GROUP BY 1",
     t_groups=score_table("v_scored", "pd_12m", "observation_month"),
 )
+twin(
+    "monthly_performance_all_events",
+    f"SELECT observation_month, {select_metrics(MONTHLY)} FROM t_groups GROUP BY 1",
+    t_copies=f"SELECT observation_month, default_12m, {proxy.FORMULA_PD} FROM t_panel_all",
+    t_groups=score_table("t_copies", "pd_12m_cal", "observation_month"),
+)
 _TOTALS = "(SELECT sum(default_12m) AS p_all, count(*) - sum(default_12m) AS n_all FROM v_scored)"
 twin(
     "roc_points",
-    f"""SELECT round(fp / n_all, 9) AS fpr, round(tp / p_all, 9) AS tpr FROM (
+    f"""SELECT round(fp / n_all, 9) AS fpr, round(tp / p_all, 9) AS tpr, round(p, 9) AS threshold FROM (
       SELECT *, lag(p) OVER w AS best, lead(pos) OVER w AS next_pos, lead(neg) OVER w AS next_neg
       FROM t_groups WINDOW w AS (ORDER BY p DESC)), {_TOTALS}
     WHERE best IS NULL OR next_pos IS NULL OR next_pos <> pos OR next_neg <> neg
-    UNION ALL SELECT 0e0, 0e0""",
+    UNION ALL SELECT 0e0, 0e0, CAST('inf' AS DOUBLE)""",
     t_groups=score_table("v_scored", "pd_12m"),
 )
 twin(
@@ -521,24 +593,57 @@ twin(
         UNION ALL SELECT * FROM v_scored WHERE observation_month BETWEEN 200001 AND 200112""",
     t_groups=score_table("t_both", "p_tie", "observation_month"),
 )
-twin(
-    "stratified_sample",
-    """SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, observation_month, default_12m FROM (
+
+
+def sample_sql(columns: str, size: str, where: str = "true") -> str:
+    """An exact stratified sample of `size` rows, or of all rows if there are fewer."""
+    return f"""SELECT {columns} FROM (
       SELECT *, row_number() OVER (PARTITION BY default_12m ORDER BY md5(concat_ws(':', '42', l_orderkey, l_partkey, l_suppkey, l_linenumber))) AS rn
-      FROM v_scored)
-    JOIN t_quota USING (default_12m) WHERE rn <= quota""",
-    t_quota="""SELECT default_12m, base + CASE WHEN row_number() OVER (ORDER BY remainder DESC, n DESC) <= size - sum(base)
-          OVER () THEN 1 ELSE 0 END AS quota
-        FROM (SELECT default_12m, n, size, size * n // total AS base, size * n % total AS remainder
-              FROM (SELECT default_12m, count(*) AS n FROM v_scored GROUP BY 1),
-                   (SELECT count(*) AS total, CAST(floor(count(*) * 0.4e0) AS BIGINT) AS size FROM v_scored))""",
+      FROM v_scored WHERE {where})
+    JOIN (SELECT default_12m, base + CASE WHEN row_number() OVER (ORDER BY remainder DESC, n DESC) <= size - sum(base)
+            OVER () THEN 1 ELSE 0 END AS quota
+          FROM (SELECT default_12m, n, size, size * n // total AS base, size * n % total AS remainder
+                FROM (SELECT default_12m, count(*) AS n FROM v_scored WHERE {where} GROUP BY 1),
+                     (SELECT count(*) AS total, least(count(*), {size}) AS size FROM v_scored WHERE {where})))
+      USING (default_12m) WHERE rn <= quota"""
+
+
+_SAMPLED = "l_orderkey, l_partkey, l_suppkey, l_linenumber, observation_month, default_12m"
+twin("stratified_sample", sample_sql(_SAMPLED, "CAST(floor(count(*) * 0.4e0) AS BIGINT)"))
+twin("stratified_sample_exact", sample_sql(_SAMPLED, "20000"))
+_SAMPLED = "l_orderkey, l_partkey, l_suppkey, l_linenumber, default_12m"
+twin(
+    "training_sample",
+    sample_sql(f"{_SAMPLED}, 'train' AS split", str(TRAIN_ROWS), "observation_month <= 199812")
+    + "\nUNION ALL\n"
+    + sample_sql(f"{_SAMPLED}, 'validation' AS split", str(VALIDATION_ROWS), "observation_month BETWEEN 199901 AND 199912"),
+)
+twin(
+    "feature_vectors",
+    "\nUNION ALL\n".join(
+        [
+            f"""SELECT loan_identifier, observation_month, record_id, '{c}' AS slot,
+              round(coalesce(CAST({c} AS DOUBLE), (SELECT quantile_cont({c}, 0.5) FROM t_train)), 6) AS value FROM t_rows
+            WHERE coalesce(CAST({c} AS DOUBLE), (SELECT quantile_cont({c}, 0.5) FROM t_train)) <> 0"""
+            for c in PD_NUMERIC
+        ]
+        + [
+            f"""SELECT loan_identifier, observation_month, record_id, '{c}=' || level AS slot, 1e0 AS value
+            FROM (SELECT *, coalesce({c}, (SELECT {c} FROM t_train WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1))
+                    AS level FROM t_rows)
+            WHERE level IN (SELECT {c} FROM t_train)"""
+            for c in PD_CATEGORICAL
+        ]
+    ),
+    t_rows=f"""SELECT loan_identifier, observation_month, record_id, {_model_columns([*PD_NUMERIC, *PD_CATEGORICAL], "unified")}
+        FROM t_panel""",
+    t_train="SELECT * FROM t_rows WHERE observation_month <= 199812",
 )
-_num = ["credit_score", "dti", "eltv", "current_actual_upb", "delinquency_status_numeric"]
-_cat = ["modification_flag", "channel"]
+_num, _cat = PD_NUMERIC, PD_CATEGORICAL
 twin(
     "impute_scale",
     f"""SELECT loan_identifier, observation_month,
-      {", ".join(f"round(({c} - (SELECT avg({c}) FROM t_filled)) / (SELECT stddev_pop({c}) FROM t_filled), 6) AS {c}" for c in _num)},
+      {", ".join(f"round(({c} - (SELECT avg({c}) FROM t_filled)) / (SELECT coalesce(nullif(stddev_pop({c}), 0), 1) FROM t_filled), 6) AS {c}" for c in _num)},
       {", ".join(_cat)} FROM t_filled""",
     t_cleaned=f"SELECT loan_identifier, observation_month, {_model_columns([*_num, *_cat], 'score')} FROM t_panel",
     t_filled=f"""SELECT loan_identifier, observation_month,
@@ -575,17 +680,13 @@ twin(
 twin(
     "balance_lookup",
     """SELECT p.loan_identifier, p.monthly_reporting_period AS observation_month, p.record_id, b.last_upb
-    FROM v_perf p LEFT JOIN (SELECT loan_identifier, observation_month, min(last_upb) AS last_upb FROM t_last GROUP BY 1, 2) b
+    FROM v_perf p LEFT JOIN (SELECT loan_identifier, observation_month, arg_max(last_upb, record_id) AS last_upb FROM t_last GROUP BY 1, 2) b
       ON p.loan_identifier = b.loan_identifier AND p.monthly_reporting_period = b.observation_month""",
 )
 twin(
     "combine_scores",
-    f"""SELECT a.loan_identifier, a.observation_month, pd_12m_cal, lgd
-    FROM (SELECT loan_identifier, observation_month, {proxy.FORMULA_PD} FROM t_unique) a
-    JOIN (SELECT loan_identifier, observation_month, {proxy.FORMULA_LGD} FROM t_unique) b
-      ON a.loan_identifier = b.loan_identifier AND a.observation_month = b.observation_month""",
-    t_unique="""SELECT loan_identifier, monthly_reporting_period AS observation_month, max(record_id) AS record_id
-        FROM v_perf GROUP BY 1, 2""",
+    f"""SELECT loan_identifier, monthly_reporting_period AS observation_month, record_id, {proxy.FORMULA_PD},
+      {proxy.FORMULA_LGD} FROM v_perf""",
 )
 _ECL = """loan_identifier, observation_month, record_id, months_to_legal_maturity, stage, round(lgd, 9) AS lgd,
       round(ead, 2) AS ead, round(hazard_factor, 9) AS hazard_factor, round(ecl, 2) AS ecl"""

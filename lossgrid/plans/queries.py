@@ -8,7 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lossgrid.fixed import DRIFT_FEATURES, PD_NUMERIC, SENTINELS
+from lossgrid.fixed import (
+    CORRELATION_COLUMNS,
+    CORRELATION_LAST_MONTH,
+    DRIFT_FEATURES,
+    PD_CATEGORICAL,
+    PD_NUMERIC,
+    SENTINELS,
+    TRAIN_ROWS,
+    VALIDATION_ROWS,
+)
 from lossgrid.functions.months import date_to_ym, ym_add, ym_to_date, ym_year
 from lossgrid.functions.scalars import (
     clip,
@@ -35,11 +44,13 @@ from lossgrid.operators import (
 from lossgrid.operators import severity as sev
 from lossgrid.operators.skew import hot_keys
 from lossgrid.plans import proxy
+from lossgrid.session import materialise
 from lossgrid.sources.tables import load_features
 
 LOAN, MONTH = panel.LOAN, panel.MONTH
 KEY = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
 ORDER = [MONTH, "record_id"]
+ROW = [LOAN, "observation_month", "record_id"]
 # years of the data at hand for training, validation and test
 SPLIT = {"train": (None, 1998), "validation": (1999, 1999), "test": (2000, 2001)}
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -200,6 +211,14 @@ def severity_dataset(spark, d):
     )
 
 
+@query
+def severity_dataset_repeated(spark, d):
+    """The source workflow's rule: a feature row once per target of its event."""
+    perf, orig, hot = loans(spark, d)
+    rows = sev.severity_dataset(sev.severity_history(perf), orig, hot, duplicates="repeat")
+    return rounded(rows.select(LOAN, "default_month", "record_id", "ead", "lgd", "lgd_model", "parts"), ead=2)
+
+
 @query
 def severity_keys(spark, d):
     history = sev.severity_history(proxy.performance(spark, d))
@@ -259,7 +278,7 @@ def spearman_correlation(spark, d):
 
 
 @query
-def spearman_matrix(spark, d):
+def spearman_matrix_performance(spark, d):
     perf, orig, hot = loans(spark, d)
     rows = panel.attach_origination(
         clean.clean_sentinels(perf, "lgd").drop("interest_rate"), clean.clean_sentinels(orig, "lgd"), hot
@@ -268,6 +287,13 @@ def spearman_matrix(spark, d):
     return rounded(metrics.spearman_matrix(rows, columns))
 
 
+@query
+def spearman_matrix(spark, d):
+    rows = severity_rows(spark, d)
+    rows = rows.where(F.col("default_month") <= CORRELATION_LAST_MONTH)
+    return rounded(metrics.spearman_matrix(rows, CORRELATION_COLUMNS))
+
+
 # ---- classification ----
 
 
@@ -286,9 +312,17 @@ def monthly_performance(spark, d):
     return rounded(metrics.monthly_performance(proxy.scored(spark, d), "observation_month", "pd_12m", "default_12m"), 8)
 
 
+@query
+def monthly_performance_all_events(spark, d):
+    """Rows that several events repeat count once per copy."""
+    rows = labelled(spark, d, "all").select("observation_month", "default_12m", "copies", F.expr(proxy.FORMULA_PD))
+    table = metrics.monthly_performance(rows, "observation_month", "pd_12m_cal", "default_12m", weight="copies")
+    return rounded(table, 8)
+
+
 @query
 def roc_points(spark, d):
-    return rounded(metrics.roc_points(proxy.scored(spark, d), "pd_12m", "default_12m"), 9).drop("threshold")
+    return rounded(metrics.roc_points(proxy.scored(spark, d), "pd_12m", "default_12m"), 9)
 
 
 @query
@@ -367,6 +401,7 @@ def score_summary(spark, d):
 def psi_table(spark, d):
     perf, orig, hot = loans(spark, d)
     rows = ecl.portfolio(perf, orig, None, hot)
+    rows = materialise(rows.select("observation_month", *DRIFT_FEATURES), "psi")
     parts = sampling.temporal_split(rows, "observation_month", {"train": (None, 1998), "test": (2000, 2001)})
     return rounded(drift.psi(parts["train"], parts["test"], DRIFT_FEATURES), 8)
 
@@ -400,16 +435,41 @@ def stratified_sample(spark, d):
 
 @query
 def impute_scale(spark, d):
-    rows = clean.model_data(labelled(spark, d), "score")
-    numeric, categorical = ["credit_score", "dti", "eltv", "current_actual_upb", "delinquency_status_numeric"], [
-        "modification_flag", "channel",
-    ]
+    rows = materialise(clean.model_data(labelled(spark, d), "score"), "impute")
+    numeric, categorical = list(PD_NUMERIC), list(PD_CATEGORICAL)
     imputer = features.fit_imputer(rows, numeric, categorical)
     filled = imputer.transform(rows)
     scaled = features.fit_scaler(filled, numeric).transform(filled)
     return rounded(scaled.select(LOAN, "observation_month", *numeric, *categorical), 6)
 
 
+@query
+def stratified_sample_exact(spark, d):
+    rows = proxy.scored(spark, d).select(*KEY, "observation_month", "default_12m")
+    return sampling.stratified_sample(rows, "default_12m", 20_000, KEY)
+
+
+@query
+def training_sample(spark, d):
+    """Training and validation rows of the published sizes, with their class shares."""
+    parts = sampling.temporal_split(proxy.scored(spark, d), "observation_month", SPLIT)
+    out = None
+    for name, size in (("train", TRAIN_ROWS), ("validation", VALIDATION_ROWS)):
+        rows = models.training_rows(parts[name].select(*KEY, "default_12m"), size, KEY)
+        part = rows.withColumn("split", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query
+def feature_vectors(spark, d):
+    """Every slot of the default model's feature vector that is not zero, fitted on the training period."""
+    rows = materialise(clean.model_data(labelled(spark, d), "unified", ["record_id"]), "features")
+    train = sampling.temporal_split(rows, "observation_month", SPLIT)["train"]
+    model = features.build_features(train, "pd")
+    return rounded(features.feature_values(model, rows, ROW))
+
+
 # ---- expected loss ----
 
 
@@ -422,10 +482,9 @@ def formula_portfolio(spark, d, month: int | None = None) -> DataFrame:
         before = ym_before(month)
         perf = proxy.performance(spark, d, before, month)
         defaults = ecl.last_balance(perf, before, month, ORDER, hot).where(F.col("observation_month") == month)
-    balances = ecl.last_balance_map(defaults, ["record_id"])
     rows = ecl.portfolio(perf, orig, month, hot)
     scored = rows.select("*", F.expr(proxy.FORMULA_PD), F.expr(proxy.FORMULA_LGD))
-    return ecl.compute_ecl(scored.join(balances, [LOAN, "observation_month"], "left"))
+    return ecl.compute_ecl(ecl.lookup(scored, defaults, ["record_id"]))
 
 
 def ym_before(month: int) -> int:
@@ -478,16 +537,16 @@ def balance_lookup(spark, d):
     perf = proxy.performance(spark, d)
     defaults = ecl.last_balance(perf, order=ORDER, hot=hot_keys(perf, LOAN))
     rows = perf.select(LOAN, F.col(MONTH).alias("observation_month"), "record_id")
-    return ecl.lookup(rows, defaults, [LOAN, "observation_month"], "last_upb")
+    return ecl.lookup(rows, defaults.withColumnRenamed("record_id", "default_record"), ["default_record"])
 
 
 @query
 def combine_scores(spark, d):
-    perf, orig, hot = loans(spark, d)
-    unique = perf.groupBy(LOAN, F.col(MONTH).alias("observation_month")).agg(F.max("record_id").alias("record_id"))
-    pd_side = unique.select(LOAN, "observation_month", F.expr(proxy.FORMULA_PD))
-    lgd_side = unique.select(LOAN, "observation_month", F.expr(proxy.FORMULA_LGD))
-    return ecl.combine(pd_side, lgd_side)
+    perf = proxy.performance(spark, d)
+    rows = perf.withColumnRenamed(MONTH, "observation_month")
+    pd_side = rows.select(*ROW, F.expr(proxy.FORMULA_PD))
+    lgd_side = rows.select(*ROW, F.expr(proxy.FORMULA_LGD))
+    return ecl.combine(pd_side, lgd_side, ROW)
 
 
 @query
@@ -503,7 +562,8 @@ def ecl_snapshot(spark, d):
 
 
 def decile_frame(spark, d) -> DataFrame:
-    return reports.with_decile(formula_portfolio(spark, d))
+    columns = [LOAN, "pd_12m_cal", "lgd", "ead", "ecl", "stage", "credit_score", "dti", "ltv", "eltv", "loan_age"]
+    return reports.with_decile(materialise(formula_portfolio(spark, d).select(*columns), "deciles"))
 
 
 @query
@@ -595,5 +655,8 @@ def ecl_from_models(spark, d):
     pd_model = models.fit_pd(parts["train"], "gbt", **ROUNDS["gbt"])
     calibrator = calibration.fit_calibrator(models.score_pd(pd_model, parts["calibration"]))
     lgd_model = models.fit_lgd(severity_rows(spark, d), "gbt", **ROUNDS["gbt"])
-    losses = ecl.portfolio_ecl(perf, orig, pd_model, calibrator, lgd_model, 200107, ORDER, hot=hot).persist()
+    month = 200107
+    recent = proxy.performance(spark, d, ym_before(month), month)  # the bounds reach the scan
+    losses = ecl.portfolio_ecl(recent, orig, pd_model, calibrator, lgd_model, month, ORDER, hot=hot)
+    losses = materialise(losses.select(LOAN, "pd_12m_cal", "lgd", "ead", "ecl", "stage"), "ecl")
     return rounded(reports.decile_ecl(reports.with_decile(losses)))

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import os
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -34,3 +38,25 @@ def use_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str
     if folder:
         spark.sparkContext.setCheckpointDir(folder)
     return folder
+
+
+def setting(spark: SparkSession, name: str, default: int) -> int:
+    """A whole number that a session may set as `lossgrid.<name>`."""
+    return int(spark.conf.get(f"lossgrid.{name}", str(default)))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; only a local session may go without it."""
+    local = spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")
+    own = os.path.join(tempfile.gettempdir(), "lossgrid-checkpoints") if local else None
+    folder = use_checkpoint_dir(spark, own)
+    if not folder:
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return folder
+
+
+def materialise(df: DataFrame, label: str) -> DataFrame:
+    """`df` written as Parquet in the shared folder and read back: computed once, and safe from lost executors."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -12,6 +12,7 @@ from lossgrid.sources.schemas import ORIGINATION, PERFORMANCE
 
 LOAN = "loan_identifier"
 MONTH = "monthly_reporting_period"
+ROWS_PER_FILE = 5_000_000
 
 
 def read_table(
@@ -19,9 +20,10 @@ def read_table(
 ) -> DataFrame:
     """A table with a declared schema; text is trimmed, so blank-padded codes and empty fields become plain or NULL."""
     reader = spark.read.schema(schema)
-    if fmt != "csv":
-        return reader.format(fmt).load(path)
-    df = reader.option("sep", sep).option("header", header).option("mode", "FAILFAST").csv(path)
+    if fmt == "csv":
+        df = reader.option("sep", sep).option("header", header).option("mode", "FAILFAST").csv(path)
+    else:
+        df = reader.format(fmt).load(path)
     text = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     return df.withColumns({c: F.nullif(F.trim(c), F.lit("")) for c in text})
 
@@ -34,15 +36,17 @@ def read_performance(spark: SparkSession, path: str, fmt: str = "parquet", **opt
     return read_table(spark, path, PERFORMANCE, fmt, **options)
 
 
-def write_performance(df: DataFrame, path: str, files_per_month: int = 8) -> None:
-    """Parquet partitioned by month. Each month is written by several tasks, so a large month is no bottleneck."""
-    part = F.pmod(F.xxhash64(*df.columns), F.lit(files_per_month))
-    df.repartition(F.col(MONTH), part).write.mode("overwrite").partitionBy(MONTH).parquet(path)
+def write_performance(df: DataFrame, path: str, rows_per_file: int = ROWS_PER_FILE) -> None:
+    """Parquet partitioned by month. Rows are gathered by month into partitions of the advisory size, so the tasks and
+    files of a month follow its bytes: a large month is written by many tasks, small ones share one."""
+    rows = df.hint("rebalance", MONTH)
+    rows.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).partitionBy(MONTH).parquet(path)
 
 
 def write_bucketed(df: DataFrame, table: str, buckets: int, key: str = LOAN) -> None:
     """Save as a table bucketed and sorted by loan: joins of two such tables on the loan need no shuffle."""
-    df.write.mode("overwrite").format("parquet").bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+    clustered = df.repartition(buckets, key)  # else every task writes a file into every bucket
+    clustered.write.mode("overwrite").format("parquet").bucketBy(buckets, key).sortBy(key).saveAsTable(table)
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
@@ -59,7 +63,8 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
-    return spark.read.schema(schema).option("header", True).csv(path)
+    """Files with a header line; a value that does not fit its type fails the read."""
+    return spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(path)
 
 
 def load_features(

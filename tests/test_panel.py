@@ -47,6 +47,13 @@ def test_label_window(spark):
     assert [r["default_12m"] for r in exactly.collect()] == [1]
 
 
+def hot_table(perf, keys):
+    """The keys with five salts each."""
+    if not keys:
+        return None
+    return perf.sparkSession.createDataFrame([(k, 5) for k in keys], "loan_identifier string, _salts long")
+
+
 @pytest.mark.parametrize("hot", [(), ("hot", "L1")])
 def test_first_event_policy(perf, rows, hot):
     first = {}
@@ -58,7 +65,7 @@ def test_first_event_policy(perf, rows, hot):
         for loan, m, _, i in rows
         if m <= 202306 and (loan not in first or m < first[loan])
     )
-    out = panel.label_panel(perf, panel.default_events(perf), cutoff=202306, hot=hot)
+    out = panel.label_panel(perf, panel.default_events(perf), cutoff=202306, hot=hot_table(perf, hot))
     assert sorted((r["record_id"], r["default_12m"]) for r in out.collect()) == expected
 
 
@@ -76,7 +83,7 @@ def test_all_events_policy_counts_every_copy(perf, rows, hot):
             if d is None or m < d:
                 label = int(d is not None and months_of(d) - months_of(m) <= 12)
                 expected[(i, label)] = expected.get((i, label), 0) + 1
-    out = panel.label_panel(perf, panel.default_events(perf), cutoff=202306, policy="all", hot=hot)
+    out = panel.label_panel(perf, panel.default_events(perf), cutoff=202306, policy="all", hot=hot_table(perf, hot))
     assert {(r["record_id"], r["default_12m"]): r["copies"] for r in out.collect()} == expected
 
 
@@ -89,12 +96,15 @@ def test_label_grows_with_the_horizon(perf):
 
 
 def test_hot_keys_and_salted_join(spark, perf):
-    assert hot_keys(perf, "loan_identifier", 0.2, 1) == ["hot"]
-    assert hot_keys(perf, "loan_identifier", 0.2, 10**6) == []
+    n = perf.where("loan_identifier = 'hot'").count()
+    found = {r["loan_identifier"]: r["_salts"] for r in hot_keys(perf, "loan_identifier", n // 3).collect()}
+    assert found["hot"] >= 3 and set(found) == {"hot"}
+    assert hot_keys(perf, "loan_identifier") is None
+    assert hot_keys(perf, "loan_identifier", n * 10) is None
     right = perf.select("loan_identifier").distinct().where("loan_identifier <> 'L3'").withColumn("x", F.length("loan_identifier"))
     for how in ("inner", "left", "left_semi"):
         plain = perf.join(right, "loan_identifier", how)
-        salted = salted_join(perf, right, "loan_identifier", how, ["hot", "L1"], 5)
+        salted = salted_join(perf, right, "loan_identifier", how, hot_table(perf, ("hot", "L1")))
         assert salted.columns == plain.columns
         assert sorted(map(str, salted.collect())) == sorted(map(str, plain.collect()))
 
@@ -103,7 +113,7 @@ def test_previous_value_of_hot_keys(perf):
     order = ["monthly_reporting_period", "record_id"]
     columns = ["zero_balance_code", "record_id"]
     plain = previous_value(perf, "loan_identifier", order, columns)
-    cut = previous_value(perf, "loan_identifier", order, columns, hot=["hot", "L1"], rows_per_bucket=20)
+    cut = previous_value(perf, "loan_identifier", order, columns, hot=hot_table(perf, ("hot", "L1")), rows_per_bucket=20)
     assert cut.columns == plain.columns
     assert sorted(map(str, cut.collect())) == sorted(map(str, plain.collect()))
 
