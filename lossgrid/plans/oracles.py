@@ -653,6 +653,27 @@ twin(
           for c in _cat)} FROM t_cleaned""",
 )
 
+# the penalised score equations of a logistic fit are 0 at its optimum
+twin(
+    "pd_model_lr_equations",
+    " UNION ALL ".join(
+        [f"SELECT '{c}' AS slot, 0e0 AS equation" for c in PD_NUMERIC]
+        + [
+            f"""SELECT DISTINCT '{c}=' || coalesce({c}, (SELECT {c} FROM t_train WHERE {c} IS NOT NULL GROUP BY 1
+              ORDER BY count(*) DESC, 1 LIMIT 1)), 0e0 FROM t_train"""
+            for c in PD_CATEGORICAL
+        ]
+    ),
+    t_train=f"""SELECT {_model_columns([*PD_NUMERIC, *PD_CATEGORICAL], "unified")} FROM t_panel
+        WHERE observation_month <= 199812""",
+)
+twin(
+    "model_periods",
+    f"""SELECT {split_of("observation_month")} AS split, min(observation_month) AS first_month,
+      max(observation_month) AS last_month, count(*) AS n, CAST(sum(default_12m) AS BIGINT) AS defaults
+    FROM t_panel GROUP BY 1""",
+)
+
 # ---- expected loss ----
 
 twin(

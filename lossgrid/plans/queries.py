@@ -616,6 +616,28 @@ def pd_model_lr(spark, d):
     return default_model(spark, d, "lr")
 
 
+@query
+def pd_model_lr_equations(spark, d):
+    """The optimality conditions of the logistic model, one per slot of the feature vector; all 0."""
+    train = sampling.temporal_split(modelling_rows(spark, d), "observation_month", SPLIT)["train"]
+    train = materialise(models.training_rows(train), "train")
+    table = models.score_equations(models.fit_pd(train, "lr"), train)
+    known = table.where(~F.col("slot").endswith("=(unknown)"))
+    return known.select("slot", (F.round("equation", 4) + F.lit(0.0)).alias("equation"))
+
+
+@query
+def model_periods(spark, d):
+    """What the data decide about a model run: months, rows and defaults of each part."""
+    rows = sampling.with_split(modelling_rows(spark, d), "observation_month", SPLIT)
+    return rows.groupBy("split").agg(
+        F.min("observation_month").alias("first_month"),
+        F.max("observation_month").alias("last_month"),
+        F.count(F.lit(1)).alias("n"),
+        F.sum("default_12m").alias("defaults"),
+    )
+
+
 @query
 def pd_model_gbt(spark, d):
     return default_model(spark, d, "gbt")
