@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
-from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lossgrid.session import use_checkpoint_dir
+from lossgrid.session import materialise, shared_folder
 
 # a key with at least this share of all rows is treated apart; so at most 1 / HOT_SUPPORT keys are ever broadcast
 HOT_SUPPORT = 1e-3
@@ -23,16 +20,6 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; only a local session may go without it."""
-    local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
-    own = os.path.join(tempfile.gettempdir(), "lossgrid-checkpoints") if local else None
-    folder = use_checkpoint_dir(spark, own)
-    if not folder:
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return folder
-
-
 def new_folder(spark: SparkSession, label: str) -> str:
     """A path in the shared folder that nothing else uses."""
     return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
@@ -40,9 +27,7 @@ def new_folder(spark: SparkSession, label: str) -> str:
 
 def keep(df: DataFrame, label: str) -> DataFrame:
     """Write `df` as Parquet in the shared folder and read it back: cuts the lineage and survives lost executors."""
-    path = new_folder(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return materialise(df, label)
 
 
 def text_or_empty(name: str) -> Column:
@@ -62,10 +47,10 @@ def lookup(df: DataFrame, table: DataFrame, key: str, how: str = "left", hot: Da
     The frequent keys' rows of `table` (at most 1 / HOT_SUPPORT) are broadcast, all other keys shuffle as usual. Both
     frames should be cheap to read again: they are scanned once per branch. Rows with a null key have no match.
     """
-    hot = frequent(df, key) if hot is None else hot
-    hot_rows = F.broadcast(table.join(F.broadcast(hot), key, "left_semi"))
-    mapped = df.join(hot_rows, key, "inner")
-    rest = df.join(hot_rows.select(key), key, "left_anti").join(table, key, how)
+    hot = F.broadcast(frequent(df, key) if hot is None else hot)
+    hot_rows = F.broadcast(table.join(hot, key, "left_semi"))
+    mapped = df.join(hot, key, "left_semi").join(hot_rows, key, how)
+    rest = df.join(hot, key, "left_anti").join(table, key, how)
     return mapped.unionByName(rest)
 
 
@@ -110,8 +95,3 @@ def components(edges: DataFrame, label: str = "components", rounds: int = 100) -
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
-
-
-def clean_names(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Only the named columns, whatever else the table carries."""
-    return df.select(*[F.col(f"`{n}`") for n in names])
