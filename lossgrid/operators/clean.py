@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lossgrid.fixed import PD_CATEGORICAL, PD_NUMERIC, SENTINELS
@@ -17,17 +17,17 @@ def select_as(df: DataFrame, mapping: Mapping[str, str] | Sequence[str]) -> Data
     return df.select(*[F.col(source).alias(name) for source, name in pairs])
 
 
+def without_markers(name: str, profile: str) -> Column:
+    """A column with the profile's markers as NULL."""
+    c = F.col(name)
+    for marker in SENTINELS[profile].get(name, ()):
+        c = F.nullif(c, F.lit(marker))
+    return c.alias(name)
+
+
 def clean_sentinels(df: DataFrame, profile: str = "unified") -> DataFrame:
     """Turn the profile's markers into NULL in every column that is present."""
-    rules = SENTINELS[profile]
-    cleaned = {}
-    for name in df.columns:
-        if name in rules:
-            c = F.col(name)
-            for marker in rules[name]:
-                c = F.nullif(c, F.lit(marker))
-            cleaned[name] = c
-    return df.withColumns(cleaned)
+    return df.withColumns({c: without_markers(c, profile) for c in df.columns if c in SENTINELS[profile]})
 
 
 def type_features(panel: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

@@ -129,11 +129,11 @@ def feature_load(spark, d):
 def sentinel_profiles(spark, d):
     orig = proxy.origination(spark, d)
     columns = [c for c in orig.columns if any(c in rules for rules in SENTINELS.values())]
-    out = None
-    for profile in SENTINELS:
-        part = clean.clean_sentinels(orig.select(LOAN, *columns), profile).withColumn("profile", F.lit(profile))
-        out = part if out is None else out.unionByName(part)
-    return out
+    # one pass: a row carries its form under every profile
+    forms = [
+        F.struct(*[clean.without_markers(c, p) for c in columns], F.lit(p).alias("profile")) for p in SENTINELS
+    ]
+    return orig.select(LOAN, F.inline(F.array(*forms)))
 
 
 @query

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
+from lossgrid.session import materialise
+
 NAMESPACES = ("raw", "pd", "lgd", "ecl")
 
 
@@ -26,8 +29,20 @@ class StageCatalog:
         return f"{self.root}/{namespace}/{table}"
 
     def materialize(self, df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
-        """Drop and rebuild the stage, and return it as read back from storage (which also cuts its lineage)."""
-        df.write.mode("overwrite").partitionBy(*partition_by).parquet(self.path(name))
+        """Drop and rebuild the stage, and return it as read back from storage (which also cuts its lineage).
+
+        A frame that reads the stage itself is written to the shared folder first.
+        """
+
+        def write(rows: DataFrame) -> None:
+            rows.write.mode("overwrite").partitionBy(*partition_by).parquet(self.path(name))
+
+        try:
+            write(df)
+        except AnalysisException as e:
+            if "UNSUPPORTED_OVERWRITE" not in (e.getCondition() or ""):
+                raise
+            write(materialise(df, "stage"))
         return self.read(name)
 
     def read(self, name: str) -> DataFrame:

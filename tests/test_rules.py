@@ -11,6 +11,7 @@ from lossgrid.operators import binning, calibration, metrics, models, panel, sam
 from lossgrid.operators.features import fit_modes
 from lossgrid.plans import proxy
 from lossgrid.sources import tables
+from lossgrid.sources.stages import StageCatalog
 
 SF = "/root/testdata/sf0.001"
 
@@ -148,6 +149,13 @@ def test_files_of_a_month_follow_its_rows(spark, tmp_path):
     assert per_file <= 5
 
 
+def test_a_stage_can_be_rebuilt_from_itself(spark, tmp_path):
+    stages = StageCatalog(spark, str(tmp_path))
+    first = stages.materialize(spark.range(10), "raw.numbers")
+    again = stages.materialize(first.where("id < 4"), "raw.numbers")
+    assert again.count() == 4
+
+
 def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 

@@ -28,7 +28,11 @@ def test_loans_are_hot_under_these_settings(small):
     assert hot.where("_salts > 1").count() == hot.count()
 
 
-@pytest.mark.parametrize("name", sorted(set(ORACLES) & set(REGISTRY)))
+# fits with many small jobs, whose order-based parts the other queries cover
+SLOW = {"feature_vectors", "pd_model_lr_equations"}
+
+
+@pytest.mark.parametrize("name", sorted(set(ORACLES) & set(REGISTRY) - SLOW))
 def test_twin(small, name):
     assert difference(REGISTRY[name](small, SF), connect(SF), ORACLES[name]) is None
 
