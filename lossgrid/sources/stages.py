@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from urllib.parse import urlparse
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from lossgrid.session import materialise
@@ -34,15 +34,10 @@ class StageCatalog:
         A frame that reads the stage itself is written to the shared folder first.
         """
 
-        def write(rows: DataFrame) -> None:
-            rows.write.mode("overwrite").partitionBy(*partition_by).parquet(self.path(name))
-
-        try:
-            write(df)
-        except AnalysisException as e:
-            if "UNSUPPORTED_OVERWRITE" not in (e.getCondition() or ""):
-                raise
-            write(materialise(df, "stage"))
+        folder = urlparse(self.path(name)).path + "/"
+        if any(urlparse(f).path.startswith(folder) for f in df.inputFiles()):
+            df = materialise(df, "stage")
+        df.write.mode("overwrite").partitionBy(*partition_by).parquet(self.path(name))
         return self.read(name)
 
     def read(self, name: str) -> DataFrame:
