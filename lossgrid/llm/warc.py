@@ -19,6 +19,8 @@ from lossgrid.llm.common import BROADCAST_ROWS, keep, lookup, maybe_broadcast, n
 
 ARCHIVE_BYTES = 32 << 20
 CHUNK = 16 << 10
+# tasks that read archives; with more archives than that a task reads several, one after another
+MOST_TASKS = 20_000
 # fixed values of the format
 MEMBER = b"\x1f\x8b\x08"
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
@@ -288,7 +290,9 @@ def read_archives(manifest: DataFrame) -> tuple[DataFrame, DataFrame]:
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, SCHEMA)
 
-    found = manifest.select("path").repartition("path").mapInArrow(read, DDL)
+    # a fixed number of tasks: by the bytes of their paths all archives would end up in one
+    tasks = min(max(manifest.count(), 1), MOST_TASKS)
+    found = manifest.select("path").repartition(tasks).mapInArrow(read, DDL)
     records = found.where("reason is null").drop("reason")
     return records, found.where("reason is not null").select("path", "start", "end", "reason")
 
