@@ -2,9 +2,9 @@
 
 Suffixes are only told apart through the threshold depth, so nothing is sorted to the end: a pass deals the suffixes that
 are still together out by their next digit, groups that lie in one document drop out, and the groups left at full depth
-are exactly the repeated windows. Every window of `depth` bytes is filed under its leading digit, the smallest of its
-`digit`-byte strings by hash (a minimizer), which equal windows share wherever they stand; neighbouring windows have the
-same one, so a pass handles a run of windows at once:
+are exactly the repeated windows. Every window of `depth` bytes is filed under its leading digit, one of its
+`digit`-byte strings chosen by content (a minimizer), which equal windows share wherever they stand; neighbouring
+windows have the same one, so a pass handles a run of windows at once:
 
 1. runs are dealt by leading digit; digits that occur in one document only are done;
 2. within a digit, runs are told apart by all their bytes. Runs that an earlier document has as well are repeated as
@@ -34,7 +34,9 @@ from lossgrid.llm.subwords import mix
 from lossgrid.llm.tokens import passes, spread
 
 DEPTH = 50
-DIGIT = 20
+DIGIT = 30
+# shortest string that decides where a leading digit lies
+SHORT = 4
 BATCH_BYTES = 4 << 20
 BLOCK = 1 << 19
 # text in one bucket of the stored batches, about
@@ -90,9 +92,16 @@ def blocks(data: np.ndarray, bounds: np.ndarray, depth: int) -> Iterator[tuple[i
 
 
 def find_runs(hashes: Hashes, inside: np.ndarray, depth: int, digit: int) -> Runs:
-    """All runs of the windows of a block that lie within a text."""
-    size = depth - digit + 1
-    order = hashes.all(digit)
+    """All runs of the windows of a block that lie within a text.
+
+    The leader is chosen by the mod-minimizer scheme: the smallest of the window's short strings by hash, its place
+    taken modulo the number of places a leading digit has. That changes leaders about every depth - digit bytes.
+    """
+    places = depth - digit + 1
+    short = min(SHORT, digit)
+    short += (digit - short) % places
+    size = depth - short + 1
+    order = hashes.all(short)
     bits = np.uint64(max(len(order), 2).bit_length())
     low = (order >> bits << bits) | np.arange(len(order), dtype=np.uint64)
     have = 1
@@ -100,7 +109,8 @@ def find_runs(hashes: Hashes, inside: np.ndarray, depth: int, digit: int) -> Run
         step = min(have, size - have)
         low = np.minimum(low[: len(low) - step], low[step:])
         have += step
-    leader = (low & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    start = np.arange(len(low))
+    leader = start + ((low & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64) - start) % places
     new = inside.copy()
     new[1:] &= (leader[1:] != leader[:-1]) | ~inside[:-1]
     first = np.flatnonzero(new)
@@ -108,7 +118,7 @@ def find_runs(hashes: Hashes, inside: np.ndarray, depth: int, digit: int) -> Run
     stop[:-1] &= (leader[1:] != leader[:-1]) | ~inside[1:]
     last = np.flatnonzero(stop)
     lead = leader[first]
-    top = order[lead] >> np.uint64(64 - LEADING_BITS) << np.uint64(64 - LEADING_BITS)
+    top = hashes.ranges(lead, lead + digit) >> np.uint64(64 - LEADING_BITS) << np.uint64(64 - LEADING_BITS)
     whole = hashes.ranges(first, last + depth) + (lead - first).astype(np.uint64) * FACTOR
     return Runs(first, last, top | mix(whole) >> np.uint64(LEADING_BITS))
 
