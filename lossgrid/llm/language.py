@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lossgrid.llm.common import text_or_empty
+from lossgrid.llm.common import keep, maybe_broadcast, text_or_empty
 from lossgrid.llm.quality import fold
 from lossgrid.llm.subwords import bucket, ngrams, split_words
 from lossgrid.llm.tokens import passes
@@ -105,10 +105,14 @@ def train(texts: list[str], languages: list[str]) -> Model:
 
 def fit(docs: DataFrame, rows: int = ROWS_PER_LANGUAGE) -> Model:
     """Fit on at most `rows` texts of each language outside the held-out fold, in the order of a hash of their id."""
+    labelled = docs.where((fold() != 1) & F.col("lang").isNotNull()).select("doc_id", "lang")
+    counts = keep(labelled.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    # thinned out by the hash to about twice as many rows before a language's rows meet in one task
+    place = F.xxhash64("doc_id") / F.lit(2.0**64) + F.lit(0.5)
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = (
-        docs.where((fold() != 1) & F.col("lang").isNotNull())
-        .select("doc_id", "lang")
+        labelled.join(maybe_broadcast(counts, counts.count()), "lang")
+        .where(place < F.lit(2.0 * rows) / F.col("n"))
         .withColumn("_at", F.row_number().over(order))
         .where(F.col("_at") <= rows)
         .select("doc_id", "lang")
