@@ -26,7 +26,9 @@ RATE = 0.5
 BATCH = 64
 # a document's mean spreads its gradient thinly over thousands of features; this evens the two layers' steps
 SCALE = 30.0
-PASS_BYTES = 4 << 20
+PASS_BYTES = 2 << 20
+# training holds every feature of a pass, so its passes are smaller
+TRAIN_PASS_BYTES = 1 << 20
 
 
 def fold(id_column: str = "doc_id") -> Column:
@@ -98,7 +100,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
         return Model(np.zeros(1 << BITS), 0.0 if not len(y) else 4.0 * (2 * int(y[0]) - 1))
     column = pa.array(texts, pa.string())
     cells, shares, sizes = [], [], []
-    for a, z in passes(column, PASS_BYTES):
+    for a, z in passes(column, TRAIN_PASS_BYTES):
         c, s, b = features(column.slice(a, z - a))
         cells.append(c.astype(np.int32))
         shares.append(s.astype(np.float32))

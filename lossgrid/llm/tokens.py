@@ -15,14 +15,14 @@ VOCABULARY = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"
 END_OF_TEXT = "<|endoftext|>"
 # bytes of text that one pass over a batch may hold
-PASS_BYTES = 8 << 20
+PASS_BYTES = 4 << 20
 # a single space between two other characters is a cut that no token ever spans
 CUT = re.compile(r"(?<=\S) (?=\S)")
 # texts in which the plain cut at every space could part a run of white space, or that may hold other white space
 ODD = r"\s\s|[\x0b\x{85}\x{a0}]|[^\x00-\x{24f}]"
 # words of other scripts go through the tokenizers library: two regular expression engines may class them differently
 OTHER = r"[^\x09\x0a\x20-\x7e\x{a1}-\x{ac}\x{ae}-\x{24f}]|<\|"
-MEMO_WORDS = 100_000
+MEMO_WORDS = 60_000
 
 
 class Encoder:
