@@ -11,8 +11,10 @@ windows have the same one, so a pass handles a run of windows at once:
    a whole; runs that share the digit with other runs go on;
 3. the windows of these runs are told apart at full depth.
 
-Documents are kept in batches of a few megabytes. A batch sends the sorted digits of a pass to buckets and gets back one
-state per digit, so what moves is about one number per run, and the hottest string is one number per batch.
+Documents are kept in batches of a few megabytes. A batch sends the distinct digits of a pass to buckets and gets back
+one state per digit, so what moves is about one number per run. A digit that very many batches have would still bring as
+many numbers to one bucket; such digits are found in a few batches, with the smallest of their documents there. A batch
+whose own documents are larger then knows the answer and sends nothing.
 """
 
 from __future__ import annotations
@@ -44,21 +46,25 @@ STORE_BYTES = 16 << 20
 # digits that one bucket handles, about; there is one per run, and a run for every RUN_BYTES of text
 BUCKET_DIGITS = 500_000
 RUN_BYTES = 16
-# of the 64 bits of a pass-2 digit these many stand for the leading digit
-LEADING_BITS = 30
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+# batches in which hot digits are looked for, in how many of them a digit is hot, and the most digits handed out; digits
+# beyond these go through the buckets like all others
+SAMPLE_BATCHES = 16
+HOT_BATCHES = 6
+MOST_HOT = 50_000
 LAST = np.iinfo(np.int64).max
 NOTHING, OPEN, REPEATED = 0, 1, 2
 
 
 @dataclass
 class Runs:
-    """Runs of windows with the same leading digit: first and last window start, and the run's 64-bit digit."""
+    """Runs of windows with the same leading digit: first and last window start, 64-bit digits of run and leader."""
 
     first: np.ndarray
     last: np.ndarray
     digit: np.ndarray
+    lead: np.ndarray
 
 
 class Hashes:
@@ -118,9 +124,8 @@ def find_runs(hashes: Hashes, inside: np.ndarray, depth: int, digit: int) -> Run
     stop[:-1] &= (leader[1:] != leader[:-1]) | ~inside[1:]
     last = np.flatnonzero(stop)
     lead = leader[first]
-    top = hashes.ranges(lead, lead + digit) >> np.uint64(64 - LEADING_BITS) << np.uint64(64 - LEADING_BITS)
     whole = hashes.ranges(first, last + depth) + (lead - first).astype(np.uint64) * FACTOR
-    return Runs(first, last, top | mix(whole) >> np.uint64(LEADING_BITS))
+    return Runs(first, last, mix(whole), hashes.ranges(lead, lead + digit))
 
 
 class Batch:
@@ -133,12 +138,13 @@ class Batch:
         self.blocks = []
         for start, hashes, inside in blocks(self.data, self.bounds, depth):
             runs = find_runs(hashes, inside, depth, digit)
-            self.blocks.append((start, Runs(runs.first + start, runs.last + start, runs.digit)))
-        self.runs = Runs(*(self.joined([getattr(r, f) for _, r in self.blocks]) for f in ("first", "last", "digit")))
+            self.blocks.append((start, Runs(runs.first + start, runs.last + start, runs.digit, runs.lead)))
 
-    @staticmethod
-    def joined(arrays: list[np.ndarray]) -> np.ndarray:
-        return np.concatenate(arrays) if arrays else np.zeros(0, np.int64)
+        def joined(field: str, kind: type) -> np.ndarray:
+            return np.concatenate([np.zeros(0, kind), *(getattr(r, field) for _, r in self.blocks)])
+
+        places = [joined(f, np.int64) for f in ("first", "last")]
+        self.runs = Runs(*places, *[joined(f, np.uint64) for f in ("digit", "lead")])
 
     def owners(self, at: np.ndarray) -> np.ndarray:
         """The id of the document at each position."""
@@ -159,6 +165,36 @@ class Batch:
         return np.concatenate(at), np.concatenate(digits)
 
 
+@dataclass
+class Hot:
+    """Digits that many batches have, in order, each with a document that has it."""
+
+    digit: np.ndarray
+    owner: np.ndarray
+
+    def lowest_of(self, digit: np.ndarray) -> np.ndarray:
+        """The known document of each digit, LAST for a digit that is not hot."""
+        if not len(self.digit):
+            return np.full(len(digit), LAST)
+        at = np.minimum(np.searchsorted(self.digit, digit), len(self.digit) - 1)
+        return np.where(self.digit[at] == digit, self.owner[at], LAST)
+
+    @staticmethod
+    def find(digits: DataFrame) -> Hot:
+        """From the (digit, owner) rows of the sampled batches; at most MOST_HOT pairs reach the driver."""
+        rows = (
+            digits.groupBy("digit")
+            .agg(F.count("*").alias("n"), F.min("owner").alias("owner"))
+            .where(F.col("n") >= HOT_BATCHES)
+            .orderBy(F.desc("n"), "digit")
+            .limit(MOST_HOT)
+            .collect()
+        )
+        digit = np.array([r["digit"] for r in rows], np.int64).view(np.uint64)
+        order = np.argsort(digit)
+        return Hot(digit[order], np.array([r["owner"] for r in rows], np.int64)[order])
+
+
 @dataclass
 class Digits:
     """The distinct digits of a batch by bucket and smallest document, and which of them each item has."""
@@ -167,10 +203,16 @@ class Digits:
     digit: np.ndarray
     owner: np.ndarray
     item: np.ndarray
+    # 32 bits of the leading digit beside the bucket; none in the last pass
+    lead: np.ndarray
+    # digits that a smaller document is known to have
+    sure: np.ndarray
 
     @staticmethod
-    def of(digit: np.ndarray, owner: np.ndarray, place: np.ndarray, buckets: int) -> Digits:
-        """`place` deals digits to buckets; digits that must meet have the same one."""
+    def of(digit: np.ndarray, owner: np.ndarray, lead: np.ndarray | None, buckets: int, hot: Hot) -> Digits:
+        """Digits are dealt to buckets by their leading digit, in the last pass by themselves."""
+        place = digit if lead is None else lead
+        rest = np.zeros(len(digit), np.uint32) if lead is None else (lead & np.uint64(0xFFFFFFFF)).astype(np.uint32)
         order = np.lexsort((owner, digit))
         new = np.ones(len(order), bool)
         new[1:] = digit[order][1:] != digit[order][:-1]
@@ -181,17 +223,22 @@ class Digits:
         rank = np.lexsort((digit[distinct], owner[distinct], bucket))
         back = np.empty(len(rank), np.int64)
         back[rank] = np.arange(len(rank))
-        return Digits(bucket[rank], digit[distinct][rank], owner[distinct][rank], back[item])
+        found, owners = digit[distinct][rank], owner[distinct][rank]
+        rest = rest[distinct][rank] if lead is not None else rest[:0]
+        return Digits(bucket[rank], found, owners, back[item], rest, hot.lowest_of(found) < owners)
 
     def rows(self, batch: int) -> Iterator[dict]:
         """One row per bucket: the digits by owner, and the owners with their number of digits."""
-        cuts = np.flatnonzero(np.diff(self.bucket, prepend=-1, append=-1))
+        bucket, digit, owners = (x[~self.sure] for x in (self.bucket, self.digit, self.owner))
+        lead = self.lead[~self.sure] if len(self.lead) else self.lead
+        cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
         for a, z in zip(cuts, cuts[1:], strict=False):
-            owner, number = np.unique(self.owner[a:z], return_counts=True)
+            owner, number = np.unique(owners[a:z], return_counts=True)
             yield {
-                "bucket": int(self.bucket[a]),
+                "bucket": int(bucket[a]),
                 "batch": batch,
-                "digits": self.digit[a:z].astype("<u8").tobytes(),
+                "digits": digit[a:z].astype("<u8").tobytes(),
+                "leads": lead[a:z].astype("<u4").tobytes(),
                 "owners": owner.astype("<i8").tobytes(),
                 "numbers": number.astype("<u4").tobytes(),
             }
@@ -200,14 +247,17 @@ class Digits:
         """The state of each item from the buckets' answers, which come in any order."""
         answers = sorted(answers or [], key=lambda x: x["bucket"])
         own = np.concatenate([np.zeros(0, np.uint8), *(np.frombuffer(x["states"], np.uint8) for x in answers)])
-        if len(own) != len(self.digit):
+        if len(own) != np.count_nonzero(~self.sure):
             raise ValueError("the answers do not fit the batch's digits")
-        return own[self.item]
+        state = np.full(len(self.digit), REPEATED, np.uint8)
+        state[~self.sure] = own
+        return state[self.item]
 
 
-DIGIT_ROWS = "bucket long, batch long, digits binary, owners binary, numbers binary"
+DIGIT_ROWS = "bucket long, batch long, digits binary, leads binary, owners binary, numbers binary"
 DIGIT_SCHEMA = pa.schema(
-    [("bucket", pa.int64()), ("batch", pa.int64())] + [(n, pa.binary()) for n in ("digits", "owners", "numbers")]
+    [("bucket", pa.int64()), ("batch", pa.int64())]
+    + [(n, pa.binary()) for n in ("digits", "leads", "owners", "numbers")]
 )
 
 
@@ -219,14 +269,15 @@ def lowest(group: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return number, low
 
 
-def judge(digit: np.ndarray, owner: np.ndarray, leading: bool) -> np.ndarray:
+def judge(digit: np.ndarray, owner: np.ndarray, lead: np.ndarray | None) -> np.ndarray:
     """REPEATED where a smaller document has the digit; OPEN where, in pass 2, it may share windows with other runs."""
     number, low = lowest(digit, owner)
     state = np.where(owner > low[number], REPEATED, NOTHING).astype(np.uint8)
-    if leading:
+    if lead is not None:
         # per leading digit the smallest and the largest first owner of its runs
-        lead = np.unique(digit) >> np.uint64(64 - LEADING_BITS)
-        top, least = lowest(lead, low)
+        lead_of = np.empty(len(low), lead.dtype)
+        lead_of[number] = lead
+        top, least = lowest(lead_of, low)
         most = np.full(len(least), -LAST)
         np.maximum.at(most, top, low)
         mixed = (least < most)[top]
@@ -238,13 +289,14 @@ def answer(sent: DataFrame, leading: bool) -> DataFrame:
     """(batch, answers): for every digit that a batch sent its state."""
 
     def run(table: pa.Table) -> pa.Table:
-        rows = table.select(["batch", "bucket", "digits", "owners", "numbers"]).to_pylist()
+        rows = table.select(["batch", "bucket", "digits", "leads", "owners", "numbers"]).to_pylist()
         digits = [np.frombuffer(r["digits"], "<u8") for r in rows]
         owners = [
             np.repeat(np.frombuffer(r["owners"], "<i8"), np.frombuffer(r["numbers"], "<u4").astype(np.int64))
             for r in rows
         ]
-        state = judge(np.concatenate(digits), np.concatenate(owners), leading)
+        leads = np.concatenate([np.frombuffer(r["leads"], "<u4") for r in rows]) if leading else None
+        state = judge(np.concatenate(digits), np.concatenate(owners), leads)
         cuts = np.cumsum([0, *map(len, digits)])
         return pa.table(
             {
@@ -303,23 +355,28 @@ def remove_repeats(
     on the input. Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept_sha256 (hex digest of the
     remaining bytes), with `with_text` also `kept`, the remaining bytes. A null text is empty. A null id counts as
     larger than any other. Rows with equal ids do not remove each other's bytes. An empty table gives an empty result;
-    other columns are not read. Equality is that of 64-bit hashes within a bucket.
+    other columns are not read. Runs are told apart by 96 bits and windows by 64 bits of hash, and by their bucket.
     """
     rows = docs.select(F.col(id_column).cast("long").alias("id"), text_or_empty(text_column).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     batches = store(rows, batch_bytes, total)
+    step = max(1, -(-total // batch_bytes) // SAMPLE_BATCHES)
+    sampled = F.pmod(F.xxhash64("batch"), F.lit(step)) == 0
+    nothing = Hot(np.zeros(0, np.uint64), np.zeros(0, np.int64))
     buckets = max(1, -(-total // (RUN_BYTES * BUCKET_DIGITS)))
 
-    def opened(row: dict) -> tuple[Batch, Digits]:
+    def opened(row: dict, hot: Hot) -> tuple[Batch, Digits]:
         ids = np.array([LAST if x is None else x for x in row["ids"]], np.int64)
         batch = Batch(ids, np.array(row["sizes"], np.int64), row["body"], depth, digit)
-        place = batch.runs.digit.astype(np.uint64) >> np.uint64(64 - LEADING_BITS)
         owners = batch.owners(batch.runs.first)
-        return batch, Digits.of(batch.runs.digit.astype(np.uint64), owners, place, buckets)
+        return batch, Digits.of(batch.runs.digit, owners, batch.runs.lead, buckets, hot)
 
-    def open_windows(batch: Batch, state: np.ndarray) -> tuple[np.ndarray, Digits]:
+    def open_windows(batch: Batch, state: np.ndarray, hot: Hot) -> tuple[np.ndarray, Digits]:
         at, digits = batch.windows(state == OPEN)
-        return at, Digits.of(digits, batch.owners(at), digits, buckets)
+        return at, Digits.of(digits, batch.owners(at), None, buckets, hot)
+
+    def pairs(digits: Digits) -> pa.RecordBatch:
+        return pa.record_batch({"digit": pa.array(digits.digit.view(np.int64)), "owner": pa.array(digits.owner)})
 
     def run_states(batch: Batch, digits: Digits, answers: list[dict]) -> np.ndarray:
         """Within the batch a run is also repeated if a smaller document of the batch has it."""
@@ -332,28 +389,47 @@ def remove_repeats(
             for i in range(part.num_rows):
                 yield part.slice(i, 1).to_pylist()[0]
 
+    def sample_runs(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in rows_of(parts):
+            yield pairs(opened(row, nothing)[1])
+
+    hot_runs = Hot.find(batches.where(sampled).mapInArrow(sample_runs, "digit long, owner long"))
+
     def send_runs(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(parts):
-            _, digits = opened(row)
+            _, digits = opened(row, hot_runs)
             yield pa.RecordBatch.from_pylist(list(digits.rows(row["batch"])), DIGIT_SCHEMA)
 
+    run_answers = keep(answer(batches.mapInArrow(send_runs, DIGIT_ROWS), True), "suffix-run-answers")
+    known = batches.join(run_answers, "batch", "left")
+
+    def sample_windows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in rows_of(parts):
+            batch, digits = opened(row, hot_runs)
+            yield pairs(open_windows(batch, run_states(batch, digits, row["answers"]), nothing)[1])
+
+    hot_windows = Hot.find(known.where(sampled).mapInArrow(sample_windows, "digit long, owner long"))
+
     def send_windows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(parts):
-            batch, digits = opened(row)
-            _, windows = open_windows(batch, run_states(batch, digits, row["answers"]))
+            batch, digits = opened(row, hot_runs)
+            _, windows = open_windows(batch, run_states(batch, digits, row["answers"]), hot_windows)
             yield pa.RecordBatch.from_pylist(list(windows.rows(row["batch"])), DIGIT_SCHEMA)
 
+    window_answers = answer(known.mapInArrow(send_windows, DIGIT_ROWS), False)
+    window_answers = keep(window_answers.withColumnRenamed("answers", "window_answers"), "suffix-window-answers")
+
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(parts):
-            batch, digits = opened(row)
+            batch, digits = opened(row, hot_runs)
             state = run_states(batch, digits, row["answers"])
-            at, windows = open_windows(batch, state)
+            at, windows = open_windows(batch, state, hot_windows)
             repeated = windows.states(row["window_answers"]) == REPEATED
             repeated |= batch.owners(at) > windows.owner[windows.item]
             whole = state == REPEATED
             change = np.zeros(len(batch.data) + depth + 1, np.int32)
-            np.add.at(change, batch.runs.first[whole].astype(np.int64), 1)
-            np.add.at(change, batch.runs.last[whole].astype(np.int64) + depth, -1)
+            np.add.at(change, batch.runs.first[whole], 1)
+            np.add.at(change, batch.runs.last[whole] + depth, -1)
             np.add.at(change, at[repeated], 1)
             np.add.at(change, at[repeated] + depth, -1)
             gone = np.cumsum(change)[: len(batch.data)] > 0
@@ -371,9 +447,5 @@ def remove_repeats(
             out["doc_id"] = pa.array(row["ids"], pa.int64())
             yield pa.record_batch({k: v if isinstance(v, pa.Array) else pa.array(v) for k, v in out.items()})
 
-    run_answers = keep(answer(batches.mapInArrow(send_runs, DIGIT_ROWS), True), "suffix-run-answers")
-    known = batches.join(run_answers, "batch", "left")
-    window_answers = answer(known.mapInArrow(send_windows, DIGIT_ROWS), False)
-    window_answers = keep(window_answers.withColumnRenamed("answers", "window_answers"), "suffix-window-answers")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     return known.join(window_answers, "batch", "left").mapInArrow(cut, schema + (", kept binary" if with_text else ""))

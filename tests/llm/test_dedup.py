@@ -253,9 +253,12 @@ def test_suffix_dedup_matches_brute_force(spark, options):
     assert rows_of(suffix_dedup.remove_repeats(df, **options)) == brute_suffix(rows, options.get("depth", 50))
 
 
-def test_suffix_dedup_small_blocks_many_buckets(spark, monkeypatch):
+@pytest.mark.parametrize("hot_batches", [2, 6])
+def test_suffix_dedup_small_blocks_many_buckets(spark, monkeypatch, hot_batches):
     rows = overlapping(30, 9)
     monkeypatch.setattr(suffix_dedup, "BLOCK", 100)
+    monkeypatch.setattr(suffix_dedup, "HOT_BATCHES", hot_batches)
+    monkeypatch.setattr(suffix_dedup, "MOST_HOT", 40)
     monkeypatch.setattr(suffix_dedup, "BUCKET_DIGITS", 20)
     assert rows_of(suffix_dedup.remove_repeats(table(spark, rows), batch_bytes=900)) == brute_suffix(rows, 50)
 
