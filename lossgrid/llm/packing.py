@@ -122,14 +122,16 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, bucket_rows: int = BUCKET_R
 
     `parts` has doc_id, start, length (1 to `capacity`) and ids_crc32; it is read several times, so it should be a
     written table. Only the histogram of lengths, at most `capacity` rows, reaches the driver. Pieces of a length are
-    ranked in buckets of about `bucket_rows`, however many of them there are, and look up their place in the plan.
+    ranked in buckets and look up their place in the plan. There are as many buckets as shuffle partitions, so that a
+    frequent length is spread over all tasks, and more where a bucket would get over `bucket_rows` pieces.
     """
     histogram = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}
     places = plan(histogram, capacity)
     schema = "length long, lo long, hi long, uses long, first_sequence long, base long"
     table = F.broadcast(parts.sparkSession.createDataFrame(places, schema))
 
-    buckets = max(1, -(-sum(histogram.values()) // bucket_rows))
+    partitions = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(partitions, -(-sum(histogram.values()) // bucket_rows))
     key = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(buckets)).alias("bucket")
     dealt = parts.select("*", key)
     sizes = dealt.groupBy("length", "bucket").agg(F.count("*").alias("n"))
