@@ -1,8 +1,8 @@
-"""Line dedup: content-defined chunks of lines; chunks that repeat anywhere in the corpus are removed."""
+"""Line dedup: repeated passages of lines, found by all least windows of lines or by content-defined chunks."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import xxhash
@@ -62,13 +62,70 @@ def body(chunk: str) -> str | None:
     return chunk.removesuffix("\n")
 
 
+def windows(text: str) -> list[tuple[int, int]]:
+    """The least windows of a text, as first and last line, in order.
+
+    A window begins and ends at a line that is not blank, has LEAST_LINES such lines and LEAST_CHARACTERS characters
+    without its last line break. For every such line the shortest window that begins there and the shortest one that
+    ends there are listed. Both depend on the window's own lines alone, so equal passages have equal windows, and a
+    passage that is large enough to count is covered by the windows inside it.
+    """
+    starts, ends, full = _bounds(text)
+    out = set()
+    b = 0
+    for a in range(len(full) - LEAST_LINES + 1):
+        b = max(b, a + LEAST_LINES - 1)
+        while b < len(full) and ends[full[b]] - starts[full[a]] < LEAST_CHARACTERS:
+            b += 1
+        if b == len(full):
+            break
+        out.add((full[a], full[b]))
+    a = 0
+    for b in range(LEAST_LINES - 1, len(full)):
+        if ends[full[b]] - starts[full[a]] < LEAST_CHARACTERS:
+            continue
+        while a + LEAST_LINES <= b and ends[full[b]] - starts[full[a + 1]] >= LEAST_CHARACTERS:
+            a += 1
+        out.add((full[a], full[b]))
+    return sorted(out)
+
+
+def _bounds(text: str) -> tuple[list[int], list[int], list[int]]:
+    """Where each line begins and where it ends without its line break, and the numbers of lines that are not blank."""
+    starts, ends, full, at = [], [], [], 0
+    for i, line in enumerate(text.split("\n")):
+        starts.append(at)
+        ends.append(at + len(line))
+        at += len(line) + 1
+        if line.strip():
+            full.append(i)
+    return starts, ends, full
+
+
+def window_bodies(text: str) -> list[str]:
+    """What is compared of each window: its bytes without the last line break."""
+    starts, ends, _ = _bounds(text)
+    return [text[starts[a] : ends[z]] for a, z in windows(text)]
+
+
+def chunk_bodies(text: str) -> list[str | None]:
+    return [body(chunk) for chunk in chunks(text)]
+
+
 def _digest(text: str) -> int:
     value = xxhash.xxh64_intdigest(text)
     return value - (1 << 64) if value >> 63 else value
 
 
-def repeated_chunks(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, hash, chunks): the chunk numbers to remove from the documents that have any.
+def repeated_chunks(
+    docs: DataFrame,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    bodies_of: Callable[[str], list[str | None]] = chunk_bodies,
+) -> DataFrame:
+    """(id, hash, chunks): the numbers of the chunks that are not the first of their kind, by document.
+
+    `bodies_of` gives what is compared of a text's chunks, or of its windows; None is never compared.
 
     A document is a distinct pair of id and text, so repeated rows are one document; `hash` is Spark's xxhash64 of the
     text. Of equal chunks the first stays: smallest id (null last), then text hash, then place in the document. Digests
@@ -83,8 +140,8 @@ def repeated_chunks(docs: DataFrame, id_column: str = "doc_id", text_column: str
         for batch in batches:
             out = {"id": [], "hash": [], "chunk": [], "digest": []}
             for i, text, h in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for n, chunk in enumerate(chunks(text)):
-                    if (found := body(chunk)) is not None:
+                for n, found in enumerate(bodies_of(text)):
+                    if found is not None:
                         for k, v in (("id", i), ("hash", h), ("chunk", n), ("digest", _digest(found))):
                             out[k].append(v)
             yield pa.record_batch({k: pa.array(v, pa.int64()) for k, v in out.items()})
@@ -102,9 +159,9 @@ def repeated_chunks(docs: DataFrame, id_column: str = "doc_id", text_column: str
         for batch in batches:
             out = {"id": [], "hash": [], "chunk": [], "body": []}
             for i, text, h, numbers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                parts = chunks(text)
+                parts = bodies_of(text)
                 for n in numbers:
-                    for k, v in (("id", i), ("hash", h), ("chunk", n), ("body", body(parts[n]))):
+                    for k, v in (("id", i), ("hash", h), ("chunk", n), ("body", parts[n])):
                         out[k].append(v)
             yield pa.record_batch(
                 {k: pa.array(v, pa.string() if k == "body" else pa.int64()) for k, v in out.items()}
@@ -142,7 +199,51 @@ def remove_repeated_lines(
     An empty table gives an empty result. Other columns are passed through, whatever
     their names; one called like `count_column` is replaced.
     """
-    gone = repeated_chunks(docs, id_column, text_column)
+    return _edited(docs, id_column, text_column, count_column, chunk_bodies, without_chunks)
+
+
+def remove_repeated_passages(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", count_column: str = "lines_removed"
+) -> DataFrame:
+    """Like `remove_repeated_lines`, but every repeated passage goes, whatever stands around it.
+
+    A passage is a run of lines with LEAST_LINES lines that are not blank and LEAST_CHARACTERS characters at least. It is
+    removed if an equal one stands in an earlier document or ends before it in the same one. Blank lines at either end of
+    a passage stay. As a line goes only with an equal one before it, the first of each kind stays.
+    """
+    return _edited(docs, id_column, text_column, count_column, window_bodies, without_windows)
+
+
+def without_chunks(text: str, numbers: list[int]) -> tuple[str, int]:
+    """The text without these chunks, and the number of lines removed."""
+    drop, parts = set(numbers), chunks(text)
+    left = "".join(p for n, p in enumerate(parts) if n not in drop)
+    return left, sum(len(split_lines(p)) for n, p in enumerate(parts) if n in drop)
+
+
+def without_windows(text: str, numbers: list[int]) -> tuple[str, int]:
+    """The text without these windows, and the number of lines removed.
+
+    A window that overlaps the first one of its kind is left: that one stands in this text if its number is not listed.
+    """
+    lines, drop, gone, first = split_lines(text), set(numbers), set(), {}
+    for n, ((a, z), found) in enumerate(zip(windows(text), window_bodies(text), strict=True)):
+        if n not in drop:
+            first.setdefault(found, z)
+        elif first.get(found, -1) < a:
+            gone.update(range(a, z + 1))
+    return "".join(line for i, line in enumerate(lines) if i not in gone), len(gone)
+
+
+def _edited(
+    docs: DataFrame,
+    id_column: str,
+    text_column: str,
+    count_column: str,
+    bodies_of: Callable[[str], list[str | None]],
+    without: Callable[[str, list[int]], tuple[str, int]],
+) -> DataFrame:
+    gone = repeated_chunks(docs, id_column, text_column, bodies_of)
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != count_column]).alias("row"),
         F.col(id_column).cast("long").alias("id"),
@@ -154,9 +255,9 @@ def remove_repeated_lines(
         for batch in batches:
             out, number = [], []
             for text, numbers in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                drop, parts = set(numbers or ()), chunks(text) if numbers else [text]
-                out.append("".join(p for n, p in enumerate(parts) if n not in drop))
-                number.append(sum(len(split_lines(p)) for n, p in enumerate(parts) if n in drop))
+                left, removed = without(text, numbers) if numbers else (text, 0)
+                out.append(left)
+                number.append(removed)
             columns = [batch.column(0), pa.array(out, pa.string()), pa.array(number, pa.int64())]
             yield pa.record_batch(columns, ["row", "edited", "n"])
 

@@ -10,7 +10,7 @@ from lossgrid.llm.common import read_table
 from lossgrid.llm.decontaminate import contained_items
 from lossgrid.llm.exact_dedup import exact_dedup
 from lossgrid.llm.language import identify
-from lossgrid.llm.line_dedup import remove_repeated_lines
+from lossgrid.llm.line_dedup import remove_repeated_passages
 from lossgrid.llm.packing import pack_documents
 from lossgrid.llm.quality import classify
 from lossgrid.llm.simhash import near_dedup
@@ -25,8 +25,8 @@ def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    """Per document its text without the chunks of lines that an earlier place has."""
-    return remove_repeated_lines(read_table(spark, folder, "documents")).select("doc_id", "text", "lines_removed")
+    """Per document its text without the passages of lines that an earlier place has."""
+    return remove_repeated_passages(read_table(spark, folder, "documents")).select("doc_id", "text", "lines_removed")
 
 
 def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:

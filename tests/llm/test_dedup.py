@@ -207,6 +207,48 @@ def test_chunks_put_together_are_the_text_and_resist_shifts():
     assert len(before & after) >= len(before) - 3
 
 
+def brute_passages(rows):
+    """All runs of lines against all runs before them: in an earlier document, or ending earlier in the same one."""
+    full = lambda run: sum(1 for line in run if line.strip())
+    order = sorted({(i is None, i or 0, t or "") for i, t, *_ in rows}, key=lambda x: (x[0], x[1]))
+    seen, out = set(), {}
+    for no_id, i, t in order:
+        lines, runs, gone = t.split("\n"), [], set()
+        for a in range(len(lines)):
+            for z in range(a + 1, len(lines)):
+                run = tuple(lines[a : z + 1])
+                if run[0].strip() and run[-1].strip() and full(run) >= 2 and len("\n".join(run)) >= 64:
+                    runs.append((a, z, run))
+        own = {}
+        for a, z, run in runs:
+            if run in seen or own.setdefault(run, z) < a:
+                gone.update(range(a, z + 1))
+        seen |= {run for *_, run in runs}
+        parts = line_dedup.split_lines(t)
+        out[None if no_id else i, t] = ("".join(p for j, p in enumerate(parts) if j not in gone), len(gone))
+    return sorted(((i, t if t is None else out[i, t][0], out[i, t or ""][1]) for i, t, *_ in rows), key=str)
+
+
+def test_repeated_passages_of_any_length_go(spark, monkeypatch):
+    """Shared passages of 2 to 20 lines between foreign lines, short lines, blank lines, overlapping repeats."""
+    rng, rows, kinds = random.Random(6), [], {n: passage(n, n) for n in (2, 3, 4, 6, 8, 20)}
+    short = ["a", "bb", "", "ccc " * 5, "d" * 40, " ", "e" * 70]
+    for i in range(40):
+        parts = [passage(rng.choice([0, 1, 3]), 500 + i), kinds[rng.choice([*kinds])], passage(rng.choice([1, 2]), 700 + i)]
+        parts.insert(rng.randrange(4), "\n".join(rng.choice(short) for _ in range(rng.randrange(25))))
+        rows.append((i, "\n".join(parts) + rng.choice(["", "\n", "\n\n"]), "en"))
+    same = passage(1, 9)
+    rows += [(80 + n, "\n".join([same] * n), None) for n in range(1, 6)] + [(90, "x\n" * 200, None), (91, "one line", None)]
+    rows += [(92, None, None), (93, "", None), (94, "\n\n", None), (None, kinds[6], None), (None, kinds[6], None), rows[4]]
+    df = table(spark, rows)
+    for limit in (200_000, -1):
+        monkeypatch.setattr(line_dedup, "maybe_broadcast", lambda d, n, most=limit: common.maybe_broadcast(d, n, most))
+        got = line_dedup.remove_repeated_passages(df)
+        assert rows_of(got.select("doc_id", "text", "lines_removed")) == brute_passages(rows)
+    left = "\n".join(t for i, t in {(r.doc_id, r.text or "") for r in got.collect()})
+    assert all(left.count(k) == 1 for k in kinds.values())
+
+
 # suffix dedup
 
 
