@@ -100,50 +100,107 @@ def parse_record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     if data[end : end + 4] != b"\r\n\r\n":
         raise ValueError("the block does not end where it should")
     block = data[start:end]
-    digests = {"warc-block-digest": block}
-    if headers.get("warc-type") == "response":
-        digests["warc-payload-digest"] = block.partition(b"\r\n\r\n")[2]
-    for name, content in digests.items():
-        stated = headers.get(name, "")
-        if stated.startswith("sha1:") and stated[5:] != sha1_base32(content):
+    for name in checked_digests(headers):
+        content = block if name == "warc-block-digest" else block.partition(b"\r\n\r\n")[2]
+        if headers[name][5:] != sha1_base32(content):
             raise ValueError(f"{name} does not match")
     return headers, block, end + 4
 
 
-def parse_member(data: bytes, at: int) -> tuple[list[tuple[dict[str, str], bytes]], int]:
-    """The records of the compressed member that begins at `at`, and its end; ValueError if any check fails."""
-    unpacker, view, raw, end = zlib.decompressobj(31), memoryview(data), [], at
-    try:
-        while end < len(data) and not unpacker.eof:  # in chunks, as what lies behind the member is copied
-            raw.append(unpacker.decompress(view[end : end + CHUNK]))
-            end += len(view[end : end + CHUNK])
-    except zlib.error as e:
-        raise ValueError("damaged member") from e
-    if not unpacker.eof:
-        raise ValueError("the member has no end")
-    raw = b"".join(raw)
-    records, inner = [], 0
-    while inner < len(raw):
-        headers, block, inner = parse_record(raw, inner)
-        records.append((headers, block))
+def checked_digests(headers: dict[str, str]) -> list[str]:
+    """The headers of a record whose digest can be compared with its block."""
+    names = ["warc-block-digest"] + ["warc-payload-digest"] * (headers.get("warc-type") == "response")
+    return [n for n in names if headers.get(n, "").startswith("sha1:")]
+
+
+def inflate(data: bytes, at: int, most: int | None = None) -> tuple[bytes, int, str]:
+    """What the compressed member at `at` inflates to, where its bytes end, and what is wrong with it, "" if nothing.
+
+    Of a damaged or cut member it is all that comes before the damage. With `most` it stops after the byte of the member
+    with which so many bytes are inflated.
+    """
+    unpacker, view, raw, size, end, step = zlib.decompressobj(31), memoryview(data), [], 0, at, CHUNK
+    while end < len(data) and not unpacker.eof:  # in chunks, as what lies behind the member is copied
+        before = unpacker.copy() if step > 1 else None
+        try:
+            out = unpacker.decompress(view[end : end + step])
+            over = most is not None and size + len(out) >= most
+        except zlib.error:
+            if step == 1:
+                return b"".join(raw), end, "damaged member"
+            over = True
+        if over and step > 1:  # the same chunk again, byte by byte
+            unpacker, step = before, 1
+            continue
+        raw.append(out)
+        size, end = size + len(out), end + len(view[end : end + step])
+        if over:
+            break
+    return b"".join(raw), end - len(unpacker.unused_data), "" if unpacker.eof else "the member has no end"
+
+
+def plain_records(raw: bytes) -> tuple[list[tuple[int, dict[str, str], bytes]], list[tuple[int, int, str]]]:
+    """The records (end, headers, block) of inflated bytes that pass all checks, and the gaps (start, end, reason)."""
+    records, gaps, at, bad, reason = [], [], 0, None, ""
+    while at < len(raw):
+        try:
+            headers, block, end = parse_record(raw, at)
+        except ValueError as e:
+            if bad is None:
+                bad, reason = at, str(e)
+            following = VERSION.search(raw, at + 1)
+            at = following.start() if following else len(raw)
+            continue
+        if bad is not None:
+            gaps.append((bad, at, reason))
+            bad = None
+        records.append((end, headers, block))
+        at = end
+    if bad is not None:
+        gaps.append((bad, len(raw), reason))
+    return records, gaps
+
+
+def parse_member(data: bytes, at: int) -> tuple[list[tuple[dict[str, str], bytes]], list[str], int, str]:
+    """Records of the compressed member at `at`, its inner gaps, how far they reach, and the damage behind, "" if none.
+
+    ValueError if no record passes. A damaged member that is one record and nothing else is as damaged as the member. In
+    a member that does not inflate or whose checksum fails, a record needs a digest of its own to pass.
+    """
+    raw, end, damage = inflate(data, at)
+    records, gaps = plain_records(raw)
+    if damage:
+        if [e for e, *_ in records] == [len(raw)] and not gaps:
+            raise ValueError(damage)
+        if damage == "damaged member":
+            gaps += [(e, e, "no digest in a damaged member") for e, headers, _ in records if not checked_digests(headers)]
+            records = [r for r in records if checked_digests(r[1])]
     if not records:
-        raise ValueError("empty member")
-    return records, end - len(unpacker.unused_data)
+        raise ValueError(damage or (gaps[0][2] if gaps else "empty member"))
+    if damage:
+        last = records[-1][0]
+        end = inflate(data, at, last)[1]
+        gaps = [g for g in gaps if g[0] < last]
+    inner = [f"in the member, up to inflated byte {z}: {why}" for _, z, why in sorted(gaps)]
+    return [(headers, block) for _, headers, block in records], inner, end, damage
 
 
 def salvage(data: bytes) -> Iterator[Record | tuple[int, int, str]]:
     """All records of an archive that pass their checks, and the byte gaps (start, end, reason) between them.
 
     A position is read as a compressed member or as a plain record. Where a check fails, the bytes are quarantined up
-    to the next position that begins a member or a version line and passes all checks itself; so damage costs only the
-    records that it touches. Records and gaps come in file order and cover the file; an empty file gives nothing.
+    to the next position that begins a member or a version line and passes all checks itself. In the inflated bytes of a
+    member, and in those before its damage, the next record is looked for in the same way. So damage costs only the
+    records that it touches. Records and gaps come in file order and cover the file; those inside a member have its
+    place in the file. An empty file gives nothing.
     """
     starts = re.compile(re.escape(MEMBER) + rb"|" + VERSION.pattern)
     at, bad, reason = 0, None, ""
     while at < len(data):
+        inner, damage = [], ""
         try:
             if data.startswith(MEMBER, at):
-                found, end = parse_member(data, at)
+                found, inner, end, damage = parse_member(data, at)
             else:
                 headers, block, end = parse_record(data, at)
                 found = [(headers, block)]
@@ -158,7 +215,13 @@ def salvage(data: bytes) -> Iterator[Record | tuple[int, int, str]]:
             bad = None
         for headers, block in found:
             yield Record(at, end, headers, block)
+        for why in inner:
+            yield at, end, why
         at = end
+        if damage:
+            bad, reason = end, damage
+            following = starts.search(data, end)
+            at = following.start() if following else len(data)
     if bad is not None:
         yield bad, len(data), reason
 

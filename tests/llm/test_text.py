@@ -425,6 +425,42 @@ def test_salvage_costs_only_the_damaged_records(packed):
     assert list(warc.salvage(b"")) == [] and list(warc.salvage(b"no archive")) == [(0, 10, "no version line or no end of the header")]
 
 
+def salvaged_ids(data):
+    return [int(x.headers["warc-record-id"][10:-1]) for x in warc.salvage(data) if isinstance(x, warc.Record)]
+
+
+def salvage_gaps(data):
+    return [x for x in warc.salvage(data) if isinstance(x, tuple)]
+
+
+@pytest.mark.parametrize("level", [0, 4])
+def test_salvage_keeps_the_other_records_of_a_member(level):
+    """Many records in one member: a wrong digest, a damaged and a cut member, a wrong checksum, a member behind it."""
+    parts = records(400)
+    wrong = [*parts]
+    wrong[5] = parts[5].replace(b"payload 5", b"payload 6", 1)
+    data = warc.member(b"".join(wrong), level)
+    assert salvaged_ids(data) == [i for i in range(400) if i != 5]
+    assert [g[:2] for g in salvage_gaps(data)] == [(0, len(data))] and "digest does not match" in salvage_gaps(data)[0][2]
+
+    one, behind = warc.member(b"".join(parts), level), warc.member(records(401)[400], level)
+    inflated = zlib.decompressobj(31).decompress(one[: len(one) // 2])
+    whole = [i for i, end in enumerate(np.cumsum([*map(len, parts)])) if end <= len(inflated)]
+    assert 100 < len(whole) < 300
+    cut = one[: len(one) // 2]
+    assert salvaged_ids(cut) == whole and salvage_gaps(cut)[-1][1:] == (len(cut), "the member has no end")
+    assert salvaged_ids(cut + behind) == [*whole, 400]
+    assert salvaged_ids(one[:-8] + bytes(8) + behind) == [*range(401)]
+    hurt = len(one) // 2
+    damaged = salvaged_ids(one[:hurt] + bytes(b ^ 0x5A for b in one[hurt : hurt + 40]) + one[hurt + 40 :] + behind)
+    assert damaged[: len(whole)] == whole and damaged[-1] == 400 and damaged == sorted(set(damaged))
+
+    plain = [p.replace(b"WARC-Block-Digest", b"X-Block").replace(b"WARC-Payload-Digest", b"X-Payload") for p in parts]
+    member = warc.member(b"".join(plain), level)
+    assert salvaged_ids(member[: len(member) // 2])
+    assert salvaged_ids(member[:-8] + bytes(8) + behind)[-1] == 400 and (level == 0 or len(salvaged_ids(member[:-8] + bytes(8) + behind)) == 1)
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 3000), st.integers(0, 255)), max_size=6), st.booleans())
 def test_salvage_never_invents_or_loses_untouched_records(edits, packed):
