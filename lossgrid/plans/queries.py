@@ -583,18 +583,13 @@ def stage_ecl(spark, d):
 
 # ---- fitted models (no SQL twin) ----
 
-# trial size of the tree models; the full settings are in operators.models
-ROUNDS = {"lr": {}, "gbt": {"maxIter": 10, "maxDepth": 4}, "rf": {"numTrees": 20, "maxDepth": 8}}
-ROUNDS["gbt_wide"] = {"maxIter": 10, "maxDepth": 5}
-
-
 def modelling_rows(spark, d) -> DataFrame:
     return clean.model_data(labelled(spark, d), "unified")
 
 
 def default_model(spark, d, kind: str) -> DataFrame:
     parts = sampling.temporal_split(modelling_rows(spark, d), "observation_month", SPLIT)
-    model = models.fit_pd(parts["train"], kind, **ROUNDS[kind])
+    model = models.fit_pd(parts["train"], kind)
     scored = models.score_pd(model, parts["validation"].unionByName(parts["test"]))
     return rounded(metrics.monthly_performance(scored, "observation_month", "pd_12m", "default_12m"))
 
@@ -606,7 +601,7 @@ def severity_rows(spark, d) -> DataFrame:
 
 def severity_model(spark, d, kind: str) -> DataFrame:
     parts = sampling.temporal_split(severity_rows(spark, d), "default_month", SPLIT)
-    model = models.fit_lgd(parts["train"], kind, **ROUNDS[kind])
+    model = models.fit_lgd(parts["train"], kind)
     scored = models.score_lgd(model, parts["validation"].unionByName(parts["test"]), "lgd_pred", bounded=False)
     return rounded(reports.annual_severity(scored, "observation_month"))
 
@@ -674,9 +669,9 @@ def ecl_from_models(spark, d):
     perf, orig, hot = loans(spark, d)
     rows = modelling_rows(spark, d)
     parts = sampling.temporal_split(rows, "observation_month", {"train": (None, 1998), "calibration": (1999, 2001)})
-    pd_model = models.fit_pd(parts["train"], "gbt", **ROUNDS["gbt"])
+    pd_model = models.fit_pd(parts["train"], "gbt")
     calibrator = calibration.fit_calibrator(models.score_pd(pd_model, parts["calibration"]))
-    lgd_model = models.fit_lgd(severity_rows(spark, d), "gbt", **ROUNDS["gbt"])
+    lgd_model = models.fit_lgd(severity_rows(spark, d), "gbt")
     month = 200107
     recent = proxy.performance(spark, d, ym_before(month), month)  # the bounds reach the scan
     losses = ecl.portfolio_ecl(recent, orig, pd_model, calibrator, lgd_model, month, ORDER, hot=hot)
