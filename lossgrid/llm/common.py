@@ -45,9 +45,10 @@ def lookup(df: DataFrame, table: DataFrame, key: str, how: str = "left", hot: Da
     """`df` joined to `table`, which has one row per key; keys that hold a large part of `df` never share a task.
 
     The frequent keys' rows of `table` (at most 1 / HOT_SUPPORT) are broadcast, all other keys shuffle as usual. Both
-    frames should be cheap to read again: they are scanned once per branch. Rows with a null key have no match.
+    frames should be cheap to read again: they are scanned once per branch. Rows with a null key have no match. The
+    frequent keys are written down before both branches read them, as another evaluation may find others.
     """
-    hot = F.broadcast(frequent(df, key) if hot is None else hot)
+    hot = F.broadcast(keep(frequent(df, key) if hot is None else hot, "frequent-keys"))
     hot_rows = F.broadcast(table.join(hot, key, "left_semi"))
     mapped = df.join(hot, key, "left_semi").join(hot_rows, key, how)
     rest = df.join(hot, key, "left_anti").join(table, key, how)

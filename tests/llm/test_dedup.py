@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import uuid
 
 import pytest
 import xxhash
@@ -153,6 +154,26 @@ def test_lookup_splits_frequent_keys_and_keeps_all_rows(spark):
     )
 
 
+def test_lookup_evaluates_the_frequent_keys_once(spark, tmp_path):
+    """Keys that could differ from one evaluation to the next would lose or double rows."""
+
+    def logged(batches):
+        (tmp_path / uuid.uuid4().hex).touch()
+        yield from batches
+
+    df = spark.createDataFrame([("hot", i) for i in range(50)] + [("a", 50), ("b", 51)], "k string, i int")
+    small = spark.createDataFrame([("hot", 1), ("a", 2)], "k string, v int")
+    hot = spark.createDataFrame([("hot",)], "k string").coalesce(1).mapInArrow(logged, "k string")
+    reuse = spark.conf.get("spark.sql.exchange.reuse")
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        got = [tuple(r) for r in common.lookup(df, small, "k", hot=hot).collect()]
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", reuse)
+    assert len(list(tmp_path.iterdir())) == 1
+    assert sorted(got) == sorted([("hot", i, 1) for i in range(50)] + [("a", 50, 2), ("b", 51, None)])
+
+
 # line dedup
 
 
