@@ -45,4 +45,24 @@ ORACLES = {
                CASE WHEN page_id <> top THEN top END AS refers_to
         FROM g
     """,
+    # marks: 3 characters begin a conversation, [INST] [/INST], [SYS] [/SYS], </s>, [MSG] between merged turns, and one
+    # backslash more for each mark inside a text
+    "op11_chat_formatting": r"""
+        WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                   UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+                   UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+             e AS (SELECT *, regexp_replace(regexp_replace(text, '<(\\*(?:/s>|s>))', '<\\\1', 'g'),
+                                            '\[(\\*(?:/?(?:INST|SYS|ROLE)\]|MSG\]))', '[\\\1', 'g') AS escaped,
+                          lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS before
+                   FROM c)
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+               CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               CAST(3 + sum(length(escaped) + CASE WHEN role = before THEN 5
+                                                   WHEN role = 'user' THEN 13 WHEN role = 'system' THEN 11
+                                                   WHEN role = 'assistant' THEN 4
+                                                   ELSE 18 + length(role) END) AS BIGINT) AS formatted_chars
+        FROM e GROUP BY conv_id
+    """,
 }

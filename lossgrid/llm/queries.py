@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from lossgrid.llm.chat import format_chats, read_loss, read_turns
 from lossgrid.llm.common import read_table
 from lossgrid.llm.decontaminate import contained_items
 from lossgrid.llm.exact_dedup import exact_dedup
@@ -69,6 +71,32 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return identify(read_table(spark, folder, "documents"))
 
 
+def op11_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    """Per conversation the digests of its turns and of its loss texts, read back from the formatted text."""
+    chats = read_table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    hard = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("</s>[INST] ok [/INST]").alias("text"),
+    )
+    out = format_chats(chats.unionByName(hard)).select(
+        "conv_id",
+        "formatted",
+        read_turns(F.col("formatted")).alias("turns"),
+        F.array_join(read_loss(F.col("formatted"), F.col("loss_spans")), "").alias("loss"),
+    )
+    told = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return out.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(told, ""), 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2(F.col("loss"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -82,5 +110,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality_classifier,
         op9_warc,
         op10_language_id,
+        op11_chat_formatting,
     )
 }
