@@ -11,6 +11,7 @@ from lossgrid.llm.chat import format_chats, read_loss, read_turns
 from lossgrid.llm.common import read_table
 from lossgrid.llm.decontaminate import contained_items
 from lossgrid.llm.exact_dedup import exact_dedup
+from lossgrid.llm.fill_middle import fill_in_middle, restored
 from lossgrid.llm.language import identify
 from lossgrid.llm.line_dedup import remove_repeated_passages
 from lossgrid.llm.packing import pack_documents
@@ -97,6 +98,20 @@ def op11_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op12_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    """Per document its form for infilling, with digests of the output and of the text restored from it."""
+    out = fill_in_middle(read_table(spark, folder, "documents"))
+    return out.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2(F.col("output"), 256).alias("output_sha256"),
+        F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -111,5 +126,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_warc,
         op10_language_id,
         op11_chat_formatting,
+        op12_fill_in_middle,
     )
 }
