@@ -19,6 +19,17 @@ _BASE32 = """
         lambda a, b: a || b)), lambda a, b: a || b)
 """
 
+_FEATURES = r"""list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                 'abcdefghijklmnopqrstuvwxyz'), '[\x{00}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+'), lambda x: x <> '')"""
+
+# CRC-32 by half bytes: the table of 16 entries follows from the polynomial; the low half of each byte comes first
+_CRC_TABLE = """list_transform(range(16), lambda i: list_reduce([i::BIGINT, 0, 0, 0, 0],
+                   lambda a, z: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END))"""
+_CRC32 = f"""xor(4294967295, list_reduce(
+                 list_prepend(4294967295, list_transform(range(1, strlen(w) * 2 + 1),
+                     lambda j: CAST('0x' || hex(encode(w))[CASE WHEN j % 2 = 1 THEN j + 1 ELSE j - 1 END] AS BIGINT))),
+                 lambda a, x: xor(a // 16, ({_CRC_TABLE})[xor(a, x) % 16 + 1])))"""
+
 ORACLES = {
     "op4_benchmark_decontamination": f"""
         WITH d AS ({_SHINGLES.format(id="doc_id", table="documents")}),
@@ -85,4 +96,28 @@ ORACLES = {
                sha256(text) AS restored_sha256
         FROM s
     """,
+    "op13_importance_resampling": rf"""
+        WITH d AS (SELECT doc_id, row_number() OVER () AS r, {_FEATURES} AS w FROM documents),
+             b AS (SELECT unnest({_FEATURES}) AS w FROM benchmark),
+             dw AS (SELECT r, unnest(w) AS w FROM d),
+             v AS (SELECT w, {_CRC32} % 10000 AS k FROM (SELECT DISTINCT w FROM (SELECT w FROM dw UNION ALL SELECT w FROM b))),
+             s AS (SELECT k, count(*) AS n FROM dw JOIN v USING (w) GROUP BY k),
+             t AS (SELECT k, count(*) AS n FROM b JOIN v USING (w) GROUP BY k),
+             g AS (SELECT s.k, CAST(floor(1000 * ln(
+                              (CAST(coalesce(t.n, 0) AS DOUBLE) + 1) * ((SELECT coalesce(sum(n), 0) FROM s)::DOUBLE + 10000)
+                              / ((CAST(s.n AS DOUBLE) + 1) * ((SELECT coalesce(sum(n), 0) FROM t)::DOUBLE + 10000)))) AS BIGINT) AS gain
+                   FROM s LEFT JOIN t USING (k)),
+             m AS (SELECT r, sum(gain) AS total, count(*) AS n FROM dw JOIN v USING (w) JOIN g USING (k) GROUP BY r),
+             x AS (SELECT doc_id, len(w) AS n_features,
+                          CAST(coalesce((total - ((total % n) + n) % n) // n, 0) AS BIGINT) AS weight,
+                          CAST(floor(-1000 * ln(-ln((CAST('0x' || sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), ''))[1:8] AS BIGINT) + 0.5::DOUBLE)
+                                                    / 4294967296::DOUBLE))) AS BIGINT) AS noise
+                   FROM d LEFT JOIN m USING (r)),
+             o AS (SELECT *, weight + noise AS score, row_number() OVER (PARTITION BY n_features >= 20
+                          ORDER BY weight + noise DESC, doc_id NULLS LAST) AS place FROM x)
+        SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, weight, score,
+               CASE WHEN n_features >= 20 AND place <= 10 * (SELECT count(*) FROM x WHERE n_features >= 20) // 100
+                    THEN place END AS rank
+        FROM o
+    """,
 }

@@ -16,6 +16,7 @@ from lossgrid.llm.language import identify
 from lossgrid.llm.line_dedup import remove_repeated_passages
 from lossgrid.llm.packing import pack_documents
 from lossgrid.llm.quality import classify
+from lossgrid.llm.resample import importance_resample
 from lossgrid.llm.simhash import near_dedup
 from lossgrid.llm.suffix_dedup import remove_repeats
 from lossgrid.llm.token_counts import lines, section_tokens
@@ -112,6 +113,11 @@ def op12_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op13_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    """Per document its importance for the benchmark's words, and its place among the documents drawn."""
+    return importance_resample(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -127,5 +133,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_language_id,
         op11_chat_formatting,
         op12_fill_in_middle,
+        op13_importance_resampling,
     )
 }
