@@ -55,6 +55,12 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Is there such a file or folder, in whatever store the path names?"""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """`df` written as Parquet in the shared folder and read back: computed once, and safe from lost executors."""
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/{label}-{uuid.uuid4().hex}"

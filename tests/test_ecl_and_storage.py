@@ -97,7 +97,7 @@ def planted(spark, n=1200):
 @pytest.mark.parametrize("kind", ["lr", "gbt", "rf", "gbt_wide"])
 def test_models_find_a_planted_signal(spark, tmp_path, kind):
     rows = planted(spark)
-    small = {"lr": {"maxIter": 50}, "rf": {"numTrees": 10, "maxDepth": 5}}.get(kind, {"maxIter": 5, "maxDepth": 3})
+    small = {"lr": {"maxIter": 50}, "rf": {"trees": 10, "most_depth": 5}}.get(kind, {"rounds": 5})
     model = models.fit_pd(rows, kind, **small)
     scored = models.score_pd(model, rows)
     assert metrics.classification_metrics(scored, "pd_12m", "default_12m").first()["roc_auc"] > 0.75
@@ -109,15 +109,6 @@ def test_models_find_a_planted_signal(spark, tmp_path, kind):
         assert unseen.where("pd_12m is null").count() == 0
 
 
-def test_full_model_settings_build(spark):
-    assert {models.pd_model(k).__class__.__name__ for k in models.PD_SETTINGS} == {
-        "LogisticRegression", "GBTClassifier", "RandomForestClassifier",
-    }
-    assert {models.lgd_model(k).__class__.__name__ for k in models.LGD_SETTINGS} == {"GBTRegressor", "RandomForestRegressor"}
-    with pytest.raises(ValueError):
-        models.pd_model("svm")
-
-
 PLANS = [
     "default_events", "pd_panel_first", "pd_panel_all", "severity_dataset", "last_balance", "ecl_portfolio",
     "monthly_performance", "capture_lift", "spearman_matrix", "psi_table",
