@@ -9,14 +9,16 @@ from pyspark.sql import functions as F
 
 from lossgrid.fixed import SEED, TOP_PERCENTS
 from lossgrid.functions.scalars import any_of, nan_to_null
-from lossgrid.operators.order import ROWS_PER_BUCKET, exact_quantiles, fit_cuts, running_totals
-from lossgrid.session import setting
+from lossgrid.operators.order import ROWS_PER_BUCKET, exact_quantiles, fit_cuts, row_weight, running_totals
+from lossgrid.session import materialise, setting
 
 
-def quantile_edges(df: DataFrame, columns: Sequence[str], q: int, rows_per_bucket: int | None = None):
+def quantile_edges(
+    df: DataFrame, columns: Sequence[str], q: int, rows_per_bucket: int | None = None, weight: str | None = None
+):
     """Distinct edges of q equal-frequency bins per column (an action; q + 1 numbers per column reach the driver)."""
     probs = [i / q for i in range(q + 1)]
-    edges = exact_quantiles(df, {c: probs for c in columns}, rows_per_bucket)
+    edges = exact_quantiles(df, {c: probs for c in columns}, rows_per_bucket, weight)
     return {c: sorted(set(e)) if e else [] for c, e in edges.items()}
 
 
@@ -28,9 +30,12 @@ def bin_number(column: str, edges: Sequence[float]) -> Column:
     return F.when(F.col(column).isNotNull(), out)
 
 
-def qcut(df: DataFrame, column: str, q: int, out: str, rows_per_bucket: int | None = None) -> DataFrame:
-    """Add the equal-frequency bin of `column`: equal values share a bin, repeated edges merge their bins."""
-    edges = quantile_edges(df, [column], q, rows_per_bucket)[column]
+def qcut(
+    df: DataFrame, column: str, q: int, out: str, rows_per_bucket: int | None = None, weight: str | None = None
+) -> DataFrame:
+    """Add the equal-frequency bin of `column`: equal values share a bin, repeated edges merge their bins. With `weight`
+    a row counts that many times."""
+    edges = quantile_edges(df, [column], q, rows_per_bucket, weight)[column]
     return df.withColumn("_x", nan_to_null(column)).withColumn(out, bin_number("_x", edges)).drop("_x")
 
 
@@ -40,19 +45,30 @@ def sample_order(key: Sequence[str], seed: int = SEED) -> Column:
 
 
 def take_first(
-    df: DataFrame, stratum: str, quotas: dict, order: Column, digits: int = 4, rows_per_bucket: int | None = None
+    df: DataFrame,
+    stratum: str,
+    quotas: dict,
+    order: Column,
+    digits: int = 4,
+    rows_per_bucket: int | None = None,
+    weight: str | None = None,
 ) -> DataFrame:
     """Exactly `quotas[s]` rows of each stratum s (all of them if it has fewer), the first in a uniform hex order.
 
     Leading hex digits are ready-made equal buckets: those before the boundary bucket are taken whole, those after it
     not at all. While a boundary bucket holds more than `rows_per_bucket` rows it is split by the next digits; then its
-    rows are numbered. Rows with the same key are told apart by a hash of all their columns.
+    rows are numbered. Rows with the same key are told apart by a hash of all their columns. With `weight` a row is that
+    many rows in succession: quotas count these, and in the result the column holds how many of them are taken.
     """
     size = rows_per_bucket or setting(df.sparkSession, "rowsPerBucket", ROWS_PER_BUCKET)
     known = [(s, n) for s, n in quotas.items() if n > 0]
     if not known:
         return df.limit(0)
     keyed = df.withColumn("_order", order).where(F.col(stratum).isin([s for s, _ in known]))
+    if weight is not None:
+        kind = df.schema[weight].dataType
+        keyed = keyed.withColumn(weight, row_weight(weight).cast(kind)).where(F.col(weight) > 0)
+    copies = row_weight(weight)
     same = {s: F.col(stratum) == F.lit(s) for s, _ in known}
     length = 0
     # per stratum: the prefix of the boundary bucket, and how many of its rows are taken
@@ -68,7 +84,7 @@ def take_first(
             keyed.where(inside)
             .withColumn("_left", left)
             .groupBy(stratum, "_left", F.substring("_order", 1, length).alias("_prefix"))
-            .agg(F.count(F.lit(1)).alias("_n"))
+            .agg(F.sum(copies).alias("_n"), F.count(F.lit(1)).alias("_rows"))
         )
         # at most 16 ** digits rows in each stratum
         w = Window.partitionBy(stratum).orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
@@ -82,7 +98,7 @@ def take_first(
                 limits[s] = None
                 continue
             limits[s] = (r["_prefix"], r["_left"] - r["_before"])
-            if r["_n"] > size and length < 32:
+            if r["_rows"] > size and length < 32:
                 following.append(s)
         open_strata = following
 
@@ -100,8 +116,12 @@ def take_first(
     if not edge:
         return taken
     total = Window.partitionBy(stratum).orderBy("_order", F.xxhash64(*df.columns))
-    numbered = keyed.where(any_of(edge)).withColumn("_at", F.row_number().over(total))
-    return taken.unionByName(numbered.where(F.col("_at") <= remaining).select(*df.columns))
+    upto = total.rowsBetween(Window.unboundedPreceding, 0)
+    numbered = keyed.where(any_of(edge)).withColumn("_at", F.sum(copies).over(upto)).where(F.col("_at") - copies < remaining)
+    if weight is not None:
+        part = F.least(copies, remaining - F.col("_at") + copies)
+        numbered = numbered.withColumn(weight, part.cast(kind))
+    return taken.unionByName(numbered.select(*df.columns))
 
 
 def capture_lift(
@@ -111,17 +131,27 @@ def capture_lift(
     key: Sequence[str],
     percents: Sequence[int] = TOP_PERCENTS,
     rows_per_bucket: int | None = None,
+    weight: str | None = None,
 ) -> DataFrame:
     """Defaults among the top share of rows by score, as a rate of all defaults and as a lift over the average.
 
-    Rows without a score or a label count nowhere. Two passes: one for the cuts and the row count, one for the rest.
-    Rows are never numbered: the score groups and their running totals decide all but the last, partly included group
+    Rows without a score or a label count nowhere; with `weight` a row counts that many times. The columns needed are
+    written down once, then read for the cuts, the totals and the ties at the cuts. Rows are never numbered: the score groups and their running totals decide all but the last, partly included group
     of each cut; there the first rows in a uniform order of the key count (the order of ties is open in the source).
     """
-    df = df.where(F.col(label).isNotNull())
-    cuts = fit_cuts(df, [score], rows_per_bucket)[score]
-    total = cuts.rows
-    groups = running_totals(df, score, {"n": F.lit(1), "pos": F.col(label)}, descending=True, cuts=cuts)
+    names = list(key)
+    key = [f"_key{i}" for i in range(len(names))]
+    df = df.where(F.col(label).isNotNull()).select(
+        (nan_to_null(score) + 0.0).alias("_score"),
+        F.col(label).cast("long").alias("_y"),
+        row_weight(weight).alias("_w"),
+        *[F.col(c).alias(k) for c, k in zip(names, key, strict=True)],
+    )
+    score = "_score"
+    df = materialise(df.where(F.col(score).isNotNull() & (F.col("_w") > 0)), "capture")
+    cuts = fit_cuts(df, [score], rows_per_bucket, frequent=True)[score]
+    total = cuts.rows if weight is None else df.agg(F.sum("_w")).first()[0] or 0
+    groups = running_totals(df, score, {"n": F.col("_w"), "pos": F.col("_y") * F.col("_w")}, descending=True, cuts=cuts)
     sizes = {p: total * p // 100 for p in percents}
     # the last score's group tells the total of the defaults
     hit = any_of(
@@ -149,16 +179,11 @@ def capture_lift(
     ]
     table = df.sparkSession.range(1).select(F.inline(F.array(*cells)))
     if partial:
-        x = nan_to_null(score) + 0.0
-        at_cut = F.array(*[F.when(x == F.lit(s), F.lit(p)) for p, (s, _) in partial.items()])
-        tied = (
-            df.select(F.explode(F.array_compact(at_cut)).alias("top_percent"), F.col(label).alias("_y"), *key)
-        )
-        extra = (
-            take_first(tied, "top_percent", {p: r for p, (_, r) in partial.items()}, sample_order(key))
-            .groupBy("top_percent")
-            .agg(F.sum("_y").cast("long").alias("_extra"))
-        )
+        at_cut = F.array(*[F.when(F.col(score) == F.lit(s), F.lit(p)) for p, (s, _) in partial.items()])
+        tied = df.select(F.explode(F.array_compact(at_cut)).alias("top_percent"), "_y", "_w", *key)
+        rest = {p: r for p, (_, r) in partial.items()}
+        taken = take_first(tied, "top_percent", rest, sample_order(key), weight=None if weight is None else "_w")
+        extra = taken.groupBy("top_percent").agg(F.sum(F.col("_y") * F.col("_w")).cast("long").alias("_extra"))
         table = table.join(extra, "top_percent", "left")  # one row per cut
     else:
         table = table.withColumn("_extra", F.lit(0).cast("long"))

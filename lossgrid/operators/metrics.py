@@ -14,6 +14,8 @@ from lossgrid.operators.order import (
     BUCKET,
     centred_ranks,
     fit_cuts,
+    ordered_totals,
+    row_weight,
     running_totals,
     with_bucket,
 )
@@ -32,17 +34,24 @@ def score_groups(
 
     `weight` is a whole number per row, such as the copies of a panel row.
     """
-    y, n = F.col(label).cast("long"), F.col(weight).cast("long") if weight else F.lit(1).cast("long")
-    return running_totals(
-        df, score, {"pos": y * n, "neg": (1 - y) * n}, by=by, descending=True, rows_per_bucket=rows_per_bucket
-    )
+    rows = counted(df, weight)
+    return running_totals(rows, score, class_sums(label, weight), by, descending=True, rows_per_bucket=rows_per_bucket)
+
+
+def counted(df: DataFrame, weight: str | None) -> DataFrame:
+    """The rows that count at all."""
+    return df if weight is None else df.where(row_weight(weight) > 0)
+
 
+def class_sums(label: str, weight: str | None = None) -> dict[str, Column]:
+    """What a row adds to the positives and to the negatives."""
+    y, n = F.col(label).cast("long"), row_weight(weight)
+    return {"pos": y * n, "neg": (1 - y) * n}
 
-def class_totals(df: DataFrame, score: str, label: str) -> tuple[int, int]:
-    """Positives and negatives among the scored rows (an action; two numbers)."""
-    y = F.when(nan_to_null(score).isNotNull(), F.col(label).cast("long"))
-    row = df.agg(F.sum(y).alias("pos"), F.count(y).alias("n")).first()
-    return row["pos"] or 0, row["n"] - (row["pos"] or 0)
+
+def _total(whole: DataFrame, name: str) -> Column:
+    """A grand total as a scalar subquery; 0 without rows."""
+    return F.coalesce(whole.select(name).scalar(), F.lit(0))
 
 
 def _area_terms() -> dict[str, Column]:
@@ -69,7 +78,30 @@ def classification_metrics(
 
     One table of distinct scores feeds every measure. The two areas need both classes and are NULL otherwise.
     """
-    groups = score_groups(df, score, label, by, rows_per_bucket, weight)
+    return group_metrics(score_groups(df, score, label, by, rows_per_bucket, weight), score, by)
+
+
+def mapped_metrics(
+    df: DataFrame, score: str, label: str, maps: dict[str, Column | str], rows_per_bucket: int | None = None, weight: str | None = None
+) -> dict[str, DataFrame]:
+    """Metrics of the score and of functions of it, such as its calibration, from one table of distinct scores.
+
+    The rows are collapsed to that table once. A function of the score is computed on the table and ordered anew there,
+    so scores that it makes equal are tied as they would be among the rows.
+    """
+    table = materialise(score_groups(df, score, label, (), rows_per_bucket, weight).select(score, "pos", "neg"), "scores")
+    out = {}
+    for name, how in maps.items():
+        value = F.col(how) if isinstance(how, str) else how
+        sums = {"pos": F.col("pos"), "neg": F.col("neg")}
+        mapped = table.select(value.alias("_mapped"), "pos", "neg")
+        groups = running_totals(mapped, "_mapped", sums, descending=True, rows_per_bucket=rows_per_bucket)
+        out[name] = group_metrics(groups, "_mapped")
+    return out
+
+
+def group_metrics(groups: DataFrame, score: str, by: Sequence[str] = ()) -> DataFrame:
+    """The measures of `classification_metrics` from its table of distinct scores with running totals."""
     p, pos, neg = F.col(score), F.col("pos"), F.col("neg")
     n = pos + neg
     q = clip(p, PROBABILITY_FLOOR, 1 - PROBABILITY_FLOOR)
@@ -114,17 +146,20 @@ def monthly_performance(
 
 
 def roc_points(
-    df: DataFrame, score: str, label: str, drop_collinear: bool = True, rows_per_bucket: int | None = None
+    df: DataFrame,
+    score: str,
+    label: str,
+    drop_collinear: bool = True,
+    rows_per_bucket: int | None = None,
+    weight: str | None = None,
 ) -> DataFrame:
     """(fpr, tpr, threshold) for each distinct score, starting at (0, 0) above the best one.
 
     With `drop_collinear`, a point between two steps in the same direction is left out, as it does not bend the curve.
+    With `weight` a row counts that many times. The grand totals come from the shuffle that the points come from.
     """
-    whole = class_totals(df, score, label)
-    scored = df.select(score, label)
-    cuts = fit_cuts(scored, [score], rows_per_bucket)[score]
-    y = F.col(label).cast("long")
-    groups = running_totals(scored, score, {"pos": y, "neg": 1 - y}, descending=True, cuts=cuts, keep_bucket=True)
+    rows, sums = counted(df, weight), class_sums(label, weight)
+    groups, whole = ordered_totals(rows, score, sums, descending=True, rows_per_bucket=rows_per_bucket, keep_bucket=True)
     tp, fp = F.col("pos_before") + F.col("pos"), F.col("neg_before") + F.col("neg")
     points = groups.select(BUCKET, score, "pos", "neg", tp.alias("tp"), fp.alias("fp"))
     if drop_collinear:
@@ -146,28 +181,30 @@ def roc_points(
         points.select("tp", "fp", score)
         .unionByName(start)
         .select(
-            F.try_divide(F.col("fp").cast("double"), F.lit(whole[1])).alias("fpr"),
-            F.try_divide(F.col("tp").cast("double"), F.lit(whole[0])).alias("tpr"),
+            F.try_divide(F.col("fp").cast("double"), _total(whole, "neg")).alias("fpr"),
+            F.try_divide(F.col("tp").cast("double"), _total(whole, "pos")).alias("tpr"),
             F.col(score).alias("threshold"),
         )
     )
 
 
-def pr_points(df: DataFrame, score: str, label: str, rows_per_bucket: int | None = None) -> DataFrame:
+def pr_points(
+    df: DataFrame, score: str, label: str, rows_per_bucket: int | None = None, weight: str | None = None
+) -> DataFrame:
     """(recall, precision, threshold, baseline) for each distinct score, ending at recall 0 without a threshold."""
-    groups = score_groups(df, score, label, (), rows_per_bucket)
-    pos, negatives = class_totals(df, score, label)
-    rows = pos + negatives
+    rows, sums = counted(df, weight), class_sums(label, weight)
+    groups, whole = ordered_totals(rows, score, sums, descending=True, rows_per_bucket=rows_per_bucket)
+    pos, neg = _total(whole, "pos"), _total(whole, "neg")
     tp = F.col("pos_before") + F.col("pos")
     points = groups.select(
-        F.try_divide(tp.cast("double"), F.lit(pos)).alias("recall"),
+        F.try_divide(tp.cast("double"), pos).alias("recall"),
         (tp / (tp + F.col("neg_before") + F.col("neg"))).alias("precision"),
         F.col(score).alias("threshold"),
     )
     end = df.sparkSession.range(1).select(
         F.lit(0.0).alias("recall"), F.lit(1.0).alias("precision"), F.lit(None).cast("double").alias("threshold")
     )
-    return points.unionByName(end).withColumn("baseline", F.lit(pos / rows if rows else None).cast("double"))
+    return points.unionByName(end).withColumn("baseline", F.try_divide(pos.cast("double"), pos + neg))
 
 
 def regression_metrics(df: DataFrame, predicted: str, actual: str, by: Sequence[str] = ()) -> DataFrame:

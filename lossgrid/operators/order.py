@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lossgrid.functions.scalars import any_of, nan_to_null
-from lossgrid.session import setting
+from lossgrid.session import materialise, setting
 
 # the session setting lossgrid.rowsPerBucket comes before it
 ROWS_PER_BUCKET = 1_000_000
@@ -34,6 +34,8 @@ SKETCH_CUTS = 2048
 SKETCH_SIZE = 16384
 # sketches that are queried in one statement
 SKETCHES_AT_ONCE = 64
+# of so many even cuts, those that fall on one value show that it is frequent
+FREQUENT_CUTS = 512
 # offsets (one row per bucket) are broadcast up to this many
 BROADCAST_BUCKETS = 100_000
 BUCKET = "_bucket"
@@ -44,6 +46,8 @@ class Cuts(NamedTuple):
     points: tuple[float, ...] = ()
     heavy: tuple[float, ...] = ()
     salts: int = 1
+    # values with a visible share of the rows, which are worth combining before they are shuffled
+    frequent: tuple[float, ...] = ()
 
     @property
     def splits(self) -> list[float]:
@@ -53,11 +57,11 @@ class Cuts(NamedTuple):
 
     @property
     def heavy_buckets(self) -> list[int]:
-        splits = self.splits
-        return [splits.index(v) for v in self.heavy]
+        place = {v: i for i, v in enumerate(self.splits)}
+        return [place[v] for v in self.heavy]
 
 
-def _quantiles_of(spark, sketches: Mapping[str, bytes], buckets: Mapping[str, int]) -> dict[str, list[float]]:
+def _quantiles_of(spark, sketches: Mapping, buckets: Mapping) -> dict:
     """Evenly spaced quantiles of each sketch; a query on literals, without a job over data."""
     wanted = {c: b for c, b in buckets.items() if b > 1 and sketches[c] is not None}
     if not wanted:
@@ -79,8 +83,11 @@ def _from_quantiles(values: Sequence[float]) -> tuple[set[float], Counter]:
     return points, Counter({v: k for v, k in counts.items() if k > 1 and v in points})
 
 
-def fit_cuts(df: DataFrame, columns: Sequence[str], rows_per_bucket: int | None = None) -> dict[str, Cuts]:
-    """Cut points for each numeric column, so that about `rows_per_bucket` rows lie in a bucket at any size.
+def fit_cuts(
+    df: DataFrame, columns: Sequence[str], rows_per_bucket: int | None = None, frequent: bool = False
+) -> dict[str, Cuts]:
+    """Cut points for each numeric column, so that about `rows_per_bucket` rows lie in a bucket at any size, and with
+    `frequent` the values that many rows share.
 
     One aggregation; only the sketches reach the driver. Where a column needs more than SKETCH_CUTS buckets, the
     buckets that are too full are cut again, one more aggregation per level.
@@ -97,13 +104,18 @@ def fit_cuts(df: DataFrame, columns: Sequence[str], rows_per_bucket: int | None
     counts = {c: row[f"n{i}"] for i, c in enumerate(columns)}
     wanted = {c: max(1, math.ceil(n / size)) for c, n in counts.items()}
     buckets = {c: min(SKETCH_CUTS, n) for c, n in wanted.items()}
-    quantiles = _quantiles_of(df.sparkSession, {c: row[f"s{i}"] for i, c in enumerate(columns)}, buckets)
+    sketches = {(c, kind): row[f"s{i}"] for i, c in enumerate(columns) for kind in ("cuts", "frequent")}
+    asked = {(c, "cuts"): n for c, n in buckets.items()}
+    if frequent:
+        asked |= {(c, "frequent"): min(FREQUENT_CUTS, n) for c, n in counts.items()}
+    quantiles = _quantiles_of(df.sparkSession, sketches, asked)
     out = {}
     for c in columns:
-        points, heavy = _from_quantiles(quantiles.get(c, []))
+        points, heavy = _from_quantiles(quantiles.get((c, "cuts"), []))
+        often = set(heavy) | set(_from_quantiles(quantiles.get((c, "frequent"), []))[1])
         # a cut stands for more than `size` rows where there are fewer cuts than buckets wanted
         salts = max(heavy.values(), default=0) * math.ceil(wanted[c] / buckets[c]) + 1
-        out[c] = Cuts(counts[c], tuple(sorted(points)), tuple(sorted(heavy)), salts)
+        out[c] = Cuts(counts[c], tuple(sorted(points)), tuple(sorted(heavy)), salts, tuple(sorted(often)))
         if wanted[c] > SKETCH_CUTS:
             out[c] = _refined(df.select((nan_to_null(c) + 0.0).alias(c)).dropna(), c, out[c], size)
     return out
@@ -157,7 +169,7 @@ def _refined(df: DataFrame, column: str, cuts: Cuts, size: int) -> Cuts:
             salts = max(salts, take(part) + 1)
         if points == set(cuts.points) and heavy == set(cuts.heavy):
             return cuts
-        cuts = Cuts(cuts.rows, tuple(sorted(points)), tuple(sorted(heavy)), salts)
+        cuts = Cuts(cuts.rows, tuple(sorted(points)), tuple(sorted(heavy)), salts, tuple(sorted({*cuts.frequent, *heavy})))
 
 
 def with_bucket(df: DataFrame, column: str, cuts: Cuts, out: str = BUCKET) -> DataFrame:
@@ -184,44 +196,65 @@ def running_totals(
 ) -> DataFrame:
     """One row per (by, distinct key): the totals of `sums` on that key and, as `<name>_before`, on all keys before it.
 
-    Ties are collapsed with map-side combining before anything is ordered, so a key that holds most of the rows costs
-    one row. Rows whose key or group is missing have no place in the order and are left out.
+    Rows are shuffled once, by bucket; in a bucket ties are collapsed and ordered. Frequent keys are combined before
+    that, so a key that holds most of the rows costs a few rows. Rows whose key or group is missing have no place in the
+    order and are left out. Without `cuts` the few columns needed are written down first, as they are read twice.
     """
+    return ordered_totals(df, key, sums, by, descending, cuts, rows_per_bucket, keep_bucket)[0]
+
+
+def ordered_totals(
+    df: DataFrame,
+    key: str,
+    sums: Mapping[str, Column],
+    by: Sequence[str] = (),
+    descending: bool = False,
+    cuts: Cuts | None = None,
+    rows_per_bucket: int | None = None,
+    keep_bucket: bool = False,
+) -> tuple[DataFrame, DataFrame]:
+    """The running totals, and one row with the grand totals of `sums` from the same shuffle."""
     by, names = list(by), list(sums)
     base = df.select(*by, (nan_to_null(key) + 0.0).alias(key), *[sums[n].alias(n) for n in names]).dropna(
         subset=[*by, key]
     )
     if cuts is None:
-        cuts = fit_cuts(base, [key], rows_per_bucket)[key]
-    base = with_bucket(base, key, cuts)
-    ties = base.groupBy(*by, BUCKET, key).agg(*[F.sum(n).alias(n) for n in names])
+        base = materialise(base, "ordered")
+        cuts = fit_cuts(base, [key], rows_per_bucket, frequent=True)[key]
+    base, group = with_bucket(base, key, cuts), [*by, BUCKET]
+    added = [F.sum(n).alias(n) for n in names]
+    if cuts.frequent:
+        often = F.col(key).isin(list(cuts.frequent))
+        base = base.where(~often).unionByName(base.where(often).groupBy(*group, key).agg(*added))
+    # known to hold, but the join below would infer it for one of its branches only, which then shuffled anew
+    for c in group:
+        base = base.where(F.col(c).isNotNull())
+    ties = base.repartition(*group).groupBy(*group, key).agg(*added)
+    whole = ties.agg(*added)
 
     def ordered(column: str) -> Column:
         return F.col(column).desc() if descending else F.col(column).asc()
 
-    inside = (
-        Window.partitionBy(*by, BUCKET).orderBy(ordered(key)).rowsBetween(Window.unboundedPreceding, -1)
-    )
+    inside = Window.partitionBy(*group).orderBy(ordered(key)).rowsBetween(Window.unboundedPreceding, -1)
     rows = ties.select(
         "*", *[F.coalesce(F.sum(n).over(inside), F.lit(0)).alias(f"{n}_before") for n in names]
     )
     shown = [BUCKET] if keep_bucket else []
     if not cuts.points:
-        return rows.select(*shown, *by, key, *names, *[f"{n}_before" for n in names])
+        return rows.select(*shown, *by, key, *names, *[f"{n}_before" for n in names]), whole
 
-    # from the ties, whose shuffle is computed once for both branches
-    totals = ties.groupBy(*by, BUCKET).agg(*[F.sum(n).alias(f"_{n}") for n in names])
+    # from the ties, whose shuffle is computed once for all branches
+    totals = ties.groupBy(*group).agg(*[F.sum(n).alias(f"_{n}") for n in names])
     # one row per bucket in each group
     across = Window.partitionBy(*by).orderBy(ordered(BUCKET)).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        *by, BUCKET, *[F.coalesce(F.sum(f"_{n}").over(across), F.lit(0)).alias(f"_{n}_offset") for n in names]
+        *group, *[F.coalesce(F.sum(f"_{n}").over(across), F.lit(0)).alias(f"_{n}_offset") for n in names]
     )
     if not by and len(cuts.splits) <= BROADCAST_BUCKETS:
         offsets = F.broadcast(offsets)  # one row per bucket
-    joined = rows.join(offsets, [*by, BUCKET])
-    return joined.select(
-        *shown, *by, key, *names, *[(F.col(f"{n}_before") + F.col(f"_{n}_offset")).alias(f"{n}_before") for n in names]
-    )
+    joined = rows.join(offsets, group)
+    before = [(F.col(f"{n}_before") + F.col(f"_{n}_offset")).alias(f"{n}_before") for n in names]
+    return joined.select(*shown, *by, key, *names, *before), whole
 
 
 def centred_ranks(
@@ -279,14 +312,14 @@ def _interpolate(low: float, high: float, fraction: float) -> float:
 def _long(
     clean: DataFrame, columns: Sequence[str], borders: Mapping[str, list[float]], keep_value: bool = False
 ) -> DataFrame:
-    """(feature number, bucket[, value]) for every known value of the columns."""
-    wide = clean.select(*columns)
+    """(feature number, bucket[, value], weight) for every known value of the columns."""
+    wide = clean.select(*columns, "_w")
     cells = []
     for i, c in enumerate(columns):
         wide = _bucketed(wide, c, borders[c], f"_b{i}")
         fields = [F.lit(i).alias("feature"), F.when(F.col(c).isNotNull(), F.col(f"_b{i}")).alias("bucket")]
         cells.append(F.struct(*fields, *([F.col(c).alias("value")] if keep_value else [])))
-    return wide.select(F.inline(F.array(*cells))).where(F.col("bucket").isNotNull())
+    return wide.select(F.inline(F.array(*cells)), "_w").where(F.col("bucket").isNotNull())
 
 
 def _holds(positions: Sequence[int]) -> Column:
@@ -296,20 +329,36 @@ def _holds(positions: Sequence[int]) -> Column:
     )
 
 
+def row_weight(weight: str | None) -> Column:
+    """How many rows a row stands for: a whole number, 1 without a weight, 0 where it is missing or negative."""
+    return F.lit(1).cast("long") if weight is None else F.greatest(F.coalesce(F.col(weight).cast("long"), F.lit(0)), F.lit(0))
+
+
 def exact_quantiles(
-    df: DataFrame, wanted: Mapping[str, Sequence[float]], rows_per_bucket: int | None = None
+    df: DataFrame,
+    wanted: Mapping[str, Sequence[float]],
+    rows_per_bucket: int | None = None,
+    weight: str | None = None,
 ) -> dict[str, list[float] | None]:
     """Linearly interpolated quantiles of several columns, exact at any size; None for a column without values.
 
+    With `weight` every row counts that many times, as if it were repeated.
+
     Selection instead of sorting: bucket counts (combined map-side) tell which buckets hold the wanted order
     statistics, and only the rows of those buckets are collapsed and ordered.
     """
     names = list(wanted)
     columns = [f"_x{i}" for i in range(len(names))]
-    clean = df.select(*[(nan_to_null(c) + 0.0).alias(x) for c, x in zip(names, columns)])
+    clean = df.select(*[(nan_to_null(c) + 0.0).alias(x) for c, x in zip(names, columns)], row_weight(weight).alias("_w"))
+    if weight is not None:
+        clean = clean.where(F.col("_w") > 0)
     cuts = fit_cuts(clean, columns, rows_per_bucket)
+    sizes = {c: cuts[c].rows for c in columns}
+    if weight is not None:
+        sums = [F.coalesce(F.sum(F.when(F.col(c).isNotNull(), F.col("_w"))), F.lit(0)).alias(c) for c in columns]
+        sizes = clean.agg(*sums).first().asDict()
     probs = dict(zip(columns, wanted.values()))
-    spots = {c: [(cuts[c].rows - 1) * p for p in probs[c]] if cuts[c].rows else [] for c in columns}
+    spots = {c: [(sizes[c] - 1) * p for p in probs[c]] if sizes[c] else [] for c in columns}
     positions = {c: sorted({k for s in spots[c] for k in (math.floor(s), math.ceil(s))}) for c in columns}
 
     # ranges to look into: (column, low, high, rows before)
@@ -320,7 +369,7 @@ def exact_quantiles(
         counts = (
             _long(clean, cut_columns, {c: cuts[c].splits for c in cut_columns})
             .groupBy("feature", "bucket")
-            .agg(F.count(F.lit(1)).alias("n"))
+            .agg(F.sum("_w").alias("n"))
         )
         upto = Window.partitionBy("feature").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
         counts = counts.withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0)))
@@ -349,7 +398,7 @@ def exact_quantiles(
         _long(clean, found_columns, borders, keep_value=True)
         .where(wanted_buckets)
         .groupBy("feature", "bucket", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.sum("_w").alias("n"))
         .withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
     )
     needed = []

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lossgrid.fixed import SEED
 from lossgrid.functions.months import ym_year
 from lossgrid.operators.binning import sample_order, take_first
+from lossgrid.operators.order import row_weight
 
 PD_SPLIT = {"train": (None, 2023), "validation": (2024, 2024), "test": (2025, 2025)}
 PD_REESTIMATION_SPLIT = {"train": (None, 2024), "test": (2025, 2025)}
@@ -66,20 +67,29 @@ def stratum_quotas(counts: Mapping, size: int) -> dict:
     return quotas
 
 
+def stratum_sizes(df: DataFrame, stratum: str, weight: str | None = None) -> dict:
+    """Rows per class label, without those that have none (an action; one number per class)."""
+    counts = df.where(F.col(stratum).isNotNull()).groupBy(stratum).agg(F.sum(row_weight(weight)).alias("n"))
+    return {r[0]: r[1] for r in counts.collect() if r[1]}
+
+
 def stratified_sample(
-    df: DataFrame, stratum: str, size: int, key: Sequence[str], seed: int = SEED
+    df: DataFrame, stratum: str, size: int, key: Sequence[str], seed: int = SEED, weight: str | None = None
 ) -> DataFrame:
     """Exactly `size` rows with the class shares of `df`, chosen by a seeded hash of the row key.
 
     The same rows come out on every run and cluster size. The only collected values are one count per stratum (the
-    stratum is a class label) and one boundary per stratum.
+    stratum is a class label) and one boundary per stratum. With `weight` a row stands for that many rows: `size` counts
+    these, and the column of the result tells how many of them are in the sample.
     """
-    counts = {r[0]: r[1] for r in df.groupBy(stratum).count().where(F.col(stratum).isNotNull()).collect()}
-    return take_first(df, stratum, stratum_quotas(counts, size), sample_order(key, seed))
+    quotas = stratum_quotas(stratum_sizes(df, stratum, weight), size)
+    return take_first(df, stratum, quotas, sample_order(key, seed), weight=weight)
 
 
-def stratified_fraction(df: DataFrame, stratum: str, fraction: float, key: Sequence[str], seed: int = SEED) -> DataFrame:
+def stratified_fraction(
+    df: DataFrame, stratum: str, fraction: float, key: Sequence[str], seed: int = SEED, weight: str | None = None
+) -> DataFrame:
     """The exact sample with its size given as a share of the rows."""
-    counts = {r[0]: r[1] for r in df.groupBy(stratum).count().where(F.col(stratum).isNotNull()).collect()}
-    size = int(sum(counts.values()) * fraction)
-    return take_first(df, stratum, stratum_quotas(counts, size), sample_order(key, seed))
+    counts = stratum_sizes(df, stratum, weight)
+    quotas = stratum_quotas(counts, int(sum(counts.values()) * fraction))
+    return take_first(df, stratum, quotas, sample_order(key, seed), weight=weight)

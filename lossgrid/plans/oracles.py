@@ -608,6 +608,69 @@ def sample_sql(columns: str, size: str, where: str = "true") -> str:
       USING (default_12m) WHERE rn <= quota"""
 
 
+# the weighted queries count a row `copies` times; their twins see the rows themselves
+_COPIES = {
+    "t_copies": f"""SELECT record_id, observation_month, default_12m, {proxy.FORMULA_PD}, original_upb FROM t_panel_all""",
+}
+_COPY_TOTALS = "(SELECT sum(default_12m) AS p_all, count(*) - sum(default_12m) AS n_all FROM t_copies)"
+twin(
+    "calibration_table_all_events",
+    f"""SELECT CAST({bin_sql("pd_12m_cal", "edges")} AS INT) AS risk_group, count(*) AS observations,
+      round(avg(pd_12m_cal), 8) AS avg_predicted_probability, round(avg(default_12m), 8) AS actual_default_rate,
+      CAST(sum(default_12m) AS BIGINT) AS defaults
+    FROM t_copies, t_edges GROUP BY 1""",
+    **_COPIES,
+    t_edges=edges_sql("t_copies", "pd_12m_cal", 10),
+)
+twin(
+    "capture_lift_all_events",
+    f"""SELECT CAST(pct AS INT) AS top_percent, CAST(any_value(size) AS BIGINT) AS observations,
+      CAST(sum(default_12m) AS BIGINT) AS defaults_captured, CAST(any_value(p_all) AS BIGINT) AS total_defaults,
+      round(sum(default_12m) / any_value(p_all), 6) AS capture_rate,
+      round(avg(default_12m) / any_value(p_all / (p_all + n_all)), 6) AS lift
+    FROM (SELECT default_12m, row_number() OVER (ORDER BY pd_12m_cal DESC, md5(concat_ws(':', '42', record_id, default_12m))) AS rn
+          FROM t_copies),
+         (SELECT pct, p_all, n_all, (p_all + n_all) * pct // 100 AS size FROM unnest([1, 5, 10, 20, 30, 50]) u(pct), {_COPY_TOTALS})
+    WHERE rn <= size GROUP BY pct""",
+    **_COPIES,
+)
+twin(
+    "roc_points_all_events",
+    f"""SELECT round(fp / n_all, 9) AS fpr, round(tp / p_all, 9) AS tpr, round(p, 9) AS threshold FROM (
+      SELECT *, lag(p) OVER w AS best, lead(pos) OVER w AS next_pos, lead(neg) OVER w AS next_neg
+      FROM t_groups WINDOW w AS (ORDER BY p DESC)), {_COPY_TOTALS}
+    WHERE best IS NULL OR next_pos IS NULL OR next_pos <> pos OR next_neg <> neg
+    UNION ALL SELECT 0e0, 0e0, CAST('inf' AS DOUBLE)""",
+    **_COPIES,
+    t_groups=score_table("t_copies", "pd_12m_cal"),
+)
+twin(
+    "calibrator_all_events",
+    "SELECT round(a, 6) AS alpha, round(b, 6) AS beta FROM t_newton WHERE k = 25",
+    **_COPIES,
+    # from a start near the optimum: plain steps do not converge from (0, 1) on these scores
+    t_newton=_CAL["t_newton"].replace("0e0 AS a, 1e0 AS b", "-2e0 AS a, 0e0 AS b"),
+    t_logits="""
+        SELECT ln(q / (1 - q)) AS x, sum(default_12m) AS pos, count(*) AS n
+        FROM (SELECT least(greatest(pd_12m_cal, 1e-15), 1 - 1e-15) AS q, default_12m FROM t_copies) GROUP BY 1""",
+)
+_body, _parts = psi_sql(
+    ["pd_12m_cal", "original_upb"], "t_copies", "observation_month <= 199712",
+    "observation_month BETWEEN 199801 AND 200112",
+)
+twin("psi_all_events", _body, **_COPIES, **_parts)
+twin(
+    "stratified_sample_all_events",
+    """SELECT record_id, default_12m, CAST(count(*) AS BIGINT) AS copies FROM (
+      SELECT *, row_number() OVER (PARTITION BY default_12m ORDER BY md5(concat_ws(':', '42', record_id))) AS rn FROM t_copies)
+    JOIN (SELECT default_12m, base + CASE WHEN row_number() OVER (ORDER BY remainder DESC, n DESC) <= size - sum(base)
+            OVER () THEN 1 ELSE 0 END AS quota
+          FROM (SELECT default_12m, n, size, size * n // total AS base, size * n % total AS remainder
+                FROM (SELECT default_12m, count(*) AS n FROM t_copies GROUP BY 1),
+                     (SELECT count(*) AS total, CAST(floor(count(*) * 0.3e0) AS BIGINT) AS size FROM t_copies)))
+      USING (default_12m) WHERE rn <= quota GROUP BY 1, 2""",
+    **_COPIES,
+)
 _SAMPLED = "l_orderkey, l_partkey, l_suppkey, l_linenumber, observation_month, default_12m"
 twin("stratified_sample", sample_sql(_SAMPLED, "CAST(floor(count(*) * 0.4e0) AS BIGINT)"))
 twin("stratified_sample_exact", sample_sql(_SAMPLED, "20000"))

@@ -320,6 +320,49 @@ def monthly_performance_all_events(spark, d):
     return rounded(table, 8)
 
 
+def repeated(spark, d) -> DataFrame:
+    """The scored panel whose rows stand for as many copies as they match events."""
+    return labelled(spark, d, "all").select(
+        LOAN, "observation_month", "record_id", "default_12m", "copies", F.expr(proxy.FORMULA_PD), "original_upb"
+    )
+
+
+@query
+def calibration_table_all_events(spark, d):
+    table = calibration.calibration_table(repeated(spark, d), "pd_12m_cal", "default_12m", weight="copies")
+    return rounded(table, 8)
+
+
+@query
+def capture_lift_all_events(spark, d):
+    return rounded(binning.capture_lift(repeated(spark, d), "pd_12m_cal", "default_12m", ["record_id", "default_12m"], weight="copies"))
+
+
+@query
+def psi_all_events(spark, d):
+    rows = materialise(repeated(spark, d), "psi")
+    parts = sampling.temporal_split(rows, "observation_month", {"train": (None, 1997), "test": (1998, 2001)})
+    return rounded(drift.psi(parts["train"], parts["test"], ["pd_12m_cal", "original_upb"], weight="copies"), 8)
+
+
+@query
+def roc_points_all_events(spark, d):
+    return rounded(metrics.roc_points(repeated(spark, d), "pd_12m_cal", "default_12m", weight="copies"), 9)
+
+
+@query
+def calibrator_all_events(spark, d):
+    fit = calibration.fit_calibrator(repeated(spark, d), "pd_12m_cal", "default_12m", weight="copies")
+    return spark.range(1).select(F.round(F.lit(fit.alpha), 6).alias("alpha"), F.round(F.lit(fit.beta), 6).alias("beta"))
+
+
+@query
+def stratified_sample_all_events(spark, d):
+    """Row copies are sampled one by one: `copies` is how many of a row's are in the sample."""
+    rows = repeated(spark, d).select("record_id", "default_12m", "copies")
+    return sampling.stratified_fraction(rows, "default_12m", 0.3, ["record_id"], weight="copies")
+
+
 @query
 def roc_points(spark, d):
     return rounded(metrics.roc_points(proxy.scored(spark, d), "pd_12m", "default_12m"), 9)
@@ -368,10 +411,10 @@ def calibrated_scores(spark, d):
 
 @query
 def calibrated_metrics(spark, d):
-    rows = calibrated(spark, d)
-    before = metrics.classification_metrics(rows, "pd_12m", "default_12m")
-    after = metrics.classification_metrics(rows, "pd_12m_cal", "default_12m")
-    return rounded(models.compare_models({"raw": before, "calibrated": after}), 8)
+    parts = sampling.temporal_split(proxy.scored(spark, d), "observation_month", SPLIT)
+    fit = calibration.fit_calibrator(parts["validation"])
+    tables = metrics.mapped_metrics(parts["test"], "pd_12m", "default_12m", {"raw": "pd_12m", "calibrated": fit.apply("pd_12m")})
+    return rounded(models.compare_models(tables), 8)
 
 
 @query

@@ -166,3 +166,76 @@ def test_imputer_and_buckets(spark, df, frame, size):
     groups = frame.groupby(pd.qcut(frame.p, 5, labels=False, duplicates="drop"))
     assert table.observations.tolist() == groups.size().tolist()
     assert table.median_actual_lgd.tolist() == pytest.approx(groups.x.median().tolist())
+
+
+def exchanges(frame):
+    """What the rows were shuffled by, each exchange that ran once, as the query was finally executed."""
+    frame.collect()
+    plan = frame._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    return [line for line in plan.splitlines() if " Exchange hashpartitioning" in line and "ReusedExchange" not in line]
+
+
+@pytest.mark.parametrize("by", [[], ["m"]])
+def test_ordered_metrics_shuffle_their_rows_once(spark, by):
+    """Near-distinct scores in many buckets: one exchange by bucket serves the ties, the order and the totals."""
+    rows = spark.range(20_000).select(
+        (F.xxhash64("id") % 1_000_003 / 2_000_006 + 0.5).alias("p"), (F.col("id") % 7 == 0).cast("int").alias("y"),
+        (F.col("id") % 3).alias("m"),
+    )
+    groups = metrics.score_groups(rows, "p", "y", by, rows_per_bucket=1000)
+    found = exchanges(groups)
+    assert sum("REPARTITION_BY_COL" in line for line in found) == 1
+    assert not [line for line in found if "p#" in line.split("hashpartitioning")[1].split(")")[0]]
+
+
+def test_frequent_scores_are_combined_before_the_shuffle(spark):
+    rows = spark.range(30_000).select(
+        F.when(F.col("id") % 3 == 0, 0.25).otherwise(F.rand(1)).alias("p"), (F.col("id") % 7 == 0).cast("int").alias("y")
+    ).persist()
+    cuts = fit_cuts(rows, ["p"], 1000, frequent=True)["p"]
+    assert cuts.frequent == (0.25,)
+    groups = metrics.score_groups(rows, "p", "y", rows_per_bucket=1000)
+    assert groups.where("p = 0.25").agg(F.sum(F.col("pos") + F.col("neg"))).first()[0] == 10_000
+    metrics_of = metrics.classification_metrics(rows, "p", "y", rows_per_bucket=1000).first()
+    frame = rows.toPandas()
+    auc, ap = auc_ap(frame.p.to_numpy()[:3000], frame.y.to_numpy()[:3000])
+    some = metrics.classification_metrics(spark.createDataFrame(frame[:3000]), "p", "y", rows_per_bucket=100).first()
+    assert (some["roc_auc"], some["pr_auc"]) == (pytest.approx(auc), pytest.approx(ap)) and metrics_of["observations"] == 30_000
+
+
+@pytest.mark.parametrize("size", BUCKETS)
+def test_weights_equal_repeated_rows(spark, df, size):
+    weighted = df.withColumn("w", F.when(F.col("id") % 50 == 1, None).otherwise(F.col("id") % 4))
+    repeated = df.withColumn("w", F.explode(F.expr("sequence(1, int(id % 4))"))).where("id % 4 > 0 and id % 50 <> 1")
+    probs = [0.0, 0.1, 0.5, 0.77, 1.0]
+    a, b = exact_quantiles(weighted, {"x": probs, "p": probs}, size, "w"), exact_quantiles(repeated, {"x": probs, "p": probs}, size)
+    assert a == b
+    for f in (
+        lambda d, **k: calibration.calibration_table(d, "p", "y", 7, size, **k),
+        lambda d, **k: binning.capture_lift(d, "p", "y", ["id"], rows_per_bucket=size, **k),
+        lambda d, **k: drift.psi_bins(d.where("m = 1"), d.where("m > 1"), ["x", "p"], 5, size, **k),
+        lambda d, **k: metrics.roc_points(d, "p", "y", rows_per_bucket=size, **k),
+        lambda d, **k: metrics.pr_points(d, "p", "y", size, **k),
+        lambda d, **k: metrics.classification_metrics(d, "p", "y", ["m"], size, **k),
+    ):
+        one, two = (sorted(map(tuple, f(d, **k).collect()), key=str) for d, k in ((weighted, {"weight": "w"}), (repeated, {})))
+        assert len(one) == len(two)
+        for r, q in zip(one, two, strict=True):
+            assert r == pytest.approx(q, nan_ok=True)
+    fits = [calibration.fit_calibrator(d, "p", "y", weight=k) for d, k in ((weighted, "w"), (repeated, None))]
+    assert fits[0] == pytest.approx(fits[1])
+    sample = [binning.take_first(d, "y", {0: 200, 1: 55}, binning.sample_order(["id"]), 1, size, k) for d, k in ((weighted, "w"), (repeated, None))]
+    counts = [{r["id"]: r[1] for r in s.groupBy("id").agg(n).collect()} for s, n in zip(sample, (F.sum("w"), F.count("w")))]
+    assert counts[0] == counts[1]
+    stages = [features.fit_imputer(d, ["x"], ["m"], size, k) for d, k in ((weighted, "w"), (repeated, None))]
+    scales = [features.fit_scaler(d, ["p", "z"], k) for d, k in ((weighted.where("not isnan(x)"), "w"), (repeated.where("not isnan(x)"), None))]
+    assert stages[0] == stages[1] and scales[0].means == pytest.approx(scales[1].means)
+    assert scales[0].deviations == pytest.approx(scales[1].deviations)
+
+
+def test_maps_of_a_score_share_one_table(spark, df):
+    fit = calibration.Calibrator(-0.3, 0.8)
+    tables = metrics.mapped_metrics(df, "p", "y", {"raw": "p", "cal": fit.apply("p"), "down": 1 - F.col("p"), "one": F.lit(0.5)})
+    for name, column in (("raw", F.col("p")), ("cal", fit.apply("p")), ("down", 1 - F.col("p")), ("one", F.lit(0.5))):
+        want = metrics.classification_metrics(df.withColumn("q", column), "q", "y").first()
+        assert tuple(tables[name].first()) == pytest.approx(tuple(want))
