@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
-_SHINGLES = """
-    SELECT id, unnest(list_distinct(
-             CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-                  ELSE list_transform(range(1, CAST(len(w) - 3 AS BIGINT)), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS s
-    FROM (SELECT {id} AS id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w
-          FROM {table})
-    WHERE len(w) > 0
+# words of both tables; an item's runs are of five words or, if it has fewer, of all of them; a document's of those sizes
+_LEAKS = """
+        WITH words AS (SELECT 'd' AS side, doc_id AS id, row_number() OVER () AS r, text FROM documents
+                       UNION ALL SELECT 'i', item_id, row_number() OVER (), text FROM benchmark),
+             w AS (SELECT side, id, r, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'),
+                                                   lambda x: x <> '') AS w FROM words),
+             sizes AS (SELECT DISTINCT least(len(w), 5) AS k FROM w WHERE side = 'i' AND len(w) > 0),
+             s AS (SELECT DISTINCT side, id, r, unnest(list_transform(range(1, CAST(len(w) - k + 2 AS BIGINT)),
+                            lambda i: array_to_string(w[i:i + k - 1], ' '))) AS s
+                   FROM w, sizes WHERE len(w) >= k AND (side = 'd' OR k = least(len(w), 5))),
+             i AS (SELECT DISTINCT id, s FROM s WHERE side = 'i'),
+             n AS (SELECT id, count(*) AS n FROM i GROUP BY id),
+             p AS (SELECT d.id AS doc_id, d.r, i.id AS item_id, count(*) AS k FROM i JOIN s d ON d.s = i.s
+                   WHERE d.side = 'd' GROUP BY ALL),
+             b AS (SELECT doc_id, item_id, max(k) AS k FROM p GROUP BY ALL)
+        SELECT doc_id, item_id, k AS n_shared, n AS n_shingles, k / n AS containment
+        FROM b JOIN n ON n.id = item_id WHERE k >= 0.8 * n
 """
 
 # SHA-1 in base32: five hexadecimal digits are four digits of five bits
@@ -31,14 +41,7 @@ _CRC32 = f"""xor(4294967295, list_reduce(
                  lambda a, x: xor(a // 16, ({_CRC_TABLE})[xor(a, x) % 16 + 1])))"""
 
 ORACLES = {
-    "op4_benchmark_decontamination": f"""
-        WITH d AS ({_SHINGLES.format(id="doc_id", table="documents")}),
-             i AS ({_SHINGLES.format(id="item_id", table="benchmark")}),
-             n AS (SELECT id, count(*) AS n FROM i GROUP BY id),
-             p AS (SELECT d.id AS doc_id, i.id AS item_id, count(*) AS k FROM i JOIN d ON d.s = i.s GROUP BY ALL)
-        SELECT doc_id, item_id, k AS n_shared, n AS n_shingles, k / n AS containment
-        FROM p JOIN n ON n.id = item_id WHERE k >= 0.8 * n
-    """,
+    "op4_benchmark_decontamination": _LEAKS,
     "op5_exact_dedup": """
         WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS n,
                           sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g')) AS text_sha256

@@ -306,8 +306,34 @@ def read_archives(manifest: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Records: path, start, end, record_type, record_id, refers_to (both ids as numbers, null if absent), uri, payload,
     payload_bytes and payload_digest of the full payload (a revisit states them without holding it). Gaps: path, start,
-    end, reason. One archive is held in memory at a time. An unreadable file is one gap from 0 to -1.
+    end, reason. One archive is held in memory at a time. An unreadable file is one gap from 0 to -1. Whether every record
+    that was written is found again is for `verified_records` to say.
     """
+    found = _found(manifest)
+    return found.where("reason is null").drop("reason"), found.where("reason is not null").select(*GAP)
+
+
+def verified_records(manifest: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Records without their payloads, and gaps, of the archives of a manifest (path, records), read once.
+
+    Raises if an archive gives another number of records than the manifest states: a missing or damaged archive never
+    passes for a smaller one.
+    """
+    found = keep(_found(manifest).drop("payload"), "warc-records")
+    read = found.groupBy(F.col("path").alias("read_path")).agg(
+        F.count_if(F.col("reason").isNull()).alias("n"), F.min_by("reason", F.col("reason").isNull()).alias("reason")
+    )
+    wrong = manifest.join(read, F.col("path") == F.col("read_path"), "left").where(
+        F.coalesce("n", F.lit(0)) != F.col("records")
+    )
+    if bad := wrong.select("path", "records", F.coalesce("n", F.lit(0)).alias("n"), "reason").limit(5).collect():
+        told = "; ".join(f"{r['path']}: {r['n']} of {r['records']} records, {r['reason'] or 'no gap'}" for r in bad)
+        raise ValueError(f"archives do not hold the records that were written: {told}")
+    return found.where("reason is null").drop("reason"), found.where("reason is not null").select(*GAP)
+
+
+def _found(manifest: DataFrame) -> DataFrame:
+    """What `read_archives` finds, records and gaps in one frame."""
 
     def number(text: str | None) -> int | None:
         found = re.fullmatch(r"<urn:page:(-?\d+)>", text or "")
@@ -355,11 +381,10 @@ def read_archives(manifest: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     # a fixed number of tasks: by the bytes of their paths all archives would end up in one
     tasks = min(max(manifest.count(), 1), MOST_TASKS)
-    found = manifest.select("path").repartition(tasks).mapInArrow(read, DDL)
-    records = found.where("reason is null").drop("reason")
-    return records, found.where("reason is not null").select("path", "start", "end", "reason")
+    return manifest.select("path").repartition(tasks).mapInArrow(read, DDL)
 
 
+GAP = ["path", "start", "end", "reason"]
 SCHEMA = pa.schema(
     [
         ("path", pa.string()),
@@ -382,9 +407,12 @@ DDL = (
 
 
 def round_trip(pages: DataFrame, folder: str | None = None, **options) -> DataFrame:
-    """Write the pages and read them back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    """Write the pages and read them back: page_id, payload_bytes, payload_digest, record_type, refers_to.
+
+    Raises if an archive is missing or gives fewer records than were written to it.
+    """
     manifest = write_archives(pages, folder or new_folder(pages.sparkSession, "warc"), **options)
-    records, _ = read_archives(manifest)
+    records, _ = verified_records(manifest)
     return records.select(
         F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to"
     )

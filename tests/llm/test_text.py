@@ -220,19 +220,20 @@ def test_boundary_rule():
 
 
 def brute_leaks(docs, items, threshold=0.8):
-    def grams(text):
-        words = [w for w in re.split(r"[^\w]|_", (text or "").lower()) if w]
-        return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
-
+    split = lambda text: [w for w in re.split(r"[^\w]|_", (text or "").lower()) if w]
+    runs = lambda words, k: {tuple(words[i : i + k]) for i in range(len(words) - k + 1)}
     want = defaultdict(set)
     for i, t in items:
-        want[i] |= grams(t)
+        words = split(t)
+        want[i] |= runs(words, min(5, len(words))) if words else set()
     out = set()
     for d, t, *_ in docs:
-        have = grams(t)
+        words = split(t)
+        have = {k: runs(words, k) for k in range(1, 6)}
         for i, own in want.items():
-            if own and len(own & have) >= threshold * len(own) - 1e-9:
-                out.add((d, i, len(own & have), len(own)))
+            n = sum(x in have[len(x)] for x in own)
+            if own and n >= threshold * len(own) - 1e-9:
+                out.add((d, i, n, len(own)))
     best = {}
     for d, i, k, n in out:
         best[d, i] = max(best.get((d, i), (0, n)), (k, n))
@@ -242,11 +243,11 @@ def brute_leaks(docs, items, threshold=0.8):
 @pytest.mark.parametrize("broadcast", [True, False])
 def test_contained_items_match_brute_force(spark, monkeypatch, broadcast):
     if not broadcast:
-        monkeypatch.setattr(decontaminate, "maybe_broadcast", lambda df, *_: df)
+        monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", -1)
     rng = random.Random(8)
     word = lambda: rng.choice("red blue green one two three four five six".split())
     items = [(i, " ".join(word() for _ in range(rng.choice([1, 3, 5, 12, 40])))) for i in range(12)]
-    items += [(20, None), (21, " ,, "), (3, "an item with the same id as another one"), (None, "item without an id but with words")]
+    items += [(20, None), (21, " ,, "), (22, "two, words"), (22, "and a longer text under the same id"), (3, "an item with the same id as another one"), (None, "item without an id but with words")]
     docs = []
     for d in range(40):
         noise = [word() for _ in range(rng.choice([0, 3, 60, 600]))]
@@ -256,6 +257,7 @@ def test_contained_items_match_brute_force(spark, monkeypatch, broadcast):
         at = rng.randrange(len(noise) + 1)
         docs.append((d, ", ".join(noise[:at] + [w.upper() for w in item] + noise[at:]), "en"))
     docs += [(100, None, None), (101, "", None), (None, items[-1][1] + " more", None), *docs[:4], (1, items[3][1] + " x y z", "en")]
+    docs += [(102, "she said: Two words! and left", "en"), (103, "two other words", "en"), (104, "two words", "en")]
     df = table(spark, docs).withColumns({c: F.lit(1) for c in ("item_id", "hash", "items", "s", "d", "needed")})
     got = decontaminate.contained_items(df, spark.createDataFrame(items, "item_id long, text string"))
     assert sorted(map(tuple, got.collect()), key=str) == brute_leaks(docs, items)
@@ -390,6 +392,23 @@ def test_archives_round_trip(spark, monkeypatch, tmp_path, least, broadcast):
     assert warc.round_trip(table(spark, [], PAGES)).collect() == []
 
 
+@pytest.mark.parametrize("harm", ["missing", "cut", "flipped"])
+def test_a_missing_or_damaged_archive_is_not_passed_over(spark, tmp_path, harm):
+    rows = [(i, f"http://x/{i}", f"page {i} " * 20) for i in range(40)]
+    manifest = warc.write_archives(table(spark, rows, PAGES), f"file://{tmp_path}/a", archive_bytes=2000)
+    kept, gaps = warc.verified_records(manifest)
+    assert kept.count() == 40 and gaps.count() == 0
+    first = sorted((tmp_path / "a").glob("*.gz"))[0]
+    data = first.read_bytes()
+    if harm == "missing":
+        first.rename(tmp_path / "elsewhere")
+    else:
+        first.write_bytes(data[: len(data) // 2] if harm == "cut" else data[:200] + b"\0" * 40 + data[240:])
+    with pytest.raises(ValueError, match="do not hold"):
+        warc.verified_records(manifest)
+    assert warc.read_archives(manifest)[1].count() > 0
+
+
 def records(n=6):
     out = []
     for i in range(n):
