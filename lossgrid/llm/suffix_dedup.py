@@ -14,7 +14,10 @@ windows have the same one, so a pass handles a run of windows at once:
 Documents are kept in batches of a few megabytes. A batch sends the distinct digits of a pass to buckets and gets back
 one state per digit, so what moves is about one number per run. A digit that very many batches have would still bring as
 many numbers to one bucket; such digits are found in a few batches, with the smallest of their documents there. A batch
-whose own documents are larger then knows the answer and sends nothing.
+whose own documents are larger then knows the answer and sends nothing. A leading digit that very many different runs
+share, such as a common line between ever different neighbours, would bring them all to one bucket in pass 2. Such
+leading digits are found in the same batches, and all their runs are left open for pass 3, which deals windows by
+digits of their own.
 """
 
 from __future__ import annotations
@@ -43,6 +46,8 @@ BATCH_BYTES = 4 << 20
 BLOCK = 1 << 19
 # text in one bucket of the stored batches, about
 STORE_BYTES = 16 << 20
+# Spark takes at most 100 000 buckets for a table; with more text a bucket holds more batches, which are read in turn
+MOST_BUCKETS = 50_000
 # digits that one bucket handles, about; there is one per run, and a run for every RUN_BYTES of text
 BUCKET_DIGITS = 500_000
 RUN_BYTES = 16
@@ -53,8 +58,10 @@ INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 SAMPLE_BATCHES = 16
 HOT_BATCHES = 6
 MOST_HOT = 50_000
+# runs that may share a leading digit in pass 2; the runs of a fuller one go to pass 3 straight away
+LEAD_DIGITS = 100_000
 LAST = np.iinfo(np.int64).max
-NOTHING, OPEN, REPEATED = 0, 1, 2
+NOTHING, OPEN, REPEATED, UNKNOWN = 0, 1, 2, 255
 
 
 @dataclass
@@ -205,12 +212,20 @@ class Digits:
     item: np.ndarray
     # 32 bits of the leading digit beside the bucket; none in the last pass
     lead: np.ndarray
-    # digits that a smaller document is known to have
-    sure: np.ndarray
+    # the state of digits that are not sent: repeated in a smaller document, or open as their leading digit is too full
+    fixed: np.ndarray
 
     @staticmethod
-    def of(digit: np.ndarray, owner: np.ndarray, lead: np.ndarray | None, buckets: int, hot: Hot) -> Digits:
-        """Digits are dealt to buckets by their leading digit, in the last pass by themselves."""
+    def of(
+        digit: np.ndarray,
+        owner: np.ndarray,
+        lead: np.ndarray | None,
+        buckets: int,
+        hot: Hot,
+        full: np.ndarray | None = None,
+    ) -> Digits:
+        """Digits are dealt to buckets by their leading digit, in the last pass by themselves. `full` are the leading
+        digits, in order, whose runs are not told apart in this pass."""
         place = digit if lead is None else lead
         rest = np.zeros(len(digit), np.uint32) if lead is None else (lead & np.uint64(0xFFFFFFFF)).astype(np.uint32)
         order = np.lexsort((owner, digit))
@@ -224,13 +239,20 @@ class Digits:
         back = np.empty(len(rank), np.int64)
         back[rank] = np.arange(len(rank))
         found, owners = digit[distinct][rank], owner[distinct][rank]
+        fixed = np.full(len(found), UNKNOWN, np.uint8)
+        if full is not None and len(full):
+            leads = lead[distinct][rank]
+            at = np.minimum(np.searchsorted(full, leads), len(full) - 1)
+            fixed[full[at] == leads] = OPEN
+        fixed[hot.lowest_of(found) < owners] = REPEATED
         rest = rest[distinct][rank] if lead is not None else rest[:0]
-        return Digits(bucket[rank], found, owners, back[item], rest, hot.lowest_of(found) < owners)
+        return Digits(bucket[rank], found, owners, back[item], rest, fixed)
 
     def rows(self, batch: int) -> Iterator[dict]:
         """One row per bucket: the digits by owner, and the owners with their number of digits."""
-        bucket, digit, owners = (x[~self.sure] for x in (self.bucket, self.digit, self.owner))
-        lead = self.lead[~self.sure] if len(self.lead) else self.lead
+        sent = self.fixed == UNKNOWN
+        bucket, digit, owners = (x[sent] for x in (self.bucket, self.digit, self.owner))
+        lead = self.lead[sent] if len(self.lead) else self.lead
         cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
         for a, z in zip(cuts, cuts[1:], strict=False):
             owner, number = np.unique(owners[a:z], return_counts=True)
@@ -247,10 +269,10 @@ class Digits:
         """The state of each item from the buckets' answers, which come in any order."""
         answers = sorted(answers or [], key=lambda x: x["bucket"])
         own = np.concatenate([np.zeros(0, np.uint8), *(np.frombuffer(x["states"], np.uint8) for x in answers)])
-        if len(own) != np.count_nonzero(~self.sure):
+        state = self.fixed.copy()
+        if len(own) != np.count_nonzero(state == UNKNOWN):
             raise ValueError("the answers do not fit the batch's digits")
-        state = np.full(len(self.digit), REPEATED, np.uint8)
-        state[~self.sure] = own
+        state[state == UNKNOWN] = own
         return state[self.item]
 
 
@@ -313,7 +335,9 @@ def answer(sent: DataFrame, leading: bool) -> DataFrame:
 def store(docs: DataFrame, batch_bytes: int, total: int) -> DataFrame:
     """The documents in compressed batches: batch, ids, sizes in bytes, body; a table bucketed by batch.
 
-    Each pass joins its answers to the batches. Bucketing lets the batches stay where they are: only answers move.
+    Each pass joins its answers to the batches. Bucketing lets the batches stay where they are: only answers move. Every
+    bucket is written by one task, so there is one file for each. The table's name is dropped at once; its files are
+    read by path.
     """
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,9 +359,27 @@ def store(docs: DataFrame, batch_bytes: int, total: int) -> DataFrame:
     batches = docs.mapInArrow(run, "batch long, ids array<long>, sizes array<long>, body binary")
     spark, name = docs.sparkSession, f"suffix_batches_{uuid.uuid4().hex}"
     path = new_folder(spark, "suffix-batches")
-    parts = max(1, -(-total // STORE_BYTES))
-    batches.write.option("path", path).bucketBy(parts, "batch").saveAsTable(name)
-    return spark.table(name)
+    parts = store_buckets(total)
+    batches.repartition(parts, "batch").write.option("path", path).bucketBy(parts, "batch").saveAsTable(name)
+    table = spark.table(name)
+    table.schema  # resolved now, so the catalog is not asked again
+    spark.sql(f"DROP TABLE {name}")
+    return table
+
+
+def store_buckets(total: int) -> int:
+    """Buckets for so many bytes of text, within what Spark allows."""
+    return min(max(1, -(-total // STORE_BYTES)), MOST_BUCKETS)
+
+
+def full_leads(counts: DataFrame, step: int) -> np.ndarray:
+    """The leading digits with over LEAD_DIGITS runs, in order, as far as the sampled batches tell (lead, runs).
+
+    Every batch sends each of its different runs once, so `step` times the sampled ones are expected to meet. There are
+    at most as many such leading digits as LEAD_DIGITS goes into the sampled runs times `step`.
+    """
+    rows = counts.groupBy("lead").agg(F.sum("runs").alias("n")).where(F.col("n") * step > LEAD_DIGITS).collect()
+    return np.sort(np.array([r["lead"] for r in rows], np.int64).view(np.uint64))
 
 
 def remove_repeats(
@@ -355,7 +397,8 @@ def remove_repeats(
     on the input. Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept_sha256 (hex digest of the
     remaining bytes), with `with_text` also `kept`, the remaining bytes. A null text is empty. A null id counts as
     larger than any other. Rows with equal ids do not remove each other's bytes. An empty table gives an empty result;
-    other columns are not read. Runs are told apart by 96 bits and windows by 64 bits of hash, and by their bucket.
+    other columns are not read. Runs and windows count as equal when their 64-bit hashes are: bytes are not compared, so
+    among n different windows about n * n / 2**65 pairs are expected to be taken for equal.
     """
     rows = docs.select(F.col(id_column).cast("long").alias("id"), text_or_empty(text_column).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
@@ -365,11 +408,11 @@ def remove_repeats(
     nothing = Hot(np.zeros(0, np.uint64), np.zeros(0, np.int64))
     buckets = max(1, -(-total // (RUN_BYTES * BUCKET_DIGITS)))
 
-    def opened(row: dict, hot: Hot) -> tuple[Batch, Digits]:
+    def opened(row: dict, hot: Hot, full: np.ndarray) -> tuple[Batch, Digits]:
         ids = np.array([LAST if x is None else x for x in row["ids"]], np.int64)
         batch = Batch(ids, np.array(row["sizes"], np.int64), row["body"], depth, digit)
         owners = batch.owners(batch.runs.first)
-        return batch, Digits.of(batch.runs.digit, owners, batch.runs.lead, buckets, hot)
+        return batch, Digits.of(batch.runs.digit, owners, batch.runs.lead, buckets, hot, full)
 
     def open_windows(batch: Batch, state: np.ndarray, hot: Hot) -> tuple[np.ndarray, Digits]:
         at, digits = batch.windows(state == OPEN)
@@ -391,13 +434,25 @@ def remove_repeats(
 
     def sample_runs(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(parts):
-            yield pairs(opened(row, nothing)[1])
-
-    hot_runs = Hot.find(batches.where(sampled).mapInArrow(sample_runs, "digit long, owner long"))
+            batch, digits = opened(row, nothing, no_leads)
+            runs = np.unique(np.stack([batch.runs.lead, batch.runs.digit]), axis=1)[0]
+            leads, number = np.unique(runs, return_counts=True)
+            yield pa.record_batch(
+                {
+                    "digit": pa.array(np.concatenate([digits.digit, leads]).view(np.int64)),
+                    "owner": pa.array(np.concatenate([digits.owner, np.zeros(len(leads), np.int64)])),
+                    "runs": pa.array(np.concatenate([np.zeros(len(digits.digit), np.int64), number])),
+                }
+            )
+
+    no_leads = np.zeros(0, np.uint64)
+    seen = keep(batches.where(sampled).mapInArrow(sample_runs, "digit long, owner long, runs long"), "suffix-sample")
+    hot_runs = Hot.find(seen.where("runs = 0"))
+    full = full_leads(seen.where("runs > 0").withColumnRenamed("digit", "lead"), step)
 
     def send_runs(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(parts):
-            _, digits = opened(row, hot_runs)
+            _, digits = opened(row, hot_runs, full)
             yield pa.RecordBatch.from_pylist(list(digits.rows(row["batch"])), DIGIT_SCHEMA)
 
     run_answers = keep(answer(batches.mapInArrow(send_runs, DIGIT_ROWS), True), "suffix-run-answers")
@@ -405,14 +460,14 @@ def remove_repeats(
 
     def sample_windows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(parts):
-            batch, digits = opened(row, hot_runs)
+            batch, digits = opened(row, hot_runs, full)
             yield pairs(open_windows(batch, run_states(batch, digits, row["answers"]), nothing)[1])
 
     hot_windows = Hot.find(known.where(sampled).mapInArrow(sample_windows, "digit long, owner long"))
 
     def send_windows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(parts):
-            batch, digits = opened(row, hot_runs)
+            batch, digits = opened(row, hot_runs, full)
             _, windows = open_windows(batch, run_states(batch, digits, row["answers"]), hot_windows)
             yield pa.RecordBatch.from_pylist(list(windows.rows(row["batch"])), DIGIT_SCHEMA)
 
@@ -421,7 +476,7 @@ def remove_repeats(
 
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(parts):
-            batch, digits = opened(row, hot_runs)
+            batch, digits = opened(row, hot_runs, full)
             state = run_states(batch, digits, row["answers"])
             at, windows = open_windows(batch, state, hot_windows)
             repeated = windows.states(row["window_answers"]) == REPEATED

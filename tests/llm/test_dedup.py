@@ -331,3 +331,38 @@ def test_suffix_dedup_empty_table_and_kept_text(spark):
     shared = "x" * 10 + "".join(map(str, range(60)))
     got = suffix_dedup.remove_repeats(table(spark, [(1, shared, None), (2, "left " + shared + " right", None)]), with_text=True)
     assert {r.doc_id: bytes(r.kept) for r in got.collect()} == {1: shared.encode(), 2: b"left  right"}
+
+
+def test_a_common_line_between_different_neighbours_does_not_fill_a_group(spark, monkeypatch):
+    """A line of 40 bytes in every document: all its runs differ, share their leading digit, and skip the second pass."""
+    line, rng = "this very line stands in all documents. ", random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randint(3, 9)))
+    rows = [(i, " ".join(word() for _ in range(30)) + line + " ".join(word() for _ in range(30)), "en") for i in range(200)]
+    rows += [(500 + i, rows[i][1][:200] + word(), "en") for i in range(0, 60, 3)]
+    monkeypatch.setattr(suffix_dedup, "LEAD_DIGITS", 50)
+    asked, found = [], []
+    monkeypatch.setattr(suffix_dedup, "full_leads", lambda c, s, f=suffix_dedup.full_leads: found.append(f(c, s)) or found[-1])
+
+    def answer(sent, leading, real=suffix_dedup.answer):
+        sizes = sent.select("bucket", (F.octet_length("digits") / 8).alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"))
+        asked.append((leading, max(r["n"] for r in sizes.collect())))
+        return real(sent, leading)
+
+    monkeypatch.setattr(suffix_dedup, "answer", answer)
+    monkeypatch.setattr(suffix_dedup, "BUCKET_DIGITS", 20)
+    want = brute_suffix(rows, 50)
+    assert rows_of(suffix_dedup.remove_repeats(table(spark, rows), batch_bytes=900)) == want
+    assert len(found[0]) > 0 and asked[0][0]
+    without = list(asked)
+    asked.clear()
+    monkeypatch.setattr(suffix_dedup, "LEAD_DIGITS", 10**9)
+    assert rows_of(suffix_dedup.remove_repeats(table(spark, rows), batch_bytes=900)) == want
+    assert len(found[1]) == 0 and without[0][1] < 100 < asked[0][1]
+
+
+def test_suffix_buckets_stay_within_sparks_limit_and_leave_no_table(spark):
+    assert suffix_dedup.store_buckets(0) == 1 and suffix_dedup.store_buckets(17 << 20) == 2
+    assert suffix_dedup.store_buckets(100 << 40) == suffix_dedup.store_buckets(100_001 * (16 << 20)) < 100_000
+    before = {t.name for t in spark.catalog.listTables()}
+    suffix_dedup.remove_repeats(table(spark, [(1, "x" * 100, None), (2, "y" + "x" * 100, None)])).collect()
+    assert {t.name for t in spark.catalog.listTables()} == before
