@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lossgrid.fixed import PROBABILITY_FLOOR
 from lossgrid.functions.scalars import all_of, clip, nan_to_null
@@ -255,6 +257,51 @@ def spearman(df: DataFrame, a: str, b: str, rows_per_bucket: int | None = None)
     return with_p_value(table.select("observations", F.col("spearman").alias("correlation")))
 
 
+def grouped_correlations(
+    df: DataFrame, by: Sequence[str], a: str, b: str, rows_per_bucket: int | None = None
+) -> DataFrame:
+    """Per group: rows where both values are known, linear and rank correlation, each with its two-sided p-value.
+
+    Any number of groups in one pass: rows are folded to distinct pairs, whose values look up their mean ranks. A
+    correlation is NULL where a value is constant, a p-value where there are fewer than three rows.
+    """
+    by = list(by)
+    both = df.select(*by, (nan_to_null(a) + 0.0).alias("a"), (nan_to_null(b) + 0.0).alias("b"))
+    both = both.dropna(subset=[*by, "a", "b"])
+    pairs = materialise(both.groupBy(*by, "a", "b").agg(F.count(F.lit(1)).alias("w")), "pairs")
+
+    def ranked(value: str) -> DataFrame:
+        table = running_totals(pairs, value, {"n": F.col("w")}, by, rows_per_bucket=rows_per_bucket)
+        return table.select(*by, value, (F.col("n_before") + (F.col("n") + 1) / 2).alias(f"r{value}"))
+
+    rows = pairs.join(ranked("a"), [*by, "a"]).join(ranked("b"), [*by, "b"])
+    rows = materialise(rows.select(*by, "w", "a", "b", "ra", "rb"), "ranked-pairs")
+    w = F.col("w")
+    means = rows.groupBy(*by).agg(
+        F.sum("w").alias("n"), *[(F.sum(F.col(c) * w) / F.sum("w")).alias(f"m{c}") for c in ("a", "b", "ra", "rb")]
+    )
+    off = {c: F.col(c) - F.col(f"m{c}") for c in ("a", "b", "ra", "rb")}
+    sums = [F.sum(w * off[x] * off[y]).alias(f"{x}_{y}") for x, y in (("a", "a"), ("b", "b"), ("a", "b"), ("ra", "ra"), ("rb", "rb"), ("ra", "rb"))]
+    table = rows.join(means, by).groupBy(*by).agg(F.first("n").alias("observations"), *sums)
+
+    def correlation(x: str, y: str) -> Column:
+        return F.try_divide(F.col(f"{x}_{y}"), F.sqrt(F.col(f"{x}_{x}")) * F.sqrt(F.col(f"{y}_{y}")))
+
+    found = table.select(*by, "observations", correlation("a", "b").alias("pearson"), correlation("ra", "rb").alias("spearman"))
+
+    def with_chances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:  # one row per group
+            n = batch.column("observations").to_pylist()
+            for kind in ("pearson", "spearman"):
+                r = [None if x is None else max(-1.0, min(1.0, x)) for x in batch.column(kind).to_pylist()]
+                chance = [two_sided_p_value(x, k) for x, k in zip(r, n, strict=True)]
+                batch = batch.append_column(f"{kind}_p", pa.array(chance, pa.float64()))
+            yield batch
+
+    schema = StructType(list(found.schema.fields)).add("pearson_p", "double").add("spearman_p", "double")
+    return found.mapInArrow(with_chances, schema)
+
+
 def spearman_matrix(df: DataFrame, columns: Sequence[str], rows_per_bucket: int | None = None) -> DataFrame:
     """Rank correlation of each pair of columns over the rows where both are known, as (column_a, column_b, ...).
 

@@ -425,3 +425,37 @@ def exact_quantiles(
                 for s in spots[c]
             ]
     return out
+
+
+def grouped_quantiles(
+    df: DataFrame,
+    by: Sequence[str],
+    value: str,
+    probs: Sequence[float],
+    rows_per_bucket: int | None = None,
+    weight: str | None = None,
+) -> DataFrame:
+    """(by, prob, quantile): the interpolated quantiles of every group, exact for any number and size of groups.
+
+    One running total over (group, bucket) serves all groups; nothing reaches the driver but the cut points. Groups of
+    null and groups without a known value have no row.
+    """
+    by, probs = list(by), [float(p) for p in probs]
+    rows = df.where(row_weight(weight) > 0)
+    table = running_totals(rows, value, {"n": row_weight(weight)}, by, rows_per_bucket=rows_per_bucket)
+    table = materialise(table, "grouped-order")  # one row per group and distinct value
+    sizes = table.groupBy(*by).agg(F.sum("n").alias("_all"))
+    wanted = F.explode(F.array(*[F.lit(p) for p in probs])).alias("prob")
+    spots = sizes.select(*by, wanted, "_all").withColumn("_at", (F.col("_all") - 1) * F.col("prob"))
+    low, high = F.floor("_at"), F.ceil("_at")
+    held = lambda k: (k >= F.col("n_before")) & (k < F.col("n_before") + F.col("n"))
+    found = table.join(spots, by).where(held(low) | held(high))
+    ends = found.groupBy(*by, "prob").agg(
+        F.max(F.when(held(low), F.col(value))).alias("_low"),
+        F.max(F.when(held(high), F.col(value))).alias("_high"),
+        F.first(F.col("_at") - low).alias("_part"),
+    )
+    a, b, part = F.col("_low"), F.col("_high"), F.col("_part")
+    # exact at both ends
+    between = F.when(part >= 0.5, b - (b - a) * (1 - part)).otherwise(a + (b - a) * part)
+    return ends.select(*by, "prob", F.when(a == b, a).otherwise(between).alias("quantile"))

@@ -23,21 +23,38 @@ def hot_keys(df: DataFrame, key: str, rows_per_task: int | None = None) -> DataF
     """(key, salts) for every key with more rows than a task can take, or None if there cannot be any.
 
     The bound is a number of rows, whatever the table's size. A table with no more rows than that needs no look at its
-    keys. Else one pass with a frequent-items sketch, sized so that its error stays below half the bound: at most
-    8 * rows / rows_per_task items, so no key over the bound is missed; a key over half of it may be listed too. A key's salts
-    follow its estimated rows. The list has at most 2 * rows / rows_per_task entries and only steers where rows are processed.
+    keys. Else frequent-items sketches, one for each of as many hashed parts of the keys as it takes for their error to
+    stay below half the bound, so no key over the bound is missed; a key over half of it may be listed too. A part that
+    a key found in it makes too large is looked at again without the keys found. A key's salts follow its estimated
+    rows. The list has at most 2 * rows / rows_per_task entries and only steers where rows are processed.
     """
     limit = rows_per_task or setting(df.sparkSession, "rowsPerTask", ROWS_PER_TASK)
     n = df.count()
     if n <= limit:
         return None
-    limit = max(limit, 8 * n // SKETCH_LIMIT)
-    items = min(SKETCH_LIMIT, 1 << (8 * n // limit).bit_length())
-    top = df.agg(F.expr(f"approx_top_k({key}, {min(items, 2 * n // limit + 1)}, {items})").alias("top")).first()["top"]
-    rows = [(r["item"], -(-2 * r["count"] // limit)) for r in top or [] if r["item"] is not None and 2 * r["count"] > limit]
-    if not rows:
+    found: dict = {}
+    kind = df.schema[key].dataType.simpleString()
+    rest = df.select(key).where(F.col(key).isNotNull())
+    while True:
+        # 8 items for each time that the bound goes into the rows keep a sketch's error below half of it
+        parts = max(1, -(-8 * n // limit // SKETCH_LIMIT))
+        items = min(SKETCH_LIMIT, 1 << (8 * n // limit).bit_length())
+        most = min(items, 2 * n // limit + 1)
+        sketch = F.expr(f"approx_top_k(`{key}`, {most}, {items})").alias("top")
+        part = F.pmod(F.xxhash64(key), F.lit(parts)).alias("part")
+        tables = rest.groupBy(part).agg(F.count(F.lit(1)).alias("n"), sketch).collect()  # `parts` rows of hot keys
+        new = {r["item"]: r["count"] for t in tables for r in t["top"] if 2 * r["count"] > limit and r["item"] not in found}
+        found |= new
+        unsure = max((t["n"] for t in tables), default=0) * 8 > limit * items
+        if not (unsure and new):
+            break
+        taken = F.broadcast(df.sparkSession.createDataFrame([(k,) for k in found], f"`{key}` {kind}"))
+        rest = df.select(key).where(F.col(key).isNotNull()).join(taken, key, "left_anti")
+        n = rest.count()
+    if not found:
         return None
-    return df.sparkSession.createDataFrame(rows, f"`{key}` {df.schema[key].dataType.simpleString()}, {SALTS} long")
+    rows = [(k, -(-2 * c // limit)) for k, c in found.items()]
+    return df.sparkSession.createDataFrame(rows, f"`{key}` {kind}, {SALTS} long")
 
 
 def salted_join(
@@ -69,7 +86,7 @@ def previous_value(
     columns: Sequence[str],
     prefix: str = "prev_",
     hot: DataFrame | None = None,
-    rows_per_bucket: int = 100_000,
+    rows_per_bucket: int | None = None,
 ) -> DataFrame:
     """`lag(column) over (partition by key order by order)` for several columns.
 

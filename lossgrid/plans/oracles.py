@@ -356,6 +356,16 @@ twin(
       (SELECT avg(lgd_model) FROM t_severity WHERE observation_month <= 199812) AS lgd_pred FROM t_severity
       WHERE observation_month BETWEEN 199901 AND 200112) GROUP BY 1""",
 )
+twin(
+    "severity_quantiles",
+    """SELECT year, risk_group, CAST(p AS DOUBLE) AS prob,
+      round(CASE p WHEN 0.25 THEN quantile_cont(lgd_model, 0.25) WHEN 0.5 THEN quantile_cont(lgd_model, 0.5)
+                   ELSE quantile_cont(lgd_model, 0.75) END, 6) AS quantile
+    FROM t_binned, unnest([0.25, 0.5, 0.75]) u(p) GROUP BY year, risk_group, p""",
+    t_binned=f"""SELECT lgd_model, observation_month // 100 AS year, CAST({bin_sql("lgd_pred", "edges")} AS INT) AS risk_group
+        FROM t_severity, t_edges""",
+    t_edges=edges_sql("t_severity", "lgd_pred", 5),
+)
 twin(
     "severity_buckets",
     f"""SELECT CAST({bin_sql("lgd_pred", "edges")} AS INT) AS risk_group, count(*) AS observations,
@@ -390,6 +400,27 @@ twin(
     **_P_VALUE,
     t_correlation="SELECT count(*) AS n, corr(lgd_pred, lgd_model) AS r FROM t_severity",
 )
+_P_BY_ID = {
+    "t_beta": _P_VALUE["t_beta"].replace("SELECT n, r,", "SELECT id, n, r,").replace("1 - r * r", "greatest(1 - r * r, 1e-300)"),
+    "t_fraction": _P_VALUE["t_fraction"].replace("aa, bb, xx\n        FROM", "aa, bb, xx, id\n        FROM").replace("SELECT k, aa,", "SELECT k, id, aa,"),
+}
+twin(
+    "severity_correlations",
+    """SELECT year, p.n AS observations, round(p.r, 6) AS pearson, round(s.r, 6) AS spearman,
+      round(p.chance, 6) AS pearson_p, round(s.chance, 6) AS spearman_p
+    FROM t_chances p JOIN t_chances s ON s.id = p.id + 1 JOIN (SELECT DISTINCT year FROM t_years) ON p.id = year * 2""",
+    **_P_BY_ID,
+    t_chances="""
+        SELECT b.id, n, r, CASE WHEN n >= 3 THEN CASE WHEN below THEN front * h / b.aa ELSE 1 - front * h / b.aa END END AS chance
+        FROM t_beta b JOIN t_fraction f ON f.id = b.id AND f.k = 300""",
+    t_years="SELECT *, observation_month // 100 AS year FROM t_severity WHERE lgd_pred IS NOT NULL AND lgd_model IS NOT NULL",
+    t_correlation="""
+        SELECT year * 2 AS id, count(*) AS n, corr(lgd_pred, lgd_model) AS r FROM t_years GROUP BY year
+        UNION ALL SELECT year * 2 + 1, count(*), corr(ra, rb) FROM (
+          SELECT year, rank() OVER (PARTITION BY year ORDER BY lgd_pred) + (count(*) OVER (PARTITION BY year, lgd_pred) - 1) / 2e0 AS ra,
+            rank() OVER (PARTITION BY year ORDER BY lgd_model) + (count(*) OVER (PARTITION BY year, lgd_model) - 1) / 2e0 AS rb
+          FROM t_years) GROUP BY year""",
+)
 _RANKS = "rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2e0"
 twin(
     "spearman_correlation",

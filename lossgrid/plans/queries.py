@@ -37,6 +37,7 @@ from lossgrid.operators import (
     features,
     metrics,
     models,
+    order,
     panel,
     reports,
     sampling,
@@ -258,6 +259,21 @@ def severity_buckets(spark, d):
     return rounded(reports.severity_buckets(severity_frame(spark, d)))
 
 
+@query
+def severity_correlations(spark, d):
+    """Correlations of predicted and actual severity by year of the observation, with p-values."""
+    rows = severity_frame(spark, d).withColumn("year", ym_year("observation_month"))
+    return rounded(reports.severity_correlations(rows, ["year"]), 6)
+
+
+@query
+def severity_quantiles(spark, d):
+    """Quartiles of the actual severity by year and predicted quintile."""
+    rows = binning.qcut(severity_frame(spark, d), "lgd_pred", 5, "risk_group").withColumn("year", ym_year("observation_month"))
+    table = order.grouped_quantiles(rows, ["year", "risk_group"], "lgd_model", [0.25, 0.5, 0.75])
+    return rounded(table, 6)
+
+
 @query
 def mean_severity_baseline(spark, d):
     rows = severity_frame(spark, d)
@@ -645,8 +661,15 @@ def severity_rows(spark, d) -> DataFrame:
 def severity_model(spark, d, kind: str) -> DataFrame:
     parts = sampling.temporal_split(severity_rows(spark, d), "default_month", SPLIT)
     model = models.fit_lgd(parts["train"], kind)
-    scored = models.score_lgd(model, parts["validation"].unionByName(parts["test"]), "lgd_pred", bounded=False)
-    return rounded(reports.annual_severity(scored, "observation_month"))
+    rows = sampling.with_split(parts["validation"].unionByName(parts["test"]), "default_month", SPLIT)
+    scored = materialise(models.score_lgd(model, rows, "lgd_pred", bounded=False), "scored")
+    # the rows of the annual table, then of the parts with the correlations
+    annual = reports.annual_severity(scored, "observation_month").select(
+        F.col("year").cast("string").alias("part"), "mean_actual", "mean_predicted", "rmse", "mae"
+    )
+    errors = metrics.regression_metrics(scored, "lgd_pred", "lgd_model", ["split"]).drop("observations")
+    linked = reports.severity_correlations(scored, ["split"])
+    return rounded(annual.unionByName(errors.join(linked, "split").withColumnRenamed("split", "part"), allowMissingColumns=True))
 
 
 @query

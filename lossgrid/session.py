@@ -55,10 +55,32 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    """Is there such a file or folder, in whatever store the path names?"""
+def _at(spark: SparkSession, path: str) -> tuple:
+    """Hadoop's file system and path, for whatever store the path names."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Is there such a file or folder?"""
+    fs, at = _at(spark, path)
+    return fs.exists(at)
+
+
+def names_in(spark: SparkSession, folder: str) -> list[str]:
+    """The names of what lies directly in a folder; none if there is no such folder."""
+    fs, at = _at(spark, folder)
+    return sorted(f.getPath().getName() for f in fs.listStatus(at)) if fs.exists(at) else []
+
+
+def create_empty(spark: SparkSession, path: str) -> None:
+    fs, at = _at(spark, path)
+    fs.create(at, False).close()
+
+
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    fs, at = _at(spark, folder)
+    fs.delete(at, True)
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:

@@ -75,8 +75,3 @@ bankruptcy_cramdown_costs DECIMAL(18,6)
 
 def column_names(schema: str) -> list[str]:
     return [line.split()[0] for line in schema.strip().splitlines()]
-
-
-def select_list(schema: str) -> list[tuple[str, str]]:
-    """(name, type) pairs in declared order."""
-    return [tuple(line.rstrip(",").split(maxsplit=1)) for line in schema.strip().splitlines()]

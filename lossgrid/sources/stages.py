@@ -1,21 +1,27 @@
-"""Named stage tables, one directory per namespace."""
+"""Named stage tables, one directory per namespace, published whole or not at all."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
-from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lossgrid.session import materialise
+from lossgrid.session import create_empty, delete_folder, exists, names_in
 
 NAMESPACES = ("raw", "pd", "lgd", "ecl")
+# the file that makes a version count; it is created last
+MARK = "_PUBLISHED"
+# published versions that stay: the newest one and the one that frames may still be reading
+KEPT = 2
 
 
 class StageCatalog:
     """Stage tables `namespace.name` as Parquet under a shared root folder.
 
-    Operators compose lazily, so a stage is only written where a result is used more than once or kept.
+    Every rebuild writes a folder of its own beside the earlier ones and marks it when it is complete. Readers take the
+    newest marked one, so a rebuild that fails, or is still being written, leaves the stage as it was. Operators compose
+    lazily, so a stage is only written where a result is used more than once or kept.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -23,22 +29,35 @@ class StageCatalog:
         self.root = root.rstrip("/")
 
     def path(self, name: str) -> str:
+        """The folder that holds the versions of a stage."""
         namespace, _, table = name.partition(".")
         if namespace not in NAMESPACES or not table:
             raise ValueError(f"stage names look like one of {NAMESPACES} plus '.table', not {name!r}")
         return f"{self.root}/{namespace}/{table}"
 
+    def versions(self, name: str) -> list[str]:
+        """The folders of the published versions, oldest first."""
+        folder = self.path(name)
+        found = [f"{folder}/{v}" for v in names_in(self.spark, folder) if v.startswith("v-")]
+        return [v for v in found if exists(self.spark, f"{v}/{MARK}")]
+
     def materialize(self, df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
-        """Drop and rebuild the stage, and return it as read back from storage (which also cuts its lineage).
+        """Rebuild the stage, and return it as read back from storage (which also cuts its lineage).
 
-        A frame that reads the stage itself is written to the shared folder first.
+        `df` may read the stage itself. A frame that reads the version before stays valid; older ones are deleted.
         """
-
-        folder = urlparse(self.path(name)).path + "/"
-        if any(urlparse(f).path.startswith(folder) for f in df.inputFiles()):
-            df = materialise(df, "stage")
-        df.write.mode("overwrite").partitionBy(*partition_by).parquet(self.path(name))
-        return self.read(name)
+        folder = self.path(name)
+        numbers = [int(v.split("-")[1]) for v in names_in(self.spark, folder) if v.startswith("v-")]
+        version = f"{folder}/v-{max(numbers, default=0) + 1:09d}-{uuid.uuid4().hex[:8]}"
+        df.write.partitionBy(*partition_by).parquet(version)
+        create_empty(self.spark, f"{version}/{MARK}")
+        for old in self.versions(name)[:-KEPT]:
+            delete_folder(self.spark, old)
+        return self.spark.read.parquet(version)
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self.path(name))
+        """The newest published version."""
+        found = self.versions(name)
+        if not found:
+            raise FileNotFoundError(f"stage {name} has not been published under {self.root}")
+        return self.spark.read.parquet(found[-1])

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from lossgrid.operators import binning, calibration, drift, features, metrics, reports
+from lossgrid.operators import binning, calibration, drift, features, metrics, order, reports
 from lossgrid.operators.order import exact_quantiles, fit_cuts, running_totals
 
 BUCKETS = [10**6, 40]
@@ -239,3 +239,31 @@ def test_maps_of_a_score_share_one_table(spark, df):
     for name, column in (("raw", F.col("p")), ("cal", fit.apply("p")), ("down", 1 - F.col("p")), ("one", F.lit(0.5))):
         want = metrics.classification_metrics(df.withColumn("q", column), "q", "y").first()
         assert tuple(tables[name].first()) == pytest.approx(tuple(want))
+
+
+@pytest.mark.parametrize("size", BUCKETS)
+def test_grouped_quantiles_and_correlations(spark, df, frame, size):
+    frame = frame.assign(g=frame.id % 37, v=np.round(frame.x, 1), u=frame.z + frame.p)
+    frame.loc[frame.g == 5, "v"] = 3.0  # a constant group
+    frame.loc[frame.g == 6, "v"] = np.nan  # and one without values
+    rows = spark.createDataFrame(frame)
+    got = {(r["g"], r["prob"]): r["quantile"] for r in order.grouped_quantiles(rows, ["g"], "v", [0, 0.3, 0.5, 1], size).collect()}
+    for g, part in frame.groupby("g"):
+        values = part.v.dropna()
+        for p in (0, 0.3, 0.5, 1):
+            assert got.get((g, p)) == (pytest.approx(values.quantile(p)) if len(values) else None)
+    found = {r["g"]: r for r in metrics.grouped_correlations(rows, ["g"], "v", "u", size).collect()}
+    for g, part in frame.groupby("g"):
+        both = part[["v", "u"]].dropna()
+        if both.empty:
+            assert g not in found
+            continue
+        r = found[g]
+        assert r["observations"] == len(both)
+        for name, x, y in (("pearson", both.v, both.u), ("spearman", both.v.rank(), both.u.rank())):
+            if both.v.nunique() == 1:
+                assert r[name] is None and r[f"{name}_p"] is None
+            else:
+                want = np.corrcoef(x, y)[0, 1]
+                assert r[name] == pytest.approx(want, abs=1e-9)
+                assert r[f"{name}_p"] == pytest.approx(metrics.two_sided_p_value(want, len(both)), abs=1e-9)

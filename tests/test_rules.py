@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from lossgrid.operators import binning, calibration, metrics, models, panel, sampling
+from lossgrid.operators import binning, calibration, ecl, metrics, models, panel, sampling, skew
 from lossgrid.operators.features import fit_modes
 from lossgrid.plans import proxy
 from lossgrid.sources import tables
@@ -156,6 +156,54 @@ def test_a_stage_can_be_rebuilt_from_itself(spark, tmp_path):
     assert again.count() == 4
 
 
+def test_a_failed_rebuild_leaves_the_stage_as_it_was(spark, tmp_path, monkeypatch):
+    stages = StageCatalog(spark, str(tmp_path))
+    with pytest.raises(FileNotFoundError):
+        stages.read("pd.dataset")
+    first = stages.materialize(spark.range(10), "pd.dataset")
+    # some tasks write their rows before another one fails
+    broken = spark.range(0, 100, 1, 8).select(F.when(F.col("id") == 99, F.raise_error(F.lit("lost"))).otherwise(F.col("id")).cast("long").alias("id"))
+    with pytest.raises(Exception, match="lost"):
+        stages.materialize(broken, "pd.dataset")
+    assert stages.read("pd.dataset").count() == 10
+
+    def killed(*_):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as patch:
+        patch.setattr("lossgrid.sources.stages.create_empty", killed)
+        with pytest.raises(KeyboardInterrupt):
+            stages.materialize(spark.range(20), "pd.dataset")
+    assert stages.read("pd.dataset").count() == 10 and len(stages.versions("pd.dataset")) == 1
+    second = stages.materialize(spark.range(30), "pd.dataset")
+    assert second.count() == 30 and first.count() == 10  # a reader of the version before is not disturbed
+    stages.materialize(spark.range(40), "pd.dataset")
+    assert stages.read("pd.dataset").count() == 40 and len(stages.versions("pd.dataset")) == 2
+
+
+def test_hot_keys_need_no_more_than_the_bound(spark, monkeypatch):
+    """One key with a third of the rows, some above the bound, many below it, and sketches that are far too small."""
+    counts = {0: 4000, **{i: 300 for i in range(1, 9)}, **{i: 20 for i in range(100, 400)}}
+    rows = spark.createDataFrame([(k, n) for k, n in counts.items()], "loan long, n int")
+    rows = rows.select("loan", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("at")).unionByName(
+        spark.createDataFrame([(None, 1)] * 5, "loan long, at int")
+    )
+    for limit in (1 << 20, 64):
+        monkeypatch.setattr(skew, "SKETCH_LIMIT", limit)
+        found = {r["loan"]: r[skew.SALTS] for r in skew.hot_keys(rows, "loan", 200).collect()}
+        assert set(range(9)) <= set(found) <= {k for k, n in counts.items() if n > 100}
+        assert found[0] >= 40 and found[1] >= 3
+    assert skew.hot_keys(rows, "loan", 10_000) is None
+
+
+def test_of_several_last_balances_one_rule_decides(spark):
+    rows = [(1, 202001, 5, 10.0), (1, 202001, 7, 4.0), (1, 202001, 7, 6.0), (2, 202001, 1, None)]
+    table = spark.createDataFrame(rows, "loan_identifier long, observation_month int, record_id long, last_upb double")
+    by_record = {r["loan_identifier"]: r["last_upb"] for r in ecl.last_balance_map(table, ["record_id"]).collect()}
+    assert by_record == {1: 6.0, 2: None}
+    assert {r["last_upb"] for r in ecl.last_balance_map(table).collect()} == {10.0, None}
+
+
 def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
