@@ -833,3 +833,5 @@ twin(
     FROM t_deciles WHERE pd_decile = 10 GROUP BY 1""",
     **_DECILES,
 )
+for _name in ("pd_panel_first", "last_balance"):
+    ORACLES[f"{_name.removesuffix('_first')}_bucketed"] = ORACLES[_name]

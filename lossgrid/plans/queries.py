@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,7 +46,8 @@ from lossgrid.operators import (
 from lossgrid.operators import severity as sev
 from lossgrid.operators.skew import hot_keys
 from lossgrid.plans import proxy
-from lossgrid.session import materialise
+from lossgrid.session import materialise, shared_folder
+from lossgrid.sources.stages import StageCatalog
 from lossgrid.sources.tables import load_features
 
 LOAN, MONTH = panel.LOAN, panel.MONTH
@@ -108,6 +110,29 @@ def pd_panel_first(spark, d):
     )
 
 
+def bucketed_loans(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Performance and origination as stages bucketed by loan, under a folder of their own."""
+    stages = StageCatalog(spark, f"{shared_folder(spark).rstrip('/')}/stages-{uuid.uuid4().hex}")
+    sides = {"raw.performance": proxy.performance(spark, d), "raw.origination": proxy.origination(spark, d)}
+    perf, orig = (stages.materialize(df, name, bucket_by=LOAN, buckets=8) for name, df in sides.items())
+    return perf, orig
+
+
+@query
+def pd_panel_bucketed(spark, d):
+    """The panel from bucketed stages: joined and grouped on the loan without a shuffle."""
+    perf, orig = bucketed_loans(spark, d)
+    return panel.pd_panel(perf, orig, cutoff=proxy.CUTOFF_MONTH).select(
+        LOAN, "observation_month", "record_id", "credit_score", "original_upb", "current_actual_upb", "default_12m"
+    )
+
+
+@query
+def last_balance_bucketed(spark, d):
+    """The lag from a bucketed stage, without a shuffle on the loan."""
+    return ecl.last_balance(bucketed_loans(spark, d)[0], order=ORDER)
+
+
 @query
 def pd_panel_all(spark, d):
     return labelled(spark, d, "all").select(

@@ -76,6 +76,31 @@ def test_stage_catalog_and_month_pruning(spark, tmp_path):
     assert tables.read_csv(spark, str(tmp_path / "csv"), "record_id long").count() == 5
 
 
+@pytest.mark.parametrize("name", ["pd_panel_bucketed", "last_balance_bucketed"])
+def test_bucketed_stages_are_not_shuffled_on_the_loan(spark, monkeypatch, name):
+    before = {t.name for t in spark.catalog.listTables()}
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        frame = queries.REGISTRY[name](spark, FOLDER)
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert "Exchange" not in plan and ("SortMergeJoin" in plan or "Window" in plan)
+    assert {t.name for t in spark.catalog.listTables()} == before and frame.count() > 0
+
+
+def test_a_bucketed_stage_is_read_back_bucketed(spark, tmp_path):
+    stages = StageCatalog(spark, str(tmp_path))
+    rows = spark.range(100).select((F.col("id") % 7).alias("loan"), F.lit("x").alias("a b"), "id")
+    stages.materialize(rows, "raw.t", bucket_by="loan", buckets=4)
+    back = StageCatalog(spark, str(tmp_path)).read("raw.t")
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, rows.collect()))
+    assert "Exchange" not in back.groupBy("loan").count()._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(ValueError):
+        stages.materialize(rows, "raw.t", ["loan"], "loan")
+
+
 def test_bucketed_tables_join_without_shuffle(spark):
     tables.write_bucketed(proxy.performance(spark, FOLDER), "b_perf", 4)
     tables.write_bucketed(proxy.origination(spark, FOLDER), "b_orig", 4)
