@@ -10,13 +10,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from lossgrid.llm.common import keep, lookup, maybe_broadcast, text_or_empty
+from lossgrid.llm.common import keep, lookup, text_or_empty
 
 # a chunk ends after a line at which the rolling hash of the last WINDOW lines is 0 modulo DIVISOR
 WINDOW = 2
 DIVISOR = 2
 LEAST_LINES = 2
 MOST_LINES = 32
+# chunk lists of so many bytes in all may be broadcast; beyond it the same join shuffles
+BROADCAST_BYTES = 32 << 20
 # chunks with fewer characters or fewer lines that are not blank are never removed
 LEAST_CHARACTERS = 64
 FACTOR = 0x9E3779B97F4A7C15
@@ -182,10 +184,13 @@ def repeated_chunks(
 
 
 def _with_chunks(rows: DataFrame, lists: DataFrame, how: str) -> DataFrame:
-    """Rows with the chunk list of their document; broadcast while few documents have one."""
+    """Rows with the chunk list of their document; broadcast while the lists have few bytes, however many they are."""
     lists = lists.select(F.col("id").alias("_id"), F.col("hash").alias("_hash"), F.col("chunks"))
+    size = lists.agg(F.sum(64 + 8 * F.size("chunks"))).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        lists = F.broadcast(lists)
     on = rows["hash"].eqNullSafe(F.col("_hash")) & rows["id"].eqNullSafe(F.col("_id"))
-    return rows.join(maybe_broadcast(lists, lists.count()), on, how).drop("_id", "_hash")
+    return rows.join(lists, on, how).drop("_id", "_hash")
 
 
 def remove_repeated_lines(

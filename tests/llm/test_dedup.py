@@ -204,7 +204,7 @@ def test_line_dedup_matches_brute_force(spark, monkeypatch):
     rows += [(55, "one line", None), (None, shared, None), (None, shared, None), (50, shared, None), (7, "repeated id\n" + shared, "en")]
     df = table(spark, rows).withColumns({c: F.lit("c") for c in ("hash", "row", "chunks", "edited", "n", "id")})
     for limit in (200_000, -1):
-        monkeypatch.setattr(line_dedup, "maybe_broadcast", lambda d, n, most=limit: common.maybe_broadcast(d, n, most))
+        monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", limit)
         got = line_dedup.remove_repeated_lines(df)
         assert got.columns == [*df.columns, "lines_removed"]
         assert rows_of(got.select("doc_id", "text")) == brute_lines(rows)
@@ -263,7 +263,7 @@ def test_repeated_passages_of_any_length_go(spark, monkeypatch):
     rows += [(92, None, None), (93, "", None), (94, "\n\n", None), (None, kinds[6], None), (None, kinds[6], None), rows[4]]
     df = table(spark, rows)
     for limit in (200_000, -1):
-        monkeypatch.setattr(line_dedup, "maybe_broadcast", lambda d, n, most=limit: common.maybe_broadcast(d, n, most))
+        monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", limit)
         got = line_dedup.remove_repeated_passages(df)
         assert rows_of(got.select("doc_id", "text", "lines_removed")) == brute_passages(rows)
     left = "\n".join(t for i, t in {(r.doc_id, r.text or "") for r in got.collect()})

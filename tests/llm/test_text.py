@@ -278,6 +278,47 @@ def test_scores_equal_the_mean_of_all_features():
     assert np.allclose(model.scores(texts), 1 / (1 + np.exp(-(np.array(means) + 0.3))))
 
 
+def test_training_equals_the_same_descent_written_word_by_word(monkeypatch):
+    for name, value in (("EPOCHS", 2), ("LEAST_STEPS", 5), ("BATCH", 3)):
+        monkeypatch.setattr(quality, name, value)
+    texts = ["good text here", "bad bad text", "", "good words", "some bad words here", "good good", "x"]
+    labels = [1, 0, 1, 1, 0, 1, 0]
+    model = quality.train(texts, labels, seed=5)
+    cells, shares, bounds = quality.features(pa.array(texts))
+    docs = [list(zip(cells[a:z].tolist(), shares[a:z].tolist())) for a, z in zip(bounds, bounds[1:])]
+    rng, k = np.random.default_rng(5), quality.DIMENSIONS
+    vectors = rng.uniform(-1 / k, 1 / k, (1 << quality.BITS, k)).astype(np.float32).astype(float)
+    output, bias, step = [[0.0] * k, [0.0] * k], [0.0, 0.0], 0
+    epochs = max(2, -(-5 * 3 // len(texts)))
+    steps = epochs * -(-len(texts) // 3)
+    for _ in range(epochs):
+        order = rng.permutation(len(texts)).tolist()
+        for first in range(0, len(order), 3):
+            rate, batch = quality.RATE * (1 - step / steps), order[first : first + 3]
+            step += 1
+            moves, out_move, bias_move = [], [[0.0] * k, [0.0] * k], [0.0, 0.0]
+            for d in batch:
+                hidden = [sum(vectors[c][i] * w for c, w in docs[d]) for i in range(k)]
+                logits = [sum(h * o for h, o in zip(hidden, output[j])) + bias[j] for j in (0, 1)]
+                chance = 1 / (1 + np.exp(logits[0] - logits[1]))
+                error = [1 - chance - (labels[d] == 0), chance - (labels[d] == 1)]
+                for j in (0, 1):
+                    bias_move[j] += error[j] / len(batch)
+                    for i in range(k):
+                        out_move[j][i] += error[j] * hidden[i]
+                back = [error[0] * output[0][i] + error[1] * output[1][i] for i in range(k)]
+                moves += [(c, [quality.SCALE * b * w for b in back]) for c, w in docs[d]]
+            for c, move in moves:
+                vectors[c] -= rate * np.array(move)
+            for j in (0, 1):
+                bias[j] -= rate * bias_move[j]
+                output[j] = [o - rate * m for o, m in zip(output[j], out_move[j])]
+    gain = vectors @ (np.array(output[1]) - np.array(output[0]))
+    used = np.unique(cells)
+    assert np.allclose(model.gain[used], gain[used], rtol=2e-3, atol=1e-5) and np.abs(gain[used]).max() > 1e-3
+    assert np.isclose(model.bias, bias[1] - bias[0], rtol=1e-3, atol=1e-5)
+
+
 def test_classifier_on_held_out_labels(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     df = docs.withColumns({c: F.lit(1) for c in ("score", "row", "predicted", "label", "quality")})
