@@ -757,6 +757,7 @@ twin(
               ORDER BY count(*) DESC, 1 LIMIT 1)), 0e0 FROM t_train"""
             for c in PD_CATEGORICAL
         ]
+        + [f"SELECT '{c}=(unknown)', 0e0" for c in PD_CATEGORICAL]
     ),
     t_train=f"""SELECT {_model_columns([*PD_NUMERIC, *PD_CATEGORICAL], "unified")} FROM t_panel
         WHERE observation_month <= 199812""",
@@ -835,3 +836,21 @@ twin(
 )
 for _name in ("pd_panel_first", "last_balance"):
     ORACLES[f"{_name.removesuffix('_first')}_bucketed"] = ORACLES[_name]
+for _name in ("stored_performance", "stored_stage"):
+    ORACLES[_name] = ORACLES["month_range"]
+twin(
+    "stored_csv",
+    f"""SELECT loan_identifier, monthly_reporting_period, record_id, round(pd_12m_cal, 9) AS pd_12m_cal FROM (
+      SELECT loan_identifier, monthly_reporting_period, record_id, {proxy.FORMULA_PD} FROM v_perf)""",
+)
+twin(
+    "declared_tables",
+    """SELECT monthly_reporting_period, count(*) AS n, CAST(sum(o.credit_score) AS BIGINT) AS credit_score,
+      round(CAST(sum(p.current_actual_upb) AS DOUBLE), 2) AS current_actual_upb
+    FROM v_perf p JOIN v_orig o ON p.loan_identifier = o.loan_identifier WHERE monthly_reporting_period = 199803 GROUP BY 1""",
+)
+twin(
+    "saved_models",
+    f"""SELECT model, count(*) AS n, CAST(0 AS BIGINT) AS differing FROM t_panel, unnest(['lr', 'gbt', 'rf']) u(model)
+    WHERE {split_of("observation_month")} IN ('validation', 'test') GROUP BY model""",
+)

@@ -47,8 +47,10 @@ from lossgrid.operators import severity as sev
 from lossgrid.operators.skew import hot_keys
 from lossgrid.plans import proxy
 from lossgrid.session import materialise, shared_folder
+from lossgrid.sources import tables
+from lossgrid.sources.schemas import ORIGINATION, PERFORMANCE, column_names
 from lossgrid.sources.stages import StageCatalog
-from lossgrid.sources.tables import load_features
+from lossgrid.sources.tables import load_features, read_origination, read_performance
 
 LOAN, MONTH = panel.LOAN, panel.MONTH
 KEY = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
@@ -175,6 +177,59 @@ def month_range(spark, d):
     return rows.select(LOAN, MONTH, "record_id", "current_actual_upb")
 
 
+def own_folder(spark, label: str) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+@query
+def stored_performance(spark, d):
+    """Performance written by month and read back; the months asked for prune its folders."""
+    path = own_folder(spark, "performance")
+    tables.write_performance(proxy.performance(spark, d), path)
+    rows = panel.between_months(tables.read_parquet(spark, path), 199802, 199803)
+    return rows.select(LOAN, MONTH, "record_id", "current_actual_upb")
+
+
+@query
+def stored_stage(spark, d):
+    """A stage that is rebuilt from itself and read by its name."""
+    stages = StageCatalog(spark, own_folder(spark, "stages"))
+    first = stages.materialize(proxy.performance(spark, d), "pd.dataset", [MONTH])
+    stages.materialize(first.where(F.col(MONTH) <= 199803).select(LOAN, "record_id", MONTH, "current_actual_upb"), "pd.dataset")
+    return panel.between_months(stages.read("pd.dataset"), 199802, 199803).select(LOAN, MONTH, "record_id", "current_actual_upb")
+
+
+@query
+def stored_csv(spark, d):
+    """Predictions exported with a header line and read with a declared schema."""
+    path = own_folder(spark, "csv")
+    rows = proxy.performance(spark, d).select(LOAN, MONTH, "record_id", F.expr(proxy.FORMULA_PD))
+    tables.write_csv(rows, path)
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rounded(tables.read_csv(spark, path, kinds), 9)
+
+
+@query
+def declared_tables(spark, d):
+    """Both raw tables as delimited text, read with their declared schemas and joined."""
+    texts = {}
+    for name, schema, rows in (
+        ("origination", ORIGINATION, proxy.origination(spark, d)),
+        ("performance", PERFORMANCE, proxy.performance(spark, d)),
+    ):
+        texts[name] = own_folder(spark, name)
+        known = [F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in column_names(schema)]
+        rows.select(*known).write.option("sep", "|").option("header", False).csv(texts[name])
+    orig = read_origination(spark, texts["origination"], "csv")
+    perf = read_performance(spark, texts["performance"], "csv")
+    rows = panel.attach_origination(perf.where(F.col(MONTH) == 199803), orig)
+    return rows.groupBy(MONTH).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum("credit_score").cast("long").alias("credit_score"),
+        F.round(F.sum("current_actual_upb"), 2).cast("double").alias("current_actual_upb"),
+    )
+
+
 @query
 def observable_rows(spark, d):
     rows = panel.observable(proxy.performance(spark, d, None, proxy.CUTOFF_MONTH), proxy.CUTOFF_MONTH)
@@ -704,12 +759,37 @@ def pd_model_lr(spark, d):
 
 @query
 def pd_model_lr_equations(spark, d):
-    """The optimality conditions of the logistic model, one per slot of the feature vector; all 0."""
+    """The optimality conditions of the logistic model, one per slot of the feature vector; all 0.
+
+    The slots of unknown levels are 0 in every training row, so the penalty alone holds their slopes at exactly 0.
+    """
     train = sampling.temporal_split(modelling_rows(spark, d), "observation_month", SPLIT)["train"]
     train = materialise(models.training_rows(train), "train")
     table = models.score_equations(models.fit_pd(train, "lr"), train)
-    known = table.where(~F.col("slot").endswith("=(unknown)"))
-    return known.select("slot", (F.round("equation", 4) + F.lit(0.0)).alias("equation"))
+    return table.select("slot", (F.round("equation", 6) + F.lit(0.0)).alias("equation"))
+
+
+@query
+def saved_models(spark, d):
+    """Models of each kind, saved and loaded again: rows scored, and rows whose two scores differ."""
+    parts = sampling.temporal_split(modelling_rows(spark, d), "observation_month", SPLIT)
+    train, rows = parts["train"], parts["validation"].unionByName(parts["test"])
+    rows = materialise(rows.withColumn("row_number", F.monotonically_increasing_id()), "rows")
+    small = {"lr": {}, "gbt": {"rounds": 6}, "rf": {"trees": 8}}
+    out = None
+    for kind, settings in small.items():
+        model, path = models.fit_pd(train, kind, **settings), own_folder(spark, "model")
+        models.save_model(model, path)
+        one = models.score_pd(model, rows).select("row_number", "pd_12m")
+        two = models.score_pd(models.load_model(path), rows).select("row_number", F.col("pd_12m").alias("again"))
+        both = one.join(two, "row_number").where(F.col("pd_12m").between(0, 1))
+        part = both.agg(
+            F.lit(kind).alias("model"),
+            F.count(F.lit(1)).alias("n"),
+            F.count_if(F.abs(F.col("pd_12m") - F.col("again")) > 1e-12).alias("differing"),
+        )
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query
