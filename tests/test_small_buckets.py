@@ -28,8 +28,9 @@ def test_loans_are_hot_under_these_settings(small):
     assert hot.where("_salts > 1").count() == hot.count()
 
 
-# fits with many small jobs, whose order-based parts the other queries cover
-SLOW = {"feature_vectors", "pd_model_lr_equations"}
+# fits with many small jobs, whose order-based parts the other queries cover, and storage, which has no such parts
+SLOW = {"feature_vectors", "pd_model_lr_equations", "saved_models"}
+SLOW |= {"stored_performance", "stored_stage", "stored_csv", "declared_tables"}
 
 
 @pytest.mark.parametrize("name", sorted(set(ORACLES) & set(REGISTRY) - SLOW))
