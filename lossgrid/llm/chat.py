@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lossgrid.llm.common import keep, maybe_broadcast, text_or_empty
@@ -202,9 +202,9 @@ def format_chats(
     empty table gives an empty result; other columns are not read.
 
     A conversation of up to `most_turns` rows is collected in one shuffle. The others, found by a count that combines
-    before it shuffles, are dealt by ranges of their order (repeated rows as one row and a count), each range is
-    formatted by itself, and only the texts of the ranges meet: no task takes an unbounded number of rows. As the result
-    has one text per conversation, that text must fit into a row (2 GB).
+    before it shuffles, are dealt by ranges of their order (repeated rows as one row and a count) and cut into parts of
+    at most twice `most_turns` turns. Each part is formatted by itself, and only the texts of the parts meet: no task
+    takes an unbounded number of rows. As the result has one text per conversation, that text must fit into a row (2 GB).
     """
     template = template or Template()
     rows = turns.select(
@@ -235,11 +235,20 @@ def format_chats(
     distinct = marked.where("is_long").groupBy(*order).agg(F.count("*").alias("copies"))
     ranges = distinct.repartitionByRange(*order).withColumn("range", F.spark_partition_id())
     ranges = keep(ranges, "chat-ranges")  # the numbers of the ranges are fixed once written
-    repeated = F.flatten(
-        F.transform("turns", lambda t: F.array_repeat(F.struct(t["role"].alias("role"), t["text"].alias("text")), t["copies"].cast("int")))
-    )
-    many = collected(ranges, ["conv_id", "range"], F.struct("turn", "role", "text", "copies"))
-    many = many.select("conv_id", F.struct("range", _part(repeated, template).alias("part")).alias("part"))
+    # a range is cut again by the turns before each row, and a row that repeats very often into several
+    size = F.lit(most_turns).cast("long")
+    many = ranges.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / size))).alias("piece"))
+    many = many.withColumn("n", F.least(size, F.col("copies") - F.col("piece") * size))
+    before = Window.partitionBy("conv_id", "range").orderBy("turn", "role", "text", "piece")
+    at = F.coalesce(F.sum("n").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    many = many.withColumn("segment", F.floor(at / size))
+
+    def repeat(t: Column) -> Column:
+        return F.array_repeat(F.struct(t["role"].alias("role"), t["text"].alias("text")), t["n"].cast("int"))
+
+    repeated = F.flatten(F.transform("turns", repeat))
+    many = collected(many, ["conv_id", "range", "segment"], F.struct("turn", "role", "text", "piece", "n"))
+    many = many.select("conv_id", F.struct("range", "segment", _part(repeated, template).alias("part")).alias("part"))
     many = many.groupBy("conv_id").agg(F.sort_array(F.collect_list("part")).alias("parts"))
     many = many.select("conv_id", F.transform("parts", lambda p: p["part"]).alias("parts"))
     few = collected(short, ["conv_id"], messages).select(

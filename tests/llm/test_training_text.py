@@ -79,6 +79,12 @@ def test_long_chats_give_the_same_text(spark):
     assert pairs[0] == pairs[1]
 
 
+def test_a_row_that_repeats_very_often_is_cut_into_parts(spark):
+    rows = [(1, 0, "user", "q")] * 3 + [(1, 1, "assistant", "a")] * 70 + [(1, 2, "user", "z")]
+    long, short = (chat.format_chats(table(spark, rows, CHATS), most_turns=m).first() for m in (8, 512))
+    assert long == short and long["n_turns"] == 74 and len(long["loss_spans"]) == 70
+
+
 def test_chats_of_an_empty_table(spark):
     assert chat.format_chats(table(spark, [], CHATS)).collect() == []
 
