@@ -11,12 +11,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from lossgrid.llm.common import keep, lookup, text_or_empty
+from lossgrid.llm.tokens import passes
 
 # a chunk ends after a line at which the rolling hash of the last WINDOW lines is 0 modulo DIVISOR
 WINDOW = 2
 DIVISOR = 2
 LEAST_LINES = 2
 MOST_LINES = 32
+# texts that a task takes up as Python objects at a time, about
+PASS_BYTES = 2 << 20
 # chunk lists of so many bytes in all may be broadcast; beyond it the same join shuffles
 BROADCAST_BYTES = 32 << 20
 # chunks with fewer characters or fewer lines that are not blank are never removed
@@ -114,6 +117,13 @@ def chunk_bodies(text: str) -> list[str | None]:
     return [body(chunk) for chunk in chunks(text)]
 
 
+def _small(batches: Iterator[pa.RecordBatch], texts: int) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of a few MB of text, so that only so much is ever held as Python objects."""
+    for batch in batches:
+        for a, z in passes(batch.column(texts), PASS_BYTES):
+            yield batch.slice(a, z - a)
+
+
 def _digest(text: str) -> int:
     value = xxhash.xxh64_intdigest(text)
     return value - (1 << 64) if value >> 63 else value
@@ -139,7 +149,7 @@ def repeated_chunks(
     ).withColumn("hash", F.xxhash64("text"))
 
     def point(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _small(batches, 1):
             out = {"id": [], "hash": [], "chunk": [], "digest": []}
             for i, text, h in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for n, found in enumerate(bodies_of(text)):
@@ -158,7 +168,7 @@ def repeated_chunks(
     texts = _with_chunks(rows, wanted, "inner")
 
     def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _small(batches, 1):
             out = {"id": [], "hash": [], "chunk": [], "body": []}
             for i, text, h, numbers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 parts = bodies_of(text)
@@ -257,7 +267,7 @@ def _edited(
     marked = _with_chunks(rows, gone, "left").select("row", "text", "chunks")
 
     def edit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _small(batches, 1):
             out, number = [], []
             for text, numbers in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 left, removed = without(text, numbers) if numbers else (text, 0)
