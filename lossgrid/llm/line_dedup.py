@@ -36,6 +36,11 @@ def chunks(text: str) -> list[str]:
     than LEAST_LINES stays with the chunk before it.
     """
     lines = split_lines(text)
+    return ["".join(lines[a:z]) for a, z in chunk_spans(lines)]
+
+
+def chunk_spans(lines: list[str]) -> list[tuple[int, int]]:
+    """The first line of each chunk and the line after its last one."""
     out, start, last = [], 0, []
     for i, line in enumerate(lines, 1):
         last = [*last, xxhash.xxh64_intdigest(line.strip())][-WINDOW:]
@@ -51,7 +56,7 @@ def chunks(text: str) -> list[str]:
             out[-1] = (out[-1][0], len(lines))
         else:
             out.append((start, len(lines)))
-    return ["".join(lines[a:z]) for a, z in out]
+    return out
 
 
 def split_lines(text: str) -> list[str]:
@@ -117,6 +122,14 @@ def chunk_bodies(text: str) -> list[str | None]:
     return [body(chunk) for chunk in chunks(text)]
 
 
+def windows_inside(text: str, numbers: list[int]) -> set[int]:
+    """The numbers of the windows that lie in one of these chunks."""
+    spans, lines = chunk_spans(split_lines(text)), {}
+    for n in numbers:
+        lines.update(dict.fromkeys(range(*spans[n]), n))
+    return {w for w, (a, z) in enumerate(windows(text)) if a in lines and lines[a] == lines.get(z)}
+
+
 def _small(batches: Iterator[pa.RecordBatch], texts: int) -> Iterator[pa.RecordBatch]:
     """The batches in pieces of a few MB of text, so that only so much is ever held as Python objects."""
     for batch in batches:
@@ -134,9 +147,12 @@ def repeated_chunks(
     id_column: str = "doc_id",
     text_column: str = "text",
     bodies_of: Callable[[str], list[str | None]] = chunk_bodies,
+    seeds: DataFrame | None = None,
 ) -> DataFrame:
     """(id, hash, chunks): the numbers of the chunks that are not the first of their kind, by document.
 
+    With `seeds`, a result of this function for chunks, windows inside those chunks are left out: they are known not to
+    be the first of their kind, as the first chunk of the same bytes has equal ones.
     `bodies_of` gives what is compared of a text's chunks, or of its windows; None is never compared.
 
     A document is a distinct pair of id and text, so repeated rows are one document; `hash` is Spark's xxhash64 of the
@@ -148,17 +164,21 @@ def repeated_chunks(
         F.col(id_column).cast("long").alias("id"), text_or_empty(text_column).alias("text")
     ).withColumn("hash", F.xxhash64("text"))
 
+    none = F.lit(None).cast("array<long>").alias("chunks")
+    seeded = rows.select("*", none) if seeds is None else _with_chunks(rows, seeds, "left")
+
     def point(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _small(batches, 1):
             out = {"id": [], "hash": [], "chunk": [], "digest": []}
-            for i, text, h in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for i, text, h, numbers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                known = windows_inside(text, numbers) if numbers else ()
                 for n, found in enumerate(bodies_of(text)):
-                    if found is not None:
+                    if found is not None and n not in known:
                         for k, v in (("id", i), ("hash", h), ("chunk", n), ("digest", _digest(found))):
                             out[k].append(v)
             yield pa.record_batch({k: pa.array(v, pa.int64()) for k, v in out.items()})
 
-    pointers = rows.mapInArrow(point, "id long, hash long, chunk long, digest long").distinct()
+    pointers = seeded.select("id", "text", "hash", "chunks").mapInArrow(point, "id long, hash long, chunk long, digest long").distinct()
     pointers = keep(pointers, "line-pointers")
     repeated = pointers.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
     candidates = keep(lookup(pointers, repeated, "digest", "inner"), "line-candidates")
@@ -214,7 +234,8 @@ def remove_repeated_lines(
     An empty table gives an empty result. Other columns are passed through, whatever
     their names; one called like `count_column` is replaced.
     """
-    return _edited(docs, id_column, text_column, count_column, chunk_bodies, without_chunks)
+    gone = repeated_chunks(docs, id_column, text_column)
+    return _edited(docs, id_column, text_column, count_column, gone, without_chunks)
 
 
 def remove_repeated_passages(
@@ -225,8 +246,13 @@ def remove_repeated_passages(
     A passage is a run of lines with LEAST_LINES lines that are not blank and LEAST_CHARACTERS characters at least. It is
     removed if an equal one stands in an earlier document or ends before it in the same one. Blank lines at either end of
     a passage stay. As a line goes only with an equal one before it, the first of each kind stays.
+
+    Content-defined chunks find the repeats that both places cut alike. They are the seeds: what they cover is settled,
+    and an exact pass over the least windows outside them grows them to whole passages and finds those without a seed.
     """
-    return _edited(docs, id_column, text_column, count_column, window_bodies, without_windows)
+    seeds = repeated_chunks(docs, id_column, text_column)
+    gone = repeated_chunks(docs, id_column, text_column, window_bodies, seeds)
+    return _edited(docs, id_column, text_column, count_column, gone, without_windows, seeds)
 
 
 def without_chunks(text: str, numbers: list[int]) -> tuple[str, int]:
@@ -255,21 +281,27 @@ def _edited(
     id_column: str,
     text_column: str,
     count_column: str,
-    bodies_of: Callable[[str], list[str | None]],
+    gone: DataFrame,
     without: Callable[[str, list[int]], tuple[str, int]],
+    seeds: DataFrame | None = None,
 ) -> DataFrame:
-    gone = repeated_chunks(docs, id_column, text_column, bodies_of)
+    """The rows without the chunks, or windows, of `gone` and without the windows inside the chunks of `seeds`."""
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != count_column]).alias("row"),
         F.col(id_column).cast("long").alias("id"),
         text_or_empty(text_column).alias("text"),
     ).withColumn("hash", F.xxhash64("text"))
-    marked = _with_chunks(rows, gone, "left").select("row", "text", "chunks")
+    marked = _with_chunks(rows, gone, "left").withColumnRenamed("chunks", "numbers")
+    none = F.lit(None).cast("array<long>").alias("chunks")
+    marked = marked.select("*", none) if seeds is None else _with_chunks(marked, seeds, "left")
+    marked = marked.select("row", "text", "numbers", "chunks")
 
     def edit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _small(batches, 1):
             out, number = [], []
-            for text, numbers in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for text, numbers, known in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+                if known:
+                    numbers = sorted(windows_inside(text, known).union(numbers or ()))
                 left, removed = without(text, numbers) if numbers else (text, 0)
                 out.append(left)
                 number.append(removed)

@@ -270,6 +270,26 @@ def test_repeated_passages_of_any_length_go(spark, monkeypatch):
     assert all(left.count(k) == 1 for k in kinds.values())
 
 
+def test_passages_are_found_by_chunks_first(spark, monkeypatch):
+    """Content-defined chunks settle what both places cut alike; only windows outside them are looked at again."""
+    shared = passage(40, 3)
+    rows = [(i, "\n".join([passage(3, 50 + i), shared, passage(2, 90 + i)]), "en") for i in range(3)]
+    calls, real = [], line_dedup.repeated_chunks
+
+    def told(docs, id_column, text_column, bodies_of=line_dedup.chunk_bodies, seeds=None):
+        found = real(docs, id_column, text_column, bodies_of, seeds)
+        calls.append((bodies_of, sum(len(r.chunks) for r in found.collect())))
+        return found
+
+    monkeypatch.setattr(line_dedup, "repeated_chunks", told)
+    got = line_dedup.remove_repeated_passages(table(spark, rows))
+    assert rows_of(got.select("doc_id", "text", "lines_removed")) == brute_passages(rows)
+    (first, seeds), (second, rest) = calls
+    assert (first, second) == (line_dedup.chunk_bodies, line_dedup.window_bodies) and seeds > 0
+    every = real(table(spark, rows), "doc_id", "text", line_dedup.window_bodies)
+    assert rest < sum(len(r.chunks) for r in every.collect()) / 2
+
+
 # suffix dedup
 
 
