@@ -19,6 +19,7 @@ from lossgrid.operators.order import (
     ordered_totals,
     row_weight,
     running_totals,
+    spread,
     with_bucket,
 )
 from lossgrid.session import materialise
@@ -344,7 +345,7 @@ def spearman_matrix(df: DataFrame, columns: Sequence[str], rows_per_bucket: int
     slot_cuts = {n: cuts[values[i]] for n, (i, _) in enumerate(slots)}
     weighted = rows.withColumn("weight", F.lit(1).cast("long"))
     ranked = centred_ranks(weighted, "value", "weight", "slot", "rank", slot_cuts, "bucket", ["_row"], rows)
-    wide = ranked.groupBy("_row").agg(
+    wide = spread(ranked, sum(c.rows for c in slot_cuts.values()), "_row").groupBy("_row").agg(
         *[F.max(F.when(F.col("slot") == n, F.col("rank"))).alias(f"r{n}") for n in range(len(slots))]
     )
     sums = []

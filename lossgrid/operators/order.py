@@ -39,6 +39,16 @@ FREQUENT_CUTS = 512
 # offsets (one row per bucket) are broadcast up to this many
 BROADCAST_BUCKETS = 100_000
 BUCKET = "_bucket"
+# rows of a task on average, where shuffles that order rows take more tasks than the session's number
+ROWS_PER_TASK = 250_000
+MOST_TASKS = 50_000
+
+
+def spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """Shuffled by the keys into so many tasks that what one of them holds does not grow with the `rows`."""
+    tasks = min(MOST_TASKS, math.ceil(rows / setting(df.sparkSession, "rowsPerTask", ROWS_PER_TASK)))
+    few = tasks <= int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(*keys) if few else df.repartition(tasks, *keys)
 
 
 class Cuts(NamedTuple):
@@ -229,7 +239,7 @@ def ordered_totals(
     # known to hold, but the join below would infer it for one of its branches only, which then shuffled anew
     for c in group:
         base = base.where(F.col(c).isNotNull())
-    ties = base.repartition(*group).groupBy(*group, key).agg(*added)
+    ties = spread(base, cuts.rows, *group).groupBy(*group, key).agg(*added)
     whole = ties.agg(*added)
 
     def ordered(column: str) -> Column:
@@ -265,23 +275,25 @@ def centred_ranks(
     out: str,
     cuts: Mapping[int, Cuts],
     bucket: str,
-    spread: Sequence[str],
+    salted_by: Sequence[str],
     rows: DataFrame,
 ) -> DataFrame:
     """Add the mean rank of `value` inside each group, less the mean of all ranks of the group.
 
     Rows are distinct and count `weight` times; `rows` are the rows they were combined from. `bucket` holds the value's bucket by the cuts of its group. Ties share
     their mean rank, so a constant group is exactly 0. A heavy value has one known rank: its rows are spread over salted
-    groups by the columns `spread`.
+    groups by the columns `salted_by`.
     """
     heavy = [
         (F.col(by) == g) & F.col(bucket).isin(c.heavy_buckets) for g, c in cuts.items() if c.heavy
     ]
     loose = any_of(heavy) if heavy else F.lit(False)
-    salt = F.pmod(F.xxhash64(*spread), F.lit(max(c.salts for c in cuts.values()))).cast("int")
-    group = [by, bucket, "_salt"]
+    salt = F.pmod(F.xxhash64(*salted_by), F.lit(max(c.salts for c in cuts.values()))).cast("int")
+    # a constant salt would be folded away, and the windows would not know the rows' place any more
+    group = [by, bucket, "_salt"] if heavy else [by, bucket]
     upto_peers = Window.partitionBy(*group).orderBy(value).rangeBetween(Window.unboundedPreceding, 0)
-    ranked = df.withColumn("_salt", F.when(loose, salt).otherwise(0)).select(
+    salted = df.withColumn("_salt", F.when(loose, salt).otherwise(0))
+    ranked = spread(salted, sum(c.rows for c in cuts.values()), *group).select(
         "*",
         F.sum(weight).over(upto_peers).alias("_upto"),
         F.sum(weight).over(Window.partitionBy(*group, value)).alias("_ties"),
@@ -296,7 +308,9 @@ def centred_ranks(
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
         F.sum("_n").over(Window.partitionBy(by)).alias("_all"),
     )
-    # one row per group and bucket; broadcast if Spark measures it as small
+    # one row per group and bucket; a shuffled join would bring all rows of a bucket together again
+    if sum(len(c.splits) for c in cuts.values()) <= BROADCAST_BUCKETS:
+        offsets = F.broadcast(offsets)
     joined = ranked.join(offsets, [by, bucket])
     rank = F.col("_before") + F.when(loose, (F.col("_n") + 1) / 2).otherwise(inside) - (F.col("_all") + 1) / 2
     return joined.select(*df.columns, rank.alias(out))

@@ -267,3 +267,27 @@ def test_grouped_quantiles_and_correlations(spark, df, frame, size):
                 want = np.corrcoef(x, y)[0, 1]
                 assert r[name] == pytest.approx(want, abs=1e-9)
                 assert r[f"{name}_p"] == pytest.approx(metrics.two_sided_p_value(want, len(both)), abs=1e-9)
+
+
+def test_ordering_tasks_follow_the_rows(spark):
+    """More rows give more tasks, not larger ones, in both ordered shuffles; without them the session's number stays."""
+    rows = spark.range(2000).select(
+        (F.col("id") % 7).alias("g"), (F.col("id") % 991).cast("double").alias("v"), (F.col("id") % 13).cast("double").alias("w")
+    )
+    total = lambda: sorted(order.running_totals(rows, "v", {"n": F.lit(1)}, ["g"], rows_per_bucket=100).collect())
+    ranks = lambda: metrics.spearman_matrix(rows, ["g", "v", "w"], 100).collect()
+    before = total(), ranks()
+    spark.conf.set("lossgrid.rowsPerTask", "50")
+    try:
+        assert order.spread(rows, 2000, "g").rdd.getNumPartitions() == 40
+        assert order.spread(rows, 100, "g").rdd.getNumPartitions() <= 4
+        table = metrics.spearman_matrix(rows, ["g", "v", "w"], 100)
+        plan = table._jdf.queryExecution().executedPlan().toString()
+        # 3 columns of 2000 rows: ranked in 120 tasks, put together in 120, and the offsets join without a shuffle
+        assert plan.count(", 120), REPARTITION_BY_NUM") >= 2 and "SortMergeJoin" not in plan
+        after = total(), ranks()
+    finally:
+        spark.conf.unset("lossgrid.rowsPerTask")
+    assert after[0] == before[0]
+    for a, b in zip(after[1], before[1], strict=True):
+        assert a[:3] == b[:3] and a.spearman == pytest.approx(b.spearman, abs=1e-12)
