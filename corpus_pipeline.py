@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lossgrid.llm.common import keep, read_table
+from lossgrid.llm.common import keep, lookup, maybe_broadcast, read_table
 from lossgrid.llm.decontaminate import contained_items
 from lossgrid.llm.line_dedup import remove_repeated_passages
 from lossgrid.llm.packing import pack_documents
 from lossgrid.llm.quality import fit, score
 from lossgrid.llm.simhash import near_dedup
 
+# texts that the last stage encodes at a time: its executors also hold what the stages before it have left behind
+PACKING_BYTES = 1 << 20
+
 
 def _unused(name: str, docs: DataFrame) -> str:
     """A column name that `docs` does not have."""
@@ -27,6 +30,12 @@ def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
     return keep(docs.withColumn(key, F.monotonically_increasing_id()), "pipeline-rows"), key
 
 
+def _without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """`rows` but those with a key of `gone`. Few keys go to the rows, so that the texts stay where they are."""
+    gone = keep(gone, "pipeline-gone")
+    return rows.join(maybe_broadcast(gone, gone.count()), key, "left_anti").drop(key)
+
+
 def quality(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents that the quality classifier scores below one half go."""
     scored = score(docs, fit(docs, read_table(spark, folder, "labels")))
@@ -49,22 +58,23 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFr
     groups = near_dedup(rows, key).select(F.col("doc_id").alias("member"), "component_id")
     place = F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", F.xxhash64("text").alias("hash"), F.col(key).alias("key"))
     places = rows.select(place.alias("place"))
-    first = places.join(groups, F.col("place.key") == F.col("member")).groupBy("component_id").agg(F.min("place").alias("place"))
-    first = first.select(F.col("place.key").alias("kept"))
-    return rows.join(first, F.col(key) == F.col("kept"), "left_semi").drop(key)
+    members = places.join(groups, F.col("place.key") == F.col("member")).select("component_id", "place")
+    members = keep(members, "pipeline-members")
+    first = members.groupBy("component_id").agg(F.min("place").alias("first"))
+    others = lookup(members, first, "component_id", "inner").where("place.key <> first.key")
+    return _without(rows, others.select(F.col("place.key").alias(key)), key)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """The very rows that contain a benchmark item go, not others with their id."""
     rows, key = _keyed(docs)
     found = contained_items(rows, read_table(spark, folder, "benchmark"), doc_id=key)
-    found = found.select(F.col("doc_id").alias("found")).distinct()
-    return rows.join(found, F.col(key) == F.col("found"), "left_anti").drop(key)
+    return _without(rows, found.select(F.col("doc_id").alias(key)).distinct(), key)
 
 
 def packing(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """The pieces of the documents left, packed into sequences of 1024 tokens."""
-    return pack_documents(docs)
+    return pack_documents(docs, pass_bytes=PACKING_BYTES)
 
 
 STAGES = [

@@ -12,6 +12,7 @@ from pyspark.sql.types import StructType
 
 from lossgrid.llm.common import keep, lookup, text_or_empty
 from lossgrid.llm.tokens import passes
+from lossgrid.session import bound_arrow_batches
 
 # a chunk ends after a line at which the rolling hash of the last WINDOW lines is 0 modulo DIVISOR
 WINDOW = 2
@@ -160,6 +161,7 @@ def repeated_chunks(
     find the candidates; only of these the texts move, and they are grouped by the bytes themselves, so two texts with
     one digest are told apart.
     """
+    bound_arrow_batches(docs.sparkSession)
     rows = docs.select(
         F.col(id_column).cast("long").alias("id"), text_or_empty(text_column).alias("text")
     ).withColumn("hash", F.xxhash64("text"))
@@ -286,11 +288,15 @@ def _edited(
     seeds: DataFrame | None = None,
 ) -> DataFrame:
     """The rows without the chunks, or windows, of `gone` and without the windows inside the chunks of `seeds`."""
+    bound_arrow_batches(docs.sparkSession)
+    rest = [c for c in docs.columns if c not in (count_column, text_column)]
     rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != count_column]).alias("row"),
+        # the text moves once, beside the row's other columns; an empty struct cannot go to Python
+        F.struct(*[F.col(f"`{c}`") for c in rest] or [F.lit(True)]).alias("row"),
         F.col(id_column).cast("long").alias("id"),
-        text_or_empty(text_column).alias("text"),
-    ).withColumn("hash", F.xxhash64("text"))
+        F.col(text_column).cast("string").alias("text"),
+        F.xxhash64(text_or_empty(text_column)).alias("hash"),
+    )
     marked = _with_chunks(rows, gone, "left").withColumnRenamed("chunks", "numbers")
     none = F.lit(None).cast("array<long>").alias("chunks")
     marked = marked.select("*", none) if seeds is None else _with_chunks(marked, seeds, "left")
@@ -300,9 +306,9 @@ def _edited(
         for batch in _small(batches, 1):
             out, number = [], []
             for text, numbers, known in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
-                if known:
+                if known and text is not None:
                     numbers = sorted(windows_inside(text, known).union(numbers or ()))
-                left, removed = without(text, numbers) if numbers else (text, 0)
+                left, removed = without(text, numbers) if numbers and text is not None else (text, 0)
                 out.append(left)
                 number.append(removed)
             columns = [batch.column(0), pa.array(out, pa.string()), pa.array(number, pa.int64())]
@@ -310,8 +316,7 @@ def _edited(
 
     schema = StructType([marked.schema["row"]]).add("edited", "string").add("n", "long")
     edited = marked.mapInArrow(edit, schema)
-    text = F.when(F.col(f"row.`{text_column}`").isNotNull(), F.col("edited"))
     columns = [
-        (text if c == text_column else F.col(f"row.`{c}`")).alias(c) for c in docs.columns if c != count_column
+        F.col("edited" if c == text_column else f"row.`{c}`").alias(c) for c in docs.columns if c != count_column
     ]
     return edited.select(*columns, F.col("n").alias(count_column))

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lossgrid.llm.common import keep, text_or_empty
-from lossgrid.llm.tokens import RANKS, VOCABULARY, encoder, passes
+from lossgrid.llm.tokens import PASS_BYTES, RANKS, VOCABULARY, encoder, passes
+from lossgrid.session import bound_arrow_batches
 
 CAPACITY = 1024
 # rows that are numbered in one piece
@@ -27,13 +28,17 @@ def pieces(
     vocabulary: str = VOCABULARY,
     ranks: str = RANKS,
     with_ids: bool = False,
+    pass_bytes: int = PASS_BYTES,
 ) -> DataFrame:
-    """Cut each document's ids, with `end_id` after them, into pieces of `capacity` and a shorter rest."""
+    """Cut each document's ids, with `end_id` after them, into pieces of `capacity` and a shorter rest.
+
+    Texts are encoded `pass_bytes` at a time: fewer take less of a worker's memory and a little more time.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(vocabulary, ranks)
         for batch in batches:
-            for a, z in passes(batch.column(1)):
+            for a, z in passes(batch.column(1), pass_bytes):
                 part = batch.slice(a, z - a)
                 flat, bounds = coder.encode(part.column(1))
                 # one more id at the end of each document
@@ -56,6 +61,7 @@ def pieces(
                     columns["ids"] = pa.array([ids[i:j].tolist() for i, j in cuts], pa.list_(pa.int32()))
                 yield pa.record_batch(columns)
 
+    bound_arrow_batches(docs.sparkSession)
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_or_empty(text_column).alias("text"))
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
     return rows.mapInArrow(run, schema + (", ids array<int>" if with_ids else ""))

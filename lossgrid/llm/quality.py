@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -14,6 +15,7 @@ from pyspark.sql.types import StructType
 from lossgrid.llm.common import text_or_empty
 from lossgrid.llm.subwords import bucket, ngrams, split_words, word_hashes
 from lossgrid.llm.tokens import passes, spread
+from lossgrid.session import bound_arrow_batches
 
 # the fit reads at most this many labelled rows, those with the smallest hash of their id
 SAMPLE_ROWS = 2000
@@ -26,7 +28,7 @@ RATE = 0.5
 BATCH = 64
 # a document's mean spreads its gradient thinly over thousands of features; this evens the two layers' steps
 SCALE = 30.0
-PASS_BYTES = 2 << 20
+PASS_BYTES = 1 << 19
 # training holds every feature of a pass, so its passes are smaller
 TRAIN_PASS_BYTES = 1 << 20
 
@@ -152,17 +154,23 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, label: str
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(row, score): every row of `docs` as a struct, and the probability of label 1 for its whole text."""
+    """(row, score): every row of `docs` as a struct, and the probability of label 1 for its whole text.
+
+    The text goes to Python once, inside its row, and comes back pass by pass.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    bound_arrow_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1)
-            found = [shared.value.scores(texts.slice(a, z - a)) for a, z in passes(texts, PASS_BYTES)]
-            values = pa.array(np.concatenate(found) if found else np.zeros(0))
-            yield pa.record_batch([batch.column(0), values], ["row", "score"])
-
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text_or_empty("text").alias("text"))
+            rows = batch.column(0)
+            texts = pc.fill_null(pc.struct_field(rows, at).cast(pa.string()), "")
+            for a, z in passes(texts, PASS_BYTES):
+                values = pa.array(shared.value.scores(texts.slice(a, z - a)))
+                yield pa.record_batch([rows.slice(a, z - a), values], ["row", "score"])
+
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    at = [c.lower() for c in docs.columns].index("text")
     return rows.mapInArrow(run, StructType([rows.schema["row"]]).add("score", "double"))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lossgrid.llm.common import components, keep, lookup, text_or_empty
+from lossgrid.session import bound_arrow_batches
 
 BITS = 64
 # distinct fingerprints compared in one piece; a fuller block is cut again, down to at most 2 ** FREE_BITS of them
@@ -48,6 +49,7 @@ def fingerprints(
             fps = np.fromiter((fingerprint(t, words) for t in batch.column(1).to_pylist()), np.uint64, batch.num_rows)
             yield pa.record_batch([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
+    bound_arrow_batches(docs.sparkSession)
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_or_empty(text_column).alias("text"))
     return rows.mapInArrow(run, "doc_id long, fp long")
 

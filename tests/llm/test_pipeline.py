@@ -2,6 +2,7 @@
 
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
@@ -12,9 +13,10 @@ from test_text import brute_leaks, check_packing, library
 import __spark_entry__
 import corpus_pipeline
 from compare import connect, difference
-from lossgrid.llm import quality
+from lossgrid.llm import line_dedup, packing, quality, simhash
 from lossgrid.llm.oracles import ORACLES
 from lossgrid.llm.queries import QUERIES
+from lossgrid.session import ARROW_BYTES, ARROW_CONF
 
 SF = "/root/testdata/sf0.001"
 
@@ -103,6 +105,42 @@ def test_stages_of_an_empty_table(spark, docs):
         assert docs.count() == 0, name
 
 
+def test_texts_go_to_python_in_bounded_batches_and_once(spark, monkeypatch):
+    """What a task holds follows the bound on bytes, not 10 000 rows of any size; no operator sends a text twice."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(i, f"long text {i} " * 2000, "en", "s", 0) for i in range(600)]  # about 9 MB in one partition
+    df = corpus_pipeline.keep(spark.createDataFrame(rows, schema).coalesce(1), "test")
+    sent = []
+    whole = type(df).mapInArrow
+
+    def map_in_arrow(self, func, *args, **options):
+        def sizes(batches):
+            return (pa.record_batch({"rows": [b.num_rows], "bytes": [b.nbytes]}) for b in batches)
+
+        sent.append([tuple(r) for r in whole(self, sizes, "rows long, bytes long").collect()])
+        return whole(self, func, *args, **options)
+
+    monkeypatch.setattr(type(df), "mapInArrow", map_in_arrow)
+    before = spark.conf.get(ARROW_CONF, None)
+    spark.conf.unset(ARROW_CONF)
+    try:
+        quality.score(df, quality.Model(np.zeros(1 << quality.BITS), 1.0))
+        line_dedup._edited(df, "doc_id", "text", "n", spark.createDataFrame([], "id long, hash long, chunks array<long>"), line_dedup.without_chunks)
+        simhash.fingerprints(df)
+        packing.pieces(df)
+        assert spark.conf.get(ARROW_CONF) == str(ARROW_BYTES)
+        spark.conf.set(ARROW_CONF, "1000000")
+        packing.pieces(df)
+        assert spark.conf.get(ARROW_CONF) == "1000000"  # the session's own bound stays
+    finally:
+        spark.conf.unset(ARROW_CONF) if before is None else spark.conf.set(ARROW_CONF, before)
+    texts = sum(len(r[1]) for r in rows)
+    assert len(sent) == 5
+    for batches in sent:
+        assert sum(n for n, _ in batches) == 600 and max(b for _, b in batches) <= 1.2 * ARROW_BYTES
+        assert texts <= sum(b for _, b in batches) < 1.2 * texts
+
+
 def test_registered_queries_are_complete():
     numbers = Counter(n.split("_")[0] for n in QUERIES)
     assert numbers == Counter(f"op{n}" for n in range(1, 14))
